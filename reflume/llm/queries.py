@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint
+from . import bpe, fingerprint
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,19 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.neighbour_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is; the package that holds them is the environment's."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_bpe_encoding_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_document_fingerprints": op1_document_fingerprints}
+    return {f.__name__: f for f in (op1_document_fingerprints, op7_bpe_encoding_decoding)}
 
 
 def oracle_sql() -> dict[str, str]:
