@@ -93,3 +93,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
         return x ^ (x >> np.uint64(33))
+
+
+def order_id(name: str = "doc_id"):
+    """The id as a long, nulls as the smallest one."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(-(1 << 63)))
+
+
+def id_cuts(rows: DataFrame, name: str, ranges: int) -> list[int]:
+    """At most ``ranges`` - 1 ids that split the rows into ranges of like size; only they reach the driver."""
+    shares = [i / ranges for i in range(1, ranges)]
+    return sorted(set(rows.agg(F.percentile_approx(name, shares, 100 * ranges).alias("c")).first()["c"] or [])) if shares else []
+
+
+def range_number(name: str, cuts: list[int]):
+    """How many of the sorted cuts are at most the column, as nested halves."""
+
+    def half(lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        cut = f"{cuts[mid]}L" if cuts[mid] > -(1 << 63) else f"({cuts[mid] + 1}L - 1L)"
+        return f"if({name} < {cut}, {half(lo, mid)}, {half(mid + 1, hi)})"
+
+    return F.expr(half(0, len(cuts))).cast("int")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, powers, random_words, shuffle_partitions
+from .common import id_cuts, mix64, order_id, powers, random_words, range_number, shuffle_partitions
 
 LEAST, NORMAL, MOST = 8, 40, 128
 #: Zero bits asked for before and after the normal size.
@@ -136,12 +136,10 @@ def beside_next(docs: DataFrame, per_partition: int = 4) -> DataFrame:
     reaches the driver. Partitions come sorted: within a range by rank, guests at its end.
     """
     spark, n = docs.sparkSession, per_partition * shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cuts = rows.agg(F.percentile_approx("_id", [i / n for i in range(1, n)], 100 * n).alias("c")).first()["c"] or []
-    # A range's number is how many cuts lie above its ids, so numbers ascend as ids descend.
-    bounds = sorted(set(cuts))
-    at = F.lit(0) if not bounds else F.lit(len(bounds)) - F.expr(_search("_id", bounds))
-    rows = rows.withColumn("_range", at.cast("int"))
+    rows = docs.select(order_id().alias("_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cuts = id_cuts(rows, "_id", n)
+    # Ranges are numbered from the largest ids down.
+    rows = rows.withColumn("_range", F.lit(len(cuts)) - range_number("_id", cuts))
     heads = sorted((r["_range"], r["head"]) for r in rows.groupBy("_range").agg(F.max("_id").alias("head")).collect())
     guests = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]
     table = spark.createDataFrame(guests, "_id long, _to int")
@@ -152,17 +150,6 @@ def beside_next(docs: DataFrame, per_partition: int = 4) -> DataFrame:
     return both.repartition(shuffle_partitions(spark), "_range").sortWithinPartitions("_range", "guest", F.desc("_id"), "text").drop("_id")
 
 
-def _search(name: str, bounds: list[int]) -> str:
-    """SQL for how many of the sorted bounds are at most the column, as nested halves."""
-    def half(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"if({name} < {bounds[mid]}L, {half(lo, mid)}, {half(mid + 1, hi)})"
-
-    return half(0, len(bounds)).replace("-9223372036854775808L", "(-9223372036854775807L - 1L)")
-
-
 def edited_text(text: str, following: str) -> str:
     """The last third replaced by as many characters from the start of the following text."""
     third = len(text) // 3

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint
+from . import bpe, fingerprint, idfile
+from .common import stage_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +29,13 @@ def op7_bpe_encoding_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = idfile.write(table(spark, sf_dir, "documents"), stage_path(spark, "ids"), tokenizer("word_bpe_49k.json"))
+    return idfile.read(spark, shards)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op7_bpe_encoding_decoding)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op7_bpe_encoding_decoding, op9_token_id_output)}
 
 
 def oracle_sql() -> dict[str, str]:
