@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, idfile
+from . import bpe, fingerprint, idfile, licenses
 from .common import stage_path
 
 
@@ -18,6 +18,10 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.neighbour_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def tokenizer(name: str) -> str:
     """Where a public tokenizer's file is; the package that holds them is the environment's."""
     import public_tokenizers
@@ -35,8 +39,8 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op7_bpe_encoding_decoding, op9_token_id_output)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_license_scans, op7_bpe_encoding_decoding, op9_token_id_output)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scans": licenses.oracle()}
