@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, idfile, licenses
+from . import bpe, fingerprint, idfile, langid, licenses, secretscan
 from .common import stage_path
 
 
@@ -22,6 +22,14 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def tokenizer(name: str) -> str:
     """Where a public tokenizer's file is; the package that holds them is the environment's."""
     import public_tokenizers
@@ -39,7 +47,7 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_license_scans, op7_bpe_encoding_decoding, op9_token_id_output)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_license_scans, op3_secret_scans, op6_language_id, op7_bpe_encoding_decoding, op9_token_id_output)}
 
 
 def oracle_sql() -> dict[str, str]:
