@@ -87,7 +87,8 @@ def diagonals(docs: DataFrame, of: list[Template]) -> DataFrame:
     """Votes: (doc_id, key, n_words, template, diagonal, votes, rows), votes a bit mask of template positions.
 
     Every document has a row at least, with null template where its words hit nothing;
-    rows sums to how often (doc_id, text) occurs. One pass over the texts; only
+    the largest of its rows is how often (doc_id, text) occurs, as the
+    first word is in one group at least and in each once an occurrence. One pass over the texts; only
     aggregated votes are shuffled.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -124,7 +125,7 @@ def merged(votes: DataFrame, of: list[Template]) -> DataFrame:
     apart = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(order) > SLACK)
     numbered = named.withColumn("apart", F.when(apart, 1).otherwise(0)).withColumn("run", F.sum("apart").over(order))
     spans = numbered.groupBy("doc_id", "key", "n_words", "template", "label", "base", "grams", "run").agg(
-        F.min("diagonal").alias("start"), F.bit_or("votes").alias("votes"), F.sum("rows").alias("rows")
+        F.min("diagonal").alias("start"), F.bit_or("votes").alias("votes"), F.max("rows").alias("rows")
     )
     return spans.withColumn("coverage", F.coalesce(F.bit_count("votes") / F.col("grams"), F.lit(0.0)))
 
@@ -155,7 +156,7 @@ def scan(docs: DataFrame) -> DataFrame:
         joined(base).alias("base_labels"),
         joined(F.col("found")).alias("labels"),
         F.max(F.when(F.col("found"), F.col("coverage")).otherwise(0.0)).alias("score"),
-        F.sum("rows").cast("int").alias("rows"),
+        F.max("rows").cast("int").alias("rows"),
     )
     return out.withColumn("row", F.explode(F.array_repeat(F.lit(1), F.col("rows")))).drop("key", "rows", "row")
 
