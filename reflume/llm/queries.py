@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, idfile, langid, licenses, secretscan
+from . import bpe, fingerprint, idfile, jaccard, langid, licenses, secretscan
 from .common import stage_path
 
 
@@ -41,13 +41,17 @@ def op7_bpe_encoding_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
+
+
 def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = idfile.write(table(spark, sf_dir, "documents"), stage_path(spark, "ids"), tokenizer("word_bpe_49k.json"))
     return idfile.read(spark, shards)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_license_scans, op3_secret_scans, op6_language_id, op7_bpe_encoding_decoding, op9_token_id_output)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_license_scans, op3_secret_scans, op6_language_id, op7_bpe_encoding_decoding, op8_ngram_jaccard_join, op9_token_id_output)}
 
 
 def oracle_sql() -> dict[str, str]:
