@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, idfile, jaccard, langid, licenses, mixing, secretscan
+from . import bpe, fingerprint, idfile, jaccard, langid, licenses, mixing, secretscan, tokencount
 from .common import stage_path
 
 
@@ -26,6 +26,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op5_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -55,7 +59,7 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_license_scans, op3_secret_scans, op5_mixing_to_target_weights, op6_language_id, op7_bpe_encoding_decoding, op8_ngram_jaccard_join, op9_token_id_output)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_license_scans, op3_secret_scans, op4_token_counts, op5_mixing_to_target_weights, op6_language_id, op7_bpe_encoding_decoding, op8_ngram_jaccard_join, op9_token_id_output)}
 
 
 def oracle_sql() -> dict[str, str]:
