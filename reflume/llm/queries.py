@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, idfile, jaccard, langid, licenses, mixing, secretscan, tokencount
+from . import ann, bpe, fingerprint, idfile, jaccard, langid, licenses, mixing, secretscan, tokencount
 from .common import stage_path
 
 
@@ -58,8 +58,12 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.read(spark, shards)
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_license_scans, op3_secret_scans, op4_token_counts, op5_mixing_to_target_weights, op6_language_id, op7_bpe_encoding_decoding, op8_ngram_jaccard_join, op9_token_id_output)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_license_scans, op3_secret_scans, op4_token_counts, op5_mixing_to_target_weights, op6_language_id, op7_bpe_encoding_decoding, op8_ngram_jaccard_join, op9_token_id_output, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
