@@ -41,6 +41,8 @@ from .common import drop_stage, materialize, mix64, powers, random_words
 #: Where no contract says otherwise: words of a shingle and percent of similarity.
 WORDS, PERCENT = 5, 80
 BITS = 512
+#: Links that a single task may unite: 16 MB of ids.
+ONE_TASK = 1_000_000
 _LANES = BITS // 64
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -190,15 +192,42 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
     both = near.join(sets.alias("x"), F.col("a") == F.col("x.node")).join(sets.alias("y"), F.col("b") == F.col("y.node"))
     shared = F.size(F.array_intersect("x.tokens", "y.tokens"))
     union = F.size("x.tokens") + F.size("y.tokens") - shared
-    return materialize(both.where(100 * shared >= percent * union).select("a", "b"), "links")
+    links = materialize(both.where(100 * shared >= percent * union).select("a", "b"), "links")
+    drop_stage(near)
+    return links
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and label, the smallest node of its component, for all nodes of the links (a, b).
+def united(edges: DataFrame) -> DataFrame:
+    """components() of edges that fit one task, by union-find."""
 
-    Large and small stars in turn until the edges stay as they are; each round's edges are
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = up
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "label"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, label long")
+
+
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """node and label, the smallest node of its component, for all nodes of the links (a, b), which are written already.
+
+    Up to ``one_task`` counted links are united in a single task. More are first contracted
+    by large and small stars in turn, until the edges stay as they are; each round's edges are
     written, so nothing of a lost executor has to be computed again from the start.
     """
+    if links.count() <= one_task:
+        return materialize(united(links), "labels")
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     before = None
     while True:
@@ -211,7 +240,9 @@ def components(links: DataFrame) -> DataFrame:
         large = around.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
-        edges = materialize(small.where("a != b").distinct(), "edges")
+        contracted = materialize(small.where("a != b").distinct(), "edges")
+        drop_stage(edges)
+        edges = contracted
 
 
 def unfinished(wide: DataFrame, labels: DataFrame) -> DataFrame:
@@ -241,6 +272,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     labels = components(links)
 
     rows = materialize(unfinished(shared.where("wide"), labels), "unfinished")
+    drop_stage(shared)
     if not rows.isEmpty():
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         centre = rows.join(degree, "node", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node", "label")).alias("c"))
