@@ -3,8 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function of (spark, sf_dir) under its own or the given name."""
+
+    def register(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if oracle is not None:
+            ORACLES[key] = oracle
+        return f
+
+    return register
+
+
+for _module in ("citations", "identifiers", "cohorts", "estimates", "texts"):
+    import_module(f"reflume.plans.{_module}")
