@@ -117,3 +117,23 @@ def range_number(name: str, cuts: list[int]):
         return f"if({name} < {cut}, {half(lo, mid)}, {half(mid + 1, hi)})"
 
     return F.expr(half(0, len(cuts))).cast("int")
+
+
+#: Words of 64 bits in a screen; its rows can't be more.
+SCREEN_WORDS = 1 << 17
+
+
+def screened(rows: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+    """Adds _maybe to rows: false only where ``wanted``, one column of longs, doesn't hold the row's id.
+
+    The ids' bits are set in a table of at most SCREEN_WORDS rows, which is broadcast whatever
+    the size of wanted; the more it holds, the more rows are let through. An exact join
+    follows, over few rows where wanted is short, without a shuffle of the others.
+    """
+    spread = F.xxhash64(F.coalesce(F.col(name).cast("long"), F.lit(-(1 << 63))))
+    place = F.pmod(spread, F.lit(SCREEN_WORDS * 64))
+    bits = wanted.toDF("_id").select(F.pmod(F.xxhash64(F.coalesce(F.col("_id").cast("long"), F.lit(-(1 << 63)))), F.lit(SCREEN_WORDS * 64)).alias("_place"))
+    bits = bits.groupBy(F.expr("shiftright(_place, 6)").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_place & 63 as int))")).alias("_bits"))
+    joined = rows.withColumn("_place", place).withColumn("_word", F.expr("shiftright(_place, 6)")).join(F.broadcast(bits), "_word", "left")
+    maybe = F.coalesce(F.expr("shiftright(_bits, cast(_place & 63 as int)) & 1") == 1, F.lit(False))
+    return joined.withColumn("_maybe", maybe).drop("_word", "_place", "_bits")

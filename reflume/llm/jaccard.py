@@ -10,7 +10,7 @@ differ is at most the symmetric difference D. With M > D, some segment is equal:
 are joined on equal segments, within bands of sizes from 2 ** b to 2 ** (b + 1) and across
 each bound between bands. A segment without tokens says little; it is a key only for
 documents with so many of them that all equal segments might be empty ones. A second
-sketch of BITS parity bits has one bit flipped by each token; its Hamming distance is at
+sketch of parity bits has one bit flipped by each token; its Hamming distance is at
 most the symmetric difference too and drops most pairs before their sets are compared.
 
 Links are only looked for as far as the components need them, which loses none between
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_stage, materialize, mix64, powers, random_words
+from .common import drop_stage, materialize, mix64, powers, random_words, screened
 
 #: Where no contract says otherwise: words of a shingle and percent of similarity.
 WORDS, PERCENT = 5, 80
@@ -132,6 +132,21 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def wide_parity(tokens: np.ndarray) -> bytes:
+    """Parity bits as in parity(), at least two for each token, so that sets of any size are told apart."""
+    bits = max(BITS, 1 << (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """Hamming distance of two wide sketches; the longer one is folded, which keeps it a parity sketch."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def sketched(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, node (the set's hash, null if empty), and the sketches of the first row of each set in a task."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("parity", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
@@ -158,20 +173,21 @@ def sketched(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, words: int) -> DataFrame:
-    """node and its set's hashes."""
+    """node, its set's hashes and wide sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sets = [], []
+            nodes, sets, wide = [], [], []
             for text in batch.column("text"):
                 tokens = shingles(text.as_py(), words)
                 if len(tokens):
                     with np.errstate(over="ignore"):
                         nodes.append(int(mix64(mix64(tokens + np.uint64(1)).sum(keepdims=True) + np.uint64(len(tokens))).view(np.int64)[0]))
                     sets.append(tokens.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "tokens"])
+                    wide.append(wide_parity(tokens))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(wide, pa.binary())], names=["node", "tokens", "wide"])
 
-    return docs.select("text").mapInArrow(run, "node long, tokens array<long>")
+    return docs.select("text").mapInArrow(run, "node long, tokens array<long>, wide binary")
 
 
 def near_by_sketch(a: str, b: str, percent: int) -> Column:
@@ -182,18 +198,37 @@ def near_by_sketch(a: str, b: str, percent: int) -> Column:
     return fits & (distance * (100 + percent) <= (100 - percent) * sizes)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets. Texts are read again only for the nodes of pairs that the sketches let through."""
-    near = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node")).where(near_by_sketch("x", "y", percent))
-    near = materialize(near.select("a", "b"), "near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(F.col("sample").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
-    sets = token_sets(texts, words).dropDuplicates(["node"])
-    both = near.join(sets.alias("x"), F.col("a") == F.col("x.node")).join(sets.alias("y"), F.col("b") == F.col("y.node"))
+def sets_of(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node and tokens of the given nodes (node, sample), from the texts of their samples."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = screened(rows, "doc_id", nodes.select("sample")).where("_maybe")
+    return token_sets(texts, words).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: whole sets are compared for those that both sketches let through.
+
+    The sketch of BITS bits is narrow and drops what it can first; the wide one, a thirtieth of a set, is as
+    sharp for large sets, so that few sets move that don't link.
+    """
+    sizes = nodes.select("node", "n", "parity")
+    near = pairs.join(sizes.alias("x"), F.col("a") == F.col("x.node")).join(sizes.alias("y"), F.col("b") == F.col("y.node")).where(near_by_sketch("x", "y", percent))
+    near = near.select("a", "b", ((100 - percent) * (F.col("x.n") + F.col("y.n")) / (100 + percent)).alias("most"))
+    wide = sets.select("node", "wide")
+    beside = near.join(wide.withColumnRenamed("wide", "x"), F.col("a") == F.col("node")).drop("node").join(wide.withColumnRenamed("wide", "y"), F.col("b") == F.col("node")).drop("node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = [least_apart(x, y) <= most for x, y, most in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "most")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    few = materialize(beside.mapInArrow(run, "a long, b long"), "near")
+    whole = sets.select("node", "tokens")
+    both = few.join(whole.alias("x"), F.col("a") == F.col("x.node")).join(whole.alias("y"), F.col("b") == F.col("y.node"))
     shared = F.size(F.array_intersect("x.tokens", "y.tokens"))
     union = F.size("x.tokens") + F.size("y.tokens") - shared
     links = materialize(both.where(100 * shared >= percent * union).select("a", "b"), "links")
-    drop_stage(near)
+    drop_stage(few)
     return links
 
 
@@ -266,9 +301,10 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     shared = keyed.select("key", "node", F.first("node").over(order).alias("head"), F.lag("node").over(order).alias("prior"), after[0].alias("next"), wide.alias("wide"))
     shared = materialize(shared.where("head != node or next != node").drop("next"), "shared")
     drop_stage(made)
+    sets = materialize(sets_of(shared.select("node").distinct().join(nodes, "node"), docs, words), "tokens")
 
     pairs = shared.select(F.explode(F.array(F.struct(F.col("head").alias("a"), F.col("node").alias("b")), F.struct(F.col("prior").alias("a"), F.col("node").alias("b")))).alias("p")).select("p.a", "p.b")
-    links = verified(pairs.where("a != b").distinct(), nodes, docs, words, percent)
+    links = verified(pairs.where("a != b").distinct(), nodes, sets, percent)
     labels = components(links)
 
     rows = materialize(unfinished(shared.where("wide"), labels), "unfinished")
@@ -277,14 +313,14 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         centre = rows.join(degree, "node", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "node", "label")).alias("c"))
         pairs = rows.join(centre, "key").where("label != c.label").select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
-        links = links.union(verified(pairs, nodes, docs, words, percent))
+        links = links.union(verified(pairs, nodes, sets, percent))
         labels = components(links)
         rows = unfinished(rows, labels)
         prior = F.lag("key").over(Window.partitionBy("node").orderBy("key"))
         rows = materialize(rows.withColumn("prior", prior).join(nodes.select("node", "n", "parity"), "node"), "unfinished")
         run = F.col("x.prior").isNull() | F.col("y.prior").isNull() | (F.col("x.prior") != F.col("y.prior"))
         apart = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & run & near_by_sketch("x", "y", percent))
-        links = links.union(verified(apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), nodes, docs, words, percent))
+        links = links.union(verified(apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), nodes, sets, percent))
         labels = components(links)
 
     placed = nodes.select("node", "sample").join(labels, "node", "left").select("node", "sample", F.coalesce("label", "node").alias("label"))
@@ -295,10 +331,13 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component, that of its smallest doc_id; documents without words all stay."""
-    found = link_components(docs, words, percent)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"])
-
+    """docs with one row of each component, that of its smallest doc_id; documents without words or without doc_id all stay.
 
+    Of rows with the same doc_id and text one stays.
+    """
+    found = link_components(docs, words, percent)
+    gone = materialize(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    again = docs.groupBy(F.col("doc_id").cast("long").alias("_gone")).count().where("count > 1").select("_gone")
+    rows = screened(docs, "doc_id", gone.union(again))
+    maybe = rows.where("_maybe").drop("_maybe").join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return rows.where("not _maybe").drop("_maybe").union(maybe.dropDuplicates(["doc_id", "text"]))
