@@ -24,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .common import powers, random_words
@@ -412,8 +413,7 @@ def coder(path: str) -> Coder:
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds the ids of every text as an array of ints; a column of that name is replaced."""
-    schema = docs.drop(out).withColumn(out, docs[text].cast("string")).schema
-    schema = schema[out].dataType and type(schema)([*(f for f in schema if f.name != out)]).add(out, "array<int>")
+    schema = T.StructType([f for f in docs.schema if f.name != out]).add(out, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
@@ -429,7 +429,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the text of every array of ids; null arrays give the empty text, and a column of that name is replaced."""
-    schema = type(docs.schema)([f for f in docs.schema if f.name != out]).add(out, "string")
+    schema = T.StructType([f for f in docs.schema if f.name != out]).add(out, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)

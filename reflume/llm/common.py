@@ -134,6 +134,6 @@ def screened(rows: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
     place = F.pmod(spread, F.lit(SCREEN_WORDS * 64))
     bits = wanted.toDF("_id").select(F.pmod(F.xxhash64(F.coalesce(F.col("_id").cast("long"), F.lit(-(1 << 63)))), F.lit(SCREEN_WORDS * 64)).alias("_place"))
     bits = bits.groupBy(F.expr("shiftright(_place, 6)").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_place & 63 as int))")).alias("_bits"))
-    joined = rows.withColumn("_place", place).withColumn("_word", F.expr("shiftright(_place, 6)")).join(F.broadcast(bits), "_word", "left")
+    packed = rows.select(F.struct(*rows.columns).alias("_row"), place.alias("_place")).withColumn("_word", F.expr("shiftright(_place, 6)"))
     maybe = F.coalesce(F.expr("shiftright(_bits, cast(_place & 63 as int)) & 1") == 1, F.lit(False))
-    return joined.withColumn("_maybe", maybe).drop("_word", "_place", "_bits")
+    return packed.join(F.broadcast(bits), "_word", "left").select(*(F.col(f"_row.{c}") for c in rows.columns), maybe.alias("_maybe"))

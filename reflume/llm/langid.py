@@ -102,15 +102,16 @@ class Parser:
         steps, self.roots, base = [], [], 0
         for text in texts:
             go = automaton(text)
-            state = np.full((len(go), self.symbols), -1, np.int64)
+            # One state more: nothing read yet, or a letter that no phrase goes on from. Each step from it starts a phrase.
+            state = np.full((len(go) + 1, self.symbols), -1, np.int64)
             for s, edges in enumerate(go):
                 for c, to in edges.items():
                     state[s, number[c]] = to
-            again = np.where(state[0] >= 0, state[0], 0)
+            again = np.where(state[0] >= 0, state[0], len(go))
             breaks = state < 0
             step = (np.where(breaks, again, state) * self.symbols + base) << 1 | breaks
             steps.append(step.ravel())
-            self.roots.append(base)
+            self.roots.append(base + len(go) * self.symbols)
             base += step.size
         kind = np.int32 if base < 1 << 30 else np.int64
         self.steps = np.concatenate(steps).astype(kind) if steps else np.empty(0, kind)
@@ -135,7 +136,7 @@ class Parser:
         order = np.argsort(-size, kind="stable")
         at, owner, size = at[order], owner[order], size[order]
         state = np.repeat(np.array(self.roots, self.steps.dtype)[:, None], len(at), 1)
-        count = np.ones((len(self.roots), len(at)), np.int64)
+        count = np.zeros((len(self.roots), len(at)), np.int64)
         lanes = np.searchsorted(-size, -np.arange(SEGMENT), side="left")
         for t in range(int(size[0]) if len(size) else 0):
             n = lanes[t]
