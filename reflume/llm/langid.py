@@ -30,8 +30,9 @@ from pyspark.sql.window import Window
 SAMPLE_TEXTS, SAMPLE_CHARS = 60, 1500
 SEGMENT, AT_ONCE = 512, 1 << 20
 UNKNOWN = "und"
-#: Bits a symbol beyond which a text is in none of the languages: letters drawn at random cost about this much.
-MOST_BITS = 4.5
+#: Bits a symbol beyond which a text is in none of the languages. Short texts with a key in them and texts in two
+#: languages cost up to 6, letters of another script twice as much.
+MOST_BITS = 8.0
 
 
 def held_out(doc_id: Column) -> Column:
