@@ -110,20 +110,23 @@ def bands(size: int, percent: int) -> tuple[tuple[int, int, int], ...]:
     return tuple((band, apart, apart + 1 + (max(1, apart // 8) if apart else 0)) for band, apart in found)
 
 
-def segment_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the set's segments in all its bands."""
-    keys = []
+def segment_keys(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """Keys of the set's segments in all its bands, and by band % 4, the keys' low bits, how many a pair has in common to spare."""
+    keys, spare = [], [0] * 4
     top = tokens >> np.uint64(32)
     for band, apart, segments in bands(len(tokens), percent):
         where = (top * np.uint64(segments)) >> np.uint64(32)  # ascends with the token
         starts = np.flatnonzero(np.diff(where, prepend=where[:1] + np.uint64(1)))
         place = np.uint64(band << 40) + where[starts]
+        spare[band % 4] = max(0, len(starts) - apart - 1)
         with np.errstate(over="ignore"):
-            keys.append(mix64(np.bitwise_xor.reduceat(tokens, starts) + mix64(place + np.uint64(1))))
-            if segments - len(starts) >= segments - apart:
+            found = [mix64(np.bitwise_xor.reduceat(tokens, starts) + mix64(place + np.uint64(1)))]
+            if len(starts) <= apart:
                 empty = np.setdiff1d(np.arange(segments, dtype=np.uint64), where[starts])
-                keys.append(mix64(mix64(np.uint64(band << 40) + empty + np.uint64(1))))
-    return np.concatenate(keys)
+                found.append(mix64(mix64(np.uint64(band << 40) + empty + np.uint64(1))))
+                spare[band % 4] = segments - apart - 1
+            keys += [k >> np.uint64(2) << np.uint64(2) | np.uint64(band % 4) for k in found]
+    return np.concatenate(keys), spare
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
@@ -149,7 +152,7 @@ def least_apart(a: bytes, b: bytes) -> int:
 
 def sketched(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, node (the set's hash, null if empty), and the sketches of the first row of each set in a task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("parity", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("parity", pa.list_(pa.int64())), ("spare", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -158,18 +161,19 @@ def sketched(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for text in batch.column("text"):
                 tokens = shingles(text.as_py(), words)
                 if not len(tokens):
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None, None, None))
                     continue
                 with np.errstate(over="ignore"):
                     node = int(mix64(mix64(tokens + np.uint64(1)).sum(keepdims=True) + np.uint64(len(tokens))).view(np.int64)[0])
                 fresh = node not in seen
                 seen.add(node)
-                rows.append((len(tokens), node, parity(tokens) if fresh else None, segment_keys(tokens, percent).view(np.int64) if fresh else None))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
+                keys, spare = segment_keys(tokens, percent) if fresh else (None, None)
+                rows.append((len(tokens), node, parity(tokens) if fresh else None, spare, keys.view(np.int64) if fresh else None))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_shingles long, node long, parity array<long>, keys array<long>")
+    return narrow.mapInArrow(run, "doc_id long, n_shingles long, node long, parity array<long>, spare array<int>, keys array<long>")
 
 
 def token_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -287,17 +291,30 @@ def unfinished(wide: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(several, "key", "left_semi")
 
 
+def rare_keys(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows (key, node) of keys with several rows, without those that each node can spare in each band.
+
+    The rarest key that two linked nodes have in common has all others of theirs before it in the
+    order of descending frequency, so leaving out as many less one as they have at least loses no pair.
+    """
+    often = keyed.select("key", "node", F.count("*").over(Window.partitionBy("key")).alias("often")).where("often > 1")
+    low = F.expr("cast(key & 3 as int)")
+    placed = often.join(nodes.select("node", "spare"), "node").select("key", "node", low.alias("low"), F.col("spare")[low].alias("spare"), "often")
+    place = F.dense_rank().over(Window.partitionBy("node", "low").orderBy(F.desc("often"), "key"))
+    return placed.select("key", "node", "spare", place.alias("place")).where("place > spare").select("key", "node")
+
+
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs."""
     made = materialize(sketched(docs, words, percent), "sketches")
     narrow = materialize(made.select("doc_id", "n_shingles", "node"), "sets")
-    nodes = materialize(made.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("sample"), F.first("parity", True).alias("parity")), "nodes")
+    nodes = materialize(made.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("sample"), F.first("parity", True).alias("parity"), F.first("spare", True).alias("spare")), "nodes")
 
     order = Window.partitionBy("key").orderBy("node")
     rank = F.row_number().over(order)
     after = [F.lead("node", i).over(order) for i in (1, 2, 3)]
     wide = (rank >= 4) | F.when(rank == 1, after[2].isNotNull()).when(rank == 2, after[1].isNotNull()).otherwise(after[0].isNotNull())
-    keyed = made.select("node", F.explode("keys").alias("key"))
+    keyed = rare_keys(made.select("node", F.explode("keys").alias("key")), nodes)
     shared = keyed.select("key", "node", F.first("node").over(order).alias("head"), F.lag("node").over(order).alias("prior"), after[0].alias("next"), wide.alias("wide"))
     shared = materialize(shared.where("head != node or next != node").drop("next"), "shared")
     drop_stage(made)
