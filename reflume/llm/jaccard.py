@@ -7,9 +7,11 @@ hashes. Sizes then differ by that ratio at most, and the symmetric difference is
 A band's sketch has M segments. A token belongs to one segment by its hash and is XORed
 into it, so tokens that both documents have cancel out, and the number of segments that
 differ is at most the symmetric difference D. With M > D, some segment is equal: documents
-are joined on equal segments, within bands of sizes from 2 ** b to 2 ** (b + 1) and across
-each bound between bands. A segment without tokens says little; it is a key only for
-documents with so many of them that all equal segments might be empty ones. A second
+are joined on equal segments, within bands of the smaller one's size. A segment without
+tokens says little; it is a key only for documents with so many of them that all equal
+segments might be empty ones. As M - D segments are equal at least, each document leaves out
+one less of its keys, those that most documents have, so passages that many documents share
+are seldom keys. A second
 sketch of parity bits has one bit flipped by each token; its Hamming distance is at
 most the symmetric difference too and drops most pairs before their sets are compared.
 
@@ -93,21 +95,22 @@ def most_apart(total: int, percent: int) -> int:
     return (100 - percent) * total // (100 + percent)
 
 
-@lru_cache(256)
+@lru_cache(4096)
 def bands(size: int, percent: int) -> tuple[tuple[int, int, int], ...]:
     """(band, most that differ, segments) for each band that a set of this size has a sketch in.
 
-    Even bands are spans of sizes, odd ones the surroundings of the bound above a span.
+    A band is for the pairs whose smaller set has from low to high - 1 tokens; high is a ratio of
+    100 / percent above low, so that a set is in two bands at most.
     """
-    span = size.bit_length() - 1
-    found = [(2 * span, most_apart(2 * ((2 << span) - 1), percent))]
-    for below in range(max(0, span - 1), span + 1):
-        bound = 2 << below
-        if 100 * size >= percent * bound and percent * size <= 100 * (bound - 1):
-            largest = 100 * (bound - 1) // percent
-            if largest >= bound:
-                found.append((2 * below + 1, most_apart(bound - 1 + largest, percent)))
-    return tuple((band, apart, apart + 1 + (max(1, apart // 8) if apart else 0)) for band, apart in found)
+    found, band, low = [], 0, 1
+    while low <= size:
+        high = max(low + 1, 100 * low // percent, 9 * low // 8)
+        largest = 100 * (high - 1) // percent
+        if size <= largest:
+            apart = most_apart(high - 1 + largest, percent)
+            found.append((band, apart, apart + 1 + (max(1, apart // 8) if apart else 0)))
+        band, low = band + 1, high
+    return tuple(found)
 
 
 def segment_keys(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:

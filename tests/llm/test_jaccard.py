@@ -75,12 +75,24 @@ def test_linked_sets_share_a_key_and_pass_both_sketches():
                 b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 2**64, add, dtype=np.uint64)]))
                 shared = len(np.intersect1d(a, b))
                 if len(b) and 100 * shared >= percent * (len(a) + len(b) - shared):
-                    assert len(np.intersect1d(jaccard.segment_keys(a, percent), jaccard.segment_keys(b, percent)))
+                    (mine, spare), (others, too) = jaccard.segment_keys(a, percent), jaccard.segment_keys(b, percent)
+                    both = np.bincount(np.intersect1d(mine, others) % 4, minlength=4)
+                    assert any(n > max(s, t) for n, s, t in zip(both, spare, too, strict=True))
                     most = (100 - percent) * (len(a) + len(b)) / (100 + percent)
                     assert jaccard.least_apart(jaccard.wide_parity(a), jaccard.wide_parity(b)) <= most
                     assert int(np.bitwise_count((jaccard.parity(a) ^ jaccard.parity(b)).view(np.uint64)).sum()) <= most
 
 
+def test_every_pair_of_sizes_that_may_link_has_a_band():
+    for percent in (30, 50, 80, 85, 100):
+        for size in (*range(1, 300), 1000, 4097):
+            mine = jaccard.bands(size, percent)
+            assert len(mine) <= 2 and len({band % 4 for band, _, _ in mine}) == len(mine)
+            for other in range(size, min(100 * size // percent, size + 400) + 1):
+                band = set(mine) & set(jaccard.bands(other, percent))
+                assert any(apart >= jaccard.most_apart(size + other, percent) for _, apart, _ in band)
+
+
 def test_stars_equal_union_find(spark):
     rng = random.Random(7)
     links = spark.createDataFrame([(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(190)] + [(i, i + 1) for i in range(1000, 1040)], "a long, b long").where("a != b")
