@@ -41,7 +41,8 @@ class Model:
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max(map(len, scores), default=0)
+        #: Ends of pieces: a piece's score, or None for what only longer pieces end with.
+        self.ends: dict[str, float | None] = {piece[i:]: None for piece in scores for i in range(1, len(piece))} | scores
         self.byte = min(scores.values(), default=0.0) - UNKNOWN
         self.clear()
 
@@ -50,41 +51,46 @@ class Model:
         self.best, self.tokens = [0.0], [0]
         self.known: dict[str, tuple[int, float]] = {}
 
-    def forward(self, word: str, end: int, best, tokens) -> tuple[float, int]:
+    def forward(self, word: str, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
         """Best score and token count of word[:end]; best and tokens give those of shorter prefixes by their length."""
-        size = len(word[end - 1].encode())
-        top, count = best(end - 1) + size * self.byte, tokens(end - 1) + size
-        for length in range(1, min(self.longest, end) + 1):
-            score = self.scores.get(word[end - length : end])
+        size = 1 if word[end - 1] < "\x80" else len(word[end - 1].encode())
+        top, count = best[end - 1] + size * self.byte, tokens[end - 1] + size
+        ends = self.ends
+        for start in range(end - 1, -1, -1):
+            part = word[start:end]
+            if part not in ends:
+                break
+            score = ends[part]
             if score is not None:
-                score += best(end - length)
-                n = tokens(end - length) + 1
+                score += best[start]
+                n = tokens[start] + 1
                 if score > top or (score == top and n < count):
                     top, count = score, n
         return top, count
 
     def word(self, word: str) -> tuple[int, float]:
         """Token count and score of a word, its mark included."""
+        best, tokens = [0.0], [0]
         if len(word) > LONGEST_KEPT:
-            best, tokens = [0.0], [0]
             for end in range(1, len(word) + 1):
-                top, count = self.forward(word, end, best.__getitem__, tokens.__getitem__)
+                top, count = self.forward(word, end, best, tokens)
                 best.append(top)
                 tokens.append(count)
             return tokens[-1], best[-1]
         if len(self.best) > MOST_NODES:
             self.clear()
-        path, node = [0], 0
+        node = 0
         for end, c in enumerate(word, 1):
             edge = node << 21 | ord(c)
             node = self.children.get(edge, -1)
             if node < 0:
-                top, count = self.forward(word, end, lambda i: self.best[path[i]], lambda i: self.tokens[path[i]])
+                top, count = self.forward(word, end, best, tokens)
                 node = self.children[edge] = len(self.best)
                 self.best.append(top)
                 self.tokens.append(count)
-            path.append(node)
-        found = self.known[word] = (self.tokens[node], self.best[node])
+            best.append(self.best[node])
+            tokens.append(self.tokens[node])
+        found = self.known[word] = (tokens[-1], best[-1])
         return found
 
     def count(self, text: str | None) -> tuple[int, int, float]:
