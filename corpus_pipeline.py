@@ -2,8 +2,8 @@
 
 language_id drops documents in no learned language; near_duplicates keeps the document
 with the smallest doc_id of each group; secrets masks credentials that aren't widely copied
-examples; mixing keeps the longest mixture in which no source is over a third of it, in
-its order; encoding gives the token ids' and the decoded text's digests. Stages pass on
+examples; mixing cuts sources with over a third of the documents down to a third of what is
+kept, keeps all others whole, and orders them by the mixture's schedule; encoding gives the token ids' and the decoded text's digests. Stages pass on
 the columns of documents; each is written as Parquet and read again.
 """
 
@@ -29,7 +29,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixture(docs, block_rows=1, period=10_000)
+    return mixing.without_surplus(docs, block_rows=1, period=10_000)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

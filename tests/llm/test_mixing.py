@@ -3,6 +3,7 @@ from collections import Counter
 import duckdb
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from reflume.llm import mixing
 
 from .cases import documents, none
@@ -52,3 +53,19 @@ def test_odd_rows(spark):
     assert mixing.mix(docs).count() == docs.count()
     assert mixing.mixture(docs).columns == docs.columns
     assert mixing.mix(none(spark)).count() == 0 and mixing.mixture(none(spark)).count() == 0
+
+
+def test_rare_sources_cut_nothing_but_the_surplus(spark):
+    sizes = {"a": 30_000, "b": 30_000, "c": 20_000, "d": 19_999, None: 1}
+    even = spark.createDataFrame([(n, s) for n, s in enumerate(s for s, k in sizes.items() for _ in range(k))], "doc_id long, source string")
+    assert mixing.without_surplus(even, 1, 10_000).count() == 100_000
+    kept = Counter(r.source for r in mixing.without_surplus(skewed(spark), 1, 100).collect())
+    assert kept == {"hot": 149, "mid": 200, "low": 90, "": 7, "one": 1}
+    order = [r.doc_id for r in mixing.without_surplus(skewed(spark), 1, 100).collect()]
+    places = {r.doc_id: r.place for r in mixing.mix(skewed(spark), 1, 100).collect()}
+    assert order == sorted(order, key=places.get)
+
+
+def test_the_pipeline_keeps_a_corpus_with_one_odd_source(spark):
+    rows = spark.range(3000).selectExpr("id as doc_id", "'x' as text", "if(id = 7, null, concat('s', id % 5)) as source")
+    assert corpus_pipeline.mix(spark, rows, "").count() == 3000
