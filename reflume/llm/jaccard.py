@@ -9,9 +9,9 @@ into it, so tokens that both documents have cancel out, and the number of segmen
 differ is at most the symmetric difference D. With M > D, some segment is equal: documents
 are joined on equal segments, within bands of the smaller one's size. A segment without
 tokens says little; it is a key only for documents with so many of them that all equal
-segments might be empty ones. As M - D segments are equal at least, each document leaves out
-one less of its keys, those that most documents have, so passages that many documents share
-are seldom keys. A second
+segments might be empty ones. As all but D of a document's segments with tokens are keys of the other
+one too, it leaves out one less of its keys, those that most documents have, so passages that many
+documents share are seldom keys. A second
 sketch of parity bits has one bit flipped by each token; its Hamming distance is at
 most the symmetric difference too and drops most pairs before their sets are compared.
 
@@ -121,13 +121,12 @@ def segment_keys(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, list[int
         where = (top * np.uint64(segments)) >> np.uint64(32)  # ascends with the token
         starts = np.flatnonzero(np.diff(where, prepend=where[:1] + np.uint64(1)))
         place = np.uint64(band << 40) + where[starts]
-        spare[band % 4] = max(0, len(starts) - apart - 1)
+        spare[band % 4] = max(0, len(starts) - apart - 1)  # the other set may have no keys of empty segments
         with np.errstate(over="ignore"):
             found = [mix64(np.bitwise_xor.reduceat(tokens, starts) + mix64(place + np.uint64(1)))]
             if len(starts) <= apart:
                 empty = np.setdiff1d(np.arange(segments, dtype=np.uint64), where[starts])
                 found.append(mix64(mix64(np.uint64(band << 40) + empty + np.uint64(1))))
-                spare[band % 4] = segments - apart - 1
             keys += [k >> np.uint64(2) << np.uint64(2) | np.uint64(band % 4) for k in found]
     return np.concatenate(keys), spare
 

@@ -83,6 +83,19 @@ def test_linked_sets_share_a_key_and_pass_both_sketches():
                     assert int(np.bitwise_count((jaccard.parity(a) ^ jaccard.parity(b)).view(np.uint64)).sum()) <= most
 
 
+def test_small_linked_sets_keep_a_shared_key():
+    rng = np.random.default_rng(11)
+    for _ in range(60_000):
+        percent, size = int(rng.choice([30, 50, 80, 85])), int(rng.integers(1, 31))
+        a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.integers(0, max(1, len(a) // 4)) :], rng.integers(0, 2**64, rng.integers(0, max(2, len(a) // 2)), dtype=np.uint64)]))
+        shared = len(np.intersect1d(a, b))
+        if 100 * shared >= percent * (len(a) + len(b) - shared):
+            (mine, spare), (others, too) = jaccard.segment_keys(a, percent), jaccard.segment_keys(b, percent)
+            both = np.bincount(np.intersect1d(mine, others) % 4, minlength=4)
+            assert any(n > max(s, t) for n, s, t in zip(both, spare, too, strict=True))
+
+
 def test_every_pair_of_sizes_that_may_link_has_a_band():
     for percent in (30, 50, 80, 85, 100):
         for size in (*range(1, 300), 1000, 4097):
