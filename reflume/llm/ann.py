@@ -3,8 +3,8 @@
 Equal vectors are one node. Each node starts with the nearest of those that lie beside it
 along a few random directions. Then neighbours of neighbours are joined: at every node, its
 neighbours and the nodes that have it for a neighbour meet, and each pair that is nearer
-than what either has is proposed to it. A query starts at its own node and expands the nearest nodes
-of its beam until all of them are expanded; what the beam holds at the end is measured
+than what either has is proposed to it; that is repeated until few lists change. A query starts at its own node and expands the nearest nodes
+of its beam, which is wider for more nodes, until all of them are expanded; what the beam holds at the end is measured
 exactly, in double precision on the original vectors.
 
 The index holds every row that takes part. Vectors that are null, zero, hold null or
@@ -18,6 +18,7 @@ that bounds the work at a node that very many have for a neighbour.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, shuffle_partitions
+from .common import drop_stage, materialize, shuffle_partitions
 
-#: Neighbours of a node, random directions, nodes that are compared along them at once, rounds of joins, and a query's beam.
-K, DIRECTIONS, BLOCK, ROUNDS, BEAM = 24, 3, 2048, 2, 320
+#: Neighbours of a node, random directions, nodes that are compared along them at once.
+K, DIRECTIONS, BLOCK = 24, 3, 2048
+#: Joins end when a lesser share of the edges is new and nearer by more than half precision tells apart.
+FEW, NEARER = 0.02, 1e-3
+#: A query's beam for so many nodes; it grows with the square root of their count.
+BEAM, BEAM_NODES = 320, 50_000
 #: Queries: ids that this divides; neighbours returned.
 EVERY, NEAREST = 50, 5
 
@@ -144,25 +149,41 @@ def beside(vectors: DataFrame, count: int, size: int) -> DataFrame:
     return found
 
 
-def best(edges: DataFrame) -> DataFrame:
-    """The K nearest distinct u of each v."""
+def best(edges: DataFrame, graph: DataFrame | None = None) -> DataFrame:
+    """The K nearest distinct u of each v in edges and graph; fresh tells those that the graph lacks and that are nearer than its last of v."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, u, s = [], [], []
-        at, taken = None, set()
+        at, taken, before, last = None, {}, set(), -2.0
+        out: list[tuple[int, int, float, bool]] = []
+
+        def ended() -> None:
+            least = last + NEARER if len(before) >= K else -2.0
+            out.extend((at, u, s, u not in before and s > least) for u, s in taken.items())
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float32(), pa.bool_()), strict=True)], names=["v", "u", "s", "fresh"])
+            out.clear()
+            return made
+
         for batch in batches:
-            for a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for a, b, c, old in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if a != at:
-                    at, taken = a, set()
+                    ended()
+                    at, taken, before, last = a, {}, set(), -2.0
                 if len(taken) < K and b not in taken:
-                    taken.add(b)
-                    v.append(a)
-                    u.append(b)
-                    s.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(u, pa.int64()), pa.array(s, pa.float32())], schema=EDGES)
-            v, u, s = [], [], []
+                    taken[b] = c
+                if old:
+                    before.add(b)
+                    last = c
+            yield batch_of()
+        ended()
+        yield batch_of()
 
-    return edges.repartition(shuffle_partitions(edges.sparkSession), "v").sortWithinPartitions("v", F.desc("s"), "u").mapInArrow(run, "v long, u long, s float")
+    every = edges.select("v", "u", "s", F.lit(False).alias("old"))
+    if graph is not None:
+        every = every.union(graph.select("v", "u", "s", F.lit(True)))
+    return every.repartition(shuffle_partitions(edges.sparkSession), "v").sortWithinPartitions("v", F.desc("s"), "u").mapInArrow(run, "v long, u long, s float, fresh boolean")
 
 
 def joined(graph: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -193,11 +214,20 @@ def joined(graph: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def graph_of(vectors: DataFrame, count: int, size: int) -> DataFrame:
-    """Edges (v, u, s) of the neighbour graph."""
+    """Edges (v, u, s) of the neighbour graph, joined until less than FEW of them are fresh."""
     graph = materialize(best(beside(vectors, count, size)), "graph")
-    for _ in range(ROUNDS):
-        graph = materialize(best(graph.union(joined(graph, vectors))), "graph")
-    return graph
+    while True:
+        after = materialize(best(joined(graph, vectors), graph), "graph")
+        drop_stage(graph)
+        graph = after
+        changed = graph.agg(F.count_if("fresh").alias("fresh"), F.count("*").alias("n")).first()
+        if changed["fresh"] <= FEW * changed["n"]:
+            return graph.select("v", "u", "s")
+
+
+def beam_of(count: int) -> int:
+    """The width of a query's beam among so many nodes."""
+    return max(BEAM, math.ceil(BEAM * math.sqrt(count / BEAM_NODES)))
 
 
 def lists_of(graph: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -213,7 +243,7 @@ def lists_of(graph: DataFrame, vectors: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "node long, near array<long>, vecs binary")
 
 
-def search(lists: DataFrame, queries: DataFrame) -> DataFrame:
+def search(lists: DataFrame, queries: DataFrame, width: int = BEAM) -> DataFrame:
     """The beam (q, x, s) of each query node (q, vec) when all of it is expanded."""
     beam = materialize(queries.select("q", F.col("q").alias("x"), F.lit(2.0).cast("float").alias("s"), F.lit(False).alias("done")), "beam")
 
@@ -237,14 +267,14 @@ def search(lists: DataFrame, queries: DataFrame) -> DataFrame:
             order = np.lexsort((~done, x))
             _, first = np.unique(x[order], return_index=True)
             one = order[first]
-            top = one[np.lexsort((x[one], -s[one]))[:BEAM]]
+            top = one[np.lexsort((x[one], -s[one]))[:width]]
             yield pa.RecordBatch.from_arrays([pa.array(q[top]), pa.array(x[top]), pa.array(s[top]), pa.array(done[top])], names=["q", "x", "s", "done"])
 
     while True:
         open_ = beam.where(~F.col("done"))
         if open_.isEmpty():
             return beam.select("q", "x", "s")
-        last = beam.groupBy("q").agg(F.when(F.count("*") >= BEAM, F.min("s")).otherwise(-2.0).cast("float").alias("last"))
+        last = beam.groupBy("q").agg(F.when(F.count("*") >= width, F.min("s")).otherwise(-2.0).cast("float").alias("last"))
         asked = open_.select("q", "x").join(last, "q").join(queries, "q")
         fresh = asked.join(lists, F.col("x") == F.col("node")).select("q", "vec", "last", "near", "vecs").mapInArrow(expand, "q long, x long, s float, done boolean")
         both = beam.select("q", "x", "s", F.lit(True).alias("done")).union(fresh)
@@ -280,7 +310,7 @@ def nearest(table: DataFrame, every: int = EVERY, k: int = NEAREST) -> DataFrame
     lists = materialize(lists_of(graph_of(vectors, count, size), vectors), "lists")
     asked = materialize(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("x").alias("q")).distinct(), "queries")
     own = asked.select("q").distinct().join(vectors, F.col("q") == F.col("node")).select("q", "vec")
-    beam = search(lists, materialize(own, "asked"))
+    beam = search(lists, materialize(own, "asked"), beam_of(count))
     of = nodes.select("node", "x", "members")
     pairs = beam.select("q", F.col("x").alias("found")).join(of.select(F.col("node").alias("q"), F.col("x").alias("a")), "q").join(of.select(F.col("node").alias("found"), F.col("x").alias("b"), "members"), "found")
     each = measured(pairs).select("q", "score", F.explode("members").alias("vec_id"))

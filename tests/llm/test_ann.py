@@ -50,3 +50,19 @@ def test_odd_rows(spark):
     assert ann.nearest(table.where("vec_id >= 200")).count() == 0 and ann.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
     few = found(ann.nearest(table.where("vec_id in (50, 2, 3)")))
     assert len(few[50]) == 2
+
+
+def test_joins_go_on_until_few_lists_change(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 32)
+    monkeypatch.setattr(ann, "DIRECTIONS", 1)
+    x = np.random.default_rng(8).standard_normal((3000, 16)).astype(np.float32)
+    vectors = ann.halved(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, x array<double>")).localCheckpoint()
+    near = {}
+    for r in ann.graph_of(vectors, 3000, 16).collect():
+        near.setdefault(r.v, set()).add(r.u)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    want = np.argsort(-sims, axis=1)[:, : ann.K]
+    assert np.mean([len(near[i] & set(w.tolist())) / ann.K for i, w in enumerate(want)]) >= 0.9
+    assert ann.beam_of(50_000) == ann.BEAM and ann.beam_of(200_000) == 2 * ann.BEAM
