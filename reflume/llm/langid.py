@@ -26,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Bounds of what is learned from: for each language so many whole texts of at most so many characters.
+#: Bounds of what is learned from: for each language so many texts, of each at most so many characters from its first letter on.
 SAMPLE_TEXTS, SAMPLE_CHARS = 60, 1500
 SEGMENT, AT_ONCE = 512, 1 << 20
 UNKNOWN = "und"
+#: Bits of a letter that a language's sample lacks, at least, however small the sample.
+LETTER_BITS = 16.0
 #: Bits a symbol beyond which a text is in none of the languages. Short texts with a key in them and texts in two
 #: languages cost up to 6, letters of another script twice as much.
 MOST_BITS = 8.0
@@ -41,11 +43,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(language, labelled text), sorted: at most SAMPLE_TEXTS texts a language, the first by a hash of doc_id."""
+    """(language, labelled text), sorted: of at most SAMPLE_TEXTS texts a language, the first by a hash of doc_id, SAMPLE_CHARS characters each."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "text")
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    short = known.select("doc_id", "lang", "text").where(F.length("text") <= SAMPLE_CHARS)
-    rows = short.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_TEXTS).collect()
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+    parts = known.select("doc_id", "lang", F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, SAMPLE_CHARS).alias("text"))
+    rows = parts.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_TEXTS).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.n)):
         texts.setdefault(r.lang, []).append(r.text)
@@ -117,9 +119,16 @@ class Parser:
         kind = np.int32 if base < 1 << 30 else np.int64
         self.steps = np.concatenate(steps).astype(kind) if steps else np.empty(0, kind)
         self.bits = np.array([math.log2(len(t) + 2) for t in texts])
+        #: Letters that a language (rows) lacks, by symbol.
+        self.lacks = np.array([[n > 0 and c not in own for n, c in enumerate([" ", *letters, ""])] for own in map(set, texts)], bool).reshape(len(texts), self.symbols)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each language (rows) and text, and the texts' lengths in symbols."""
+        counts, _, sizes = self.parsed(texts)
+        return counts, sizes
+
+    def parsed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases and lacking letters of each language (rows) and text, and the texts' lengths in symbols."""
         lengths = np.array([len(t) for t in texts])
         symbols = self.table[np.frombuffer("".join(texts).encode("utf-32-le"), np.int32)]
         begins = np.cumsum(lengths) - lengths
@@ -147,7 +156,12 @@ class Parser:
         out = np.zeros((len(self.roots), len(texts)), np.int64)
         for row, counted in zip(out, count, strict=True):
             row += np.bincount(owner, counted, len(texts)).astype(np.int64)
-        return out, sizes
+        lacking = np.zeros_like(out)
+        odd = np.flatnonzero(self.lacks.any(0)[symbols])
+        of = np.searchsorted(begins, odd, side="right") - 1
+        for row, lacks in zip(lacking, self.lacks, strict=True):
+            row += np.bincount(of[lacks[symbols[odd]]], minlength=len(texts))
+        return out, lacking, sizes
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
         """(language, score, bits a symbol) of each text; the score is by how much the best beats the second.
@@ -157,12 +171,13 @@ class Parser:
         lowered = [(t or "").lower() for t in texts]
         if not self.languages:
             return [(UNKNOWN, 0.0, None)] * len(texts)
-        counts, sizes = self.phrases(lowered)
-        rates = counts * self.bits[:, None] / np.maximum(sizes, 1)
+        counts, lacking, sizes = self.parsed(lowered)
+        costs = counts * self.bits[:, None] + lacking * np.maximum(0, LETTER_BITS - self.bits)[:, None]
+        rates = costs / np.maximum(sizes, 1)
         best = np.argmin(rates, axis=0)
         ordered = np.sort(rates, axis=0)
         second = ordered[1] if len(ordered) > 1 else np.full(len(texts), np.inf)
-        fresh = (counts - 1)[best, np.arange(len(texts))] * self.bits[best] / np.maximum(sizes, 1)
+        fresh = (costs[best, np.arange(len(texts))] - self.bits[best]) / np.maximum(sizes, 1)
         with np.errstate(invalid="ignore"):
             scores = np.where(np.isinf(second), 1.0, 1 - ordered[0] / np.maximum(second, 1e-300))
         return [(self.languages[b], float(s), float(r)) if n else (UNKNOWN, 0.0, None) for b, s, r, n in zip(best, scores, fresh, sizes, strict=True)]

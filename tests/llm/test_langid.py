@@ -66,3 +66,15 @@ def test_letters_at_random_are_rejected(spark):
     docs = labelled(spark)
     kept = langid.accept(docs.union(noise))
     assert kept.count() == docs.count()
+
+
+def test_long_texts_are_learned_from_and_tiny_samples_win_nothing(spark):
+    rng = random.Random(6)
+    long = [(10_000 + i, "7" * 2000 + " " + " ".join(rng.choice(["дом", "река", "поле"]) for _ in range(900)), "ru") for i in range(40)]
+    tiny = [(i, "ok", "zz") for i in range(20_000, 20_010)]
+    docs = labelled(spark).union(spark.createDataFrame(long + tiny, "doc_id long, text string, lang string"))
+    found = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    assert all(len(t) <= 60 * (langid.SAMPLE_CHARS + 1) for _, t in langid.sample(docs))
+    assert all(found[i] == "ru" for i, _, _ in long)
+    assert sum(found[i] == truth[i] for i in range(300)) >= 0.95 * 300
