@@ -32,9 +32,11 @@ SEGMENT, AT_ONCE = 512, 1 << 20
 UNKNOWN = "und"
 #: Bits of a letter that a language's sample lacks, at least, however small the sample.
 LETTER_BITS = 16.0
-#: Bits a symbol beyond which a text is in none of the languages. Short texts with a key in them and texts in two
-#: languages cost up to 6, letters of another script twice as much.
-MOST_BITS = 8.0
+#: Symbols of the parts by which a text is in learned languages or not.
+PART = 64
+#: Bits a symbol beyond which a text is in none of the languages, each part by the language it costs least in, and
+#: bits that a whole part in a learned language stays within, whatever stands around it.
+MOST_BITS, CLEAR_BITS = 8.0, 4.0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -124,11 +126,16 @@ class Parser:
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each language (rows) and text, and the texts' lengths in symbols."""
-        counts, _, sizes = self.parsed(texts)
-        return counts, sizes
+        counts, _, owner, _, sizes = self.parsed(texts)
+        return self.by_text(counts, owner, len(texts)), sizes
 
-    def parsed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases and lacking letters of each language (rows) and text, and the texts' lengths in symbols."""
+    @staticmethod
+    def by_text(values: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+        """Sums over the parts of each text."""
+        return np.array([np.bincount(owner, row, count) for row in values], values.dtype).reshape(len(values), count)
+
+    def parsed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases that start in and letters that lack, of each language (rows) and part of PART symbols; the parts' texts and sizes, the texts' sizes."""
         lengths = np.array([len(t) for t in texts])
         symbols = self.table[np.frombuffer("".join(texts).encode("utf-32-le"), np.int32)]
         begins = np.cumsum(lengths) - lengths
@@ -148,39 +155,55 @@ class Parser:
         state = np.repeat(np.array(self.roots, self.steps.dtype)[:, None], len(at), 1)
         count = np.zeros((len(self.roots), len(at)), np.int64)
         lanes = np.searchsorted(-size, -np.arange(SEGMENT), side="left")
-        for t in range(int(size[0]) if len(size) else 0):
+        longest = int(size[0]) if len(size) else 0
+        counts, before = [], np.zeros_like(count)
+        for t in range(longest):
             n = lanes[t]
             step = self.steps[state[:, :n] + symbols[at[:n] + t]]
             state[:, :n] = step >> 1
             count[:, :n] += step & 1
-        out = np.zeros((len(self.roots), len(texts)), np.int64)
-        for row, counted in zip(out, count, strict=True):
-            row += np.bincount(owner, counted, len(texts)).astype(np.int64)
-        lacking = np.zeros_like(out)
+            if t % PART == PART - 1 or t == longest - 1:
+                n = lanes[t - t % PART]
+                counts.append(count[:, :n] - before[:, :n])
+                before = count.copy()
+        held = [int(lanes[k]) for k in range(0, longest, PART)]
+        none = np.empty(0, np.int64)
+        starts = np.concatenate([none, *(at[:n] + k * PART for k, n in enumerate(held))])
+        of = np.concatenate([none, *(owner[:n] for n in held)])
+        long = np.concatenate([none, *(np.minimum(PART, size[:n] - k * PART) for k, n in enumerate(held))])
+        phrases = np.concatenate([np.empty((len(self.roots), 0), np.int64), *counts], axis=1)
+        place = np.argsort(starts)
+        lacking = np.zeros_like(phrases)
         odd = np.flatnonzero(self.lacks.any(0)[symbols])
-        of = np.searchsorted(begins, odd, side="right") - 1
+        part_of = place[np.searchsorted(starts[place], odd, side="right") - 1]
         for row, lacks in zip(lacking, self.lacks, strict=True):
-            row += np.bincount(of[lacks[symbols[odd]]], minlength=len(texts))
-        return out, lacking, sizes
+            row += np.bincount(part_of[lacks[symbols[odd]]], minlength=len(row))
+        return phrases, lacking, of, long, sizes
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
-        """(language, score, bits a symbol) of each text; the score is by how much the best beats the second.
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
+        """(language, score, bits a symbol, known) of each text; the score is by how much the best beats the second.
 
         The bits leave one phrase out, as every text has one, so that a short text isn't taken for a strange one.
+        Known are texts whose parts cost little, each in the language it costs least in, and those with a part that is clearly in one.
         """
         lowered = [(t or "").lower() for t in texts]
         if not self.languages:
-            return [(UNKNOWN, 0.0, None)] * len(texts)
-        counts, lacking, sizes = self.parsed(lowered)
-        costs = counts * self.bits[:, None] + lacking * np.maximum(0, LETTER_BITS - self.bits)[:, None]
+            return [(UNKNOWN, 0.0, None, False)] * len(texts)
+        counts, lacking, owner, long, sizes = self.parsed(lowered)
+        each = counts * self.bits[:, None] + lacking * np.maximum(0, LETTER_BITS - self.bits)[:, None]
+        costs = self.by_text(each, owner, len(texts))
         rates = costs / np.maximum(sizes, 1)
         best = np.argmin(rates, axis=0)
         ordered = np.sort(rates, axis=0)
         second = ordered[1] if len(ordered) > 1 else np.full(len(texts), np.inf)
         fresh = (costs[best, np.arange(len(texts))] - self.bits[best]) / np.maximum(sizes, 1)
+        least = each.min(axis=0)
+        clear = np.bincount(owner, (long == PART) & (least <= CLEAR_BITS * PART), len(texts)) > 0
+        mixed = (np.bincount(owner, least, len(texts)) - self.bits[best]) / np.maximum(sizes, 1)
+        known = (sizes > 0) & (clear | (mixed <= MOST_BITS))
         with np.errstate(invalid="ignore"):
             scores = np.where(np.isinf(second), 1.0, 1 - ordered[0] / np.maximum(second, 1e-300))
-        return [(self.languages[b], float(s), float(r)) if n else (UNKNOWN, 0.0, None) for b, s, r, n in zip(best, scores, fresh, sizes, strict=True)]
+        return [(self.languages[b], float(s), float(r), bool(k)) if n else (UNKNOWN, 0.0, None, False) for b, s, r, k, n in zip(best, scores, fresh, known, sizes, strict=True)]
 
 
 @lru_cache(1)
@@ -189,10 +212,10 @@ def parser(labelled: tuple[tuple[str, str], ...]) -> Parser:
 
 
 def predict(docs: DataFrame, labelled: list[tuple[str, str]]) -> DataFrame:
-    """Adds lang_pred, score and bits (a symbol, by the predicted language) to docs; columns of those names are replaced."""
-    made = ("lang_pred", "score", "bits")
+    """Adds lang_pred, score, bits (a symbol, by the predicted language) and known to docs; columns of those names are replaced."""
+    made = ("lang_pred", "score", "bits", "known")
     kept = [f for f in docs.schema if f.name not in made]
-    schema = type(docs.schema)([*kept]).add("lang_pred", "string").add("score", "double").add("bits", "double")
+    schema = type(docs.schema)([*kept]).add("lang_pred", "string").add("score", "double").add("bits", "double").add("known", "boolean")
     learned = tuple(labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,16 +229,18 @@ def predict(docs: DataFrame, labelled: list[tuple[str, str]]) -> DataFrame:
                     out += own.predict(texts)
                     texts, size = [], 0
             out += own.predict(texts) if texts else []
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64())], names=[*(f.name for f in kept), *made])
+            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.bool_())], names=[*(f.name for f in kept), *made])
 
     return docs.mapInArrow(run, schema)
 
 
 def accept(docs: DataFrame) -> DataFrame:
-    """docs without those in no learned language: undetermined ones, and those that cost over MOST_BITS a symbol."""
-    found = predict(docs, sample(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("bits") <= MOST_BITS)).select(*docs.columns)
+    """docs without those in no learned language: undetermined ones, and those of which no part is in any, nor all parts together within MOST_BITS a symbol."""
+    made = [c for c in ("lang_pred", "score", "bits", "known") if c in docs.columns]
+    kept = docs.select(F.struct(*docs.columns).alias("_doc"), "text", "lang", "doc_id") if made else docs
+    found = predict(kept, sample(docs)).where((F.col("lang_pred") != UNKNOWN) & F.col("known"))
+    return found.select("_doc.*") if made else found.select(*docs.columns)
 
 
 def identify(docs: DataFrame) -> DataFrame:

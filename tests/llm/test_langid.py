@@ -78,3 +78,14 @@ def test_long_texts_are_learned_from_and_tiny_samples_win_nothing(spark):
     assert all(len(t) <= 60 * (langid.SAMPLE_CHARS + 1) for _, t in langid.sample(docs))
     assert all(found[i] == "ru" for i, _, _ in long)
     assert sum(found[i] == truth[i] for i in range(300)) >= 0.95 * 300
+
+
+def test_texts_in_two_scripts_are_kept(spark):
+    rng = random.Random(7)
+    of = {"en": "abcdefghijklmnoprstuwy", "ru": "абвгдежзиклмнопрстуыья"}
+    lexicon = {g: ["".join(rng.choice(a) for _ in range(rng.randint(3, 9))) for _ in range(2000)] for g, a in of.items()}
+    said = lambda g, n: " ".join(rng.choice(lexicon[g]) for _ in range(n))
+    rows = [(i, said(g, 200), g) for i, g in enumerate(["en", "ru"] * 80)]
+    halves = [(1000, said("en", 300) + " " + said("ru", 300)), (1001, " ".join(said(g, 15) for g in ["en", "ru"] * 20)), (1002, "語" * 500 + " " + said("en", 60)), (1003, "語" * 500)]
+    docs = spark.createDataFrame(rows + [(i, t, None) for i, t in halves], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in langid.accept(docs).collect()} == {i for i, _, _ in rows} | {1000, 1001, 1002}
