@@ -69,3 +69,28 @@ def test_rare_sources_cut_nothing_but_the_surplus(spark):
 def test_the_pipeline_keeps_a_corpus_with_one_odd_source(spark):
     rows = spark.range(3000).selectExpr("id as doc_id", "'x' as text", "if(id = 7, null, concat('s', id % 5)) as source")
     assert corpus_pipeline.mix(spark, rows, "").count() == 3000
+
+
+def many(spark, sources, rows):
+    return spark.range(rows).selectExpr("id as doc_id", f"if(id % 10 = 0, 'hot', concat('s', id % {sources - 1})) as source", "'x' as text")
+
+
+def test_sources_beyond_the_period_all_get_slots(spark):
+    for sources, period in ((700, 100), (2700, 1000)):
+        docs = many(spark, sources, 6000)
+        assert docs.select("source").distinct().count() > period
+        rows = mixing.mix(docs, 1, period).collect()
+        assert sorted(r.doc_id for r in rows) == list(range(6000)) and len({r.place for r in rows}) == 6000
+        assert all(0 <= r.slot < r.deadline for r in rows)
+        assert mixing.without_surplus(docs, 1, period).count() == 6000
+        assert mixing.mixture(docs, 1, period).count() > 0
+
+
+def test_many_sources_equal_sql(spark):
+    docs = many(spark, 700, 2000)
+    assert docs.select("source").distinct().count() > 500
+    duck = duckdb.connect()
+    duck.register("documents", docs.toPandas())
+    wanted = duck.execute(mixing.oracle()).fetchdf()
+    found = mixing.mix(docs).select(*wanted.columns).toPandas()
+    assert sorted(map(tuple, found.values.tolist())) == sorted(map(tuple, wanted.values.tolist()))
