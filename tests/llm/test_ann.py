@@ -54,7 +54,6 @@ def test_odd_rows(spark):
 
 def test_joins_go_on_until_few_lists_change(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 32)
-    monkeypatch.setattr(ann, "DIRECTIONS", 1)
     x = np.random.default_rng(8).standard_normal((3000, 16)).astype(np.float32)
     vectors = ann.halved(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, x array<double>")).localCheckpoint()
     near = {}
