@@ -18,8 +18,9 @@ most the symmetric difference too and drops most pairs before their sets are com
 Links are only looked for as far as the components need them, which loses none between
 components: first each document against the first and the previous one of its key; then,
 in keys whose documents aren't all connected, against the one with most links; last all
-pairs of a key that are in different components and pass the sketches, each at the first
-key of a run that both have. Exact copies share a set and are one node throughout.
+pairs of a key that are in different components and pass the sketches, each at the keys
+that come with none that both have among the BEFORE keys before, the first one always.
+Exact copies share a set and are one node throughout.
 
 Words are what stands between ASCII white space, with A-Z lower-cased. Fewer words than k
 are one k-gram; no words or a null text make an empty set, which links with nothing: the
@@ -43,8 +44,10 @@ from .common import drop_stage, materialize, mix64, powers, random_words, screen
 #: Where no contract says otherwise: words of a shingle and percent of similarity.
 WORDS, PERCENT = 5, 80
 BITS = 512
-#: Links that a single task may unite: 16 MB of ids.
+#: Links that a single task may unite: 16 MB of ids, some 100 MB at work.
 ONE_TASK = 1_000_000
+#: Keys before its own that a row of an unfinished key remembers.
+BEFORE = 16
 _LANES = BITS // 64
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -152,9 +155,14 @@ def least_apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def row_key(text: Column) -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def sketched(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (the set's hash, null if empty), and the sketches of the first row of each set in a task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("parity", pa.list_(pa.int64())), ("spare", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))])
+    """doc_id, row_key (the text's hash), n_shingles, node (the set's hash, null if empty), and the sketches of the first row of each set in a task."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("parity", pa.list_(pa.int64())), ("spare", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -172,10 +180,10 @@ def sketched(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 keys, spare = segment_keys(tokens, percent) if fresh else (None, None)
                 rows.append((len(tokens), node, parity(tokens) if fresh else None, spare, keys.view(np.int64) if fresh else None))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[2:], strict=True))], schema=schema)
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_shingles long, node long, parity array<long>, spare array<int>, keys array<long>")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("row_key"), F.col("text").cast("string").alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, row_key long, n_shingles long, node long, parity array<long>, spare array<int>, keys array<long>")
 
 
 def token_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -239,23 +247,22 @@ def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
 
 
 def united(edges: DataFrame) -> DataFrame:
-    """components() of edges that fit one task, by union-find."""
+    """components() of edges that fit one task: roots hook on to smaller ones, and all nodes point at their roots, until no edge is between two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (up := root.setdefault(x, x)) != x:
-                root[x] = root[up]
-                x = up
-            return x
-
-        for batch in batches:
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                a, b = find(a), find(b)
-                root[max(a, b)] = min(a, b)
-        nodes = list(root)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "label"])
+        none = np.empty(0, np.int64)
+        ends = [np.concatenate([none, *c]) for c in zip(*((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches), strict=True)] or [none, none]
+        nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+        a, b = np.split(at, 2)
+        root = np.arange(len(nodes))
+        while len(a):
+            x, y = root[a], root[b]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(up := root[root], root):
+                root = up
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[root], pa.int64())], names=["node", "label"])
 
     return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, label long")
 
@@ -308,8 +315,13 @@ def rare_keys(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs."""
+    return linked(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """link_components() with row_key and component, a label that no other component has, of each row."""
     made = materialize(sketched(docs, words, percent), "sketches")
-    narrow = materialize(made.select("doc_id", "n_shingles", "node"), "sets")
+    narrow = materialize(made.select("doc_id", "row_key", "n_shingles", "node"), "sets")
     nodes = materialize(made.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("sample"), F.first("parity", True).alias("parity"), F.first("spare", True).alias("spare")), "nodes")
 
     order = Window.partitionBy("key").orderBy("node")
@@ -335,28 +347,35 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         links = links.union(verified(pairs, nodes, sets, percent))
         labels = components(links)
         rows = unfinished(rows, labels)
-        prior = F.lag("key").over(Window.partitionBy("node").orderBy("key"))
-        rows = materialize(rows.withColumn("prior", prior).join(nodes.select("node", "n", "parity"), "node"), "unfinished")
-        run = F.col("x.prior").isNull() | F.col("y.prior").isNull() | (F.col("x.prior") != F.col("y.prior"))
-        apart = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & run & near_by_sketch("x", "y", percent))
+        before = F.collect_list("key").over(Window.partitionBy("node").orderBy("key").rowsBetween(-BEFORE, -1))
+        rows = materialize(rows.withColumn("before", before).join(nodes.select("node", "n", "parity"), "node"), "unfinished")
+        fresh = ~F.arrays_overlap("x.before", "y.before")
+        apart = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & near_by_sketch("x", "y", percent) & fresh)
         links = links.union(verified(apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), nodes, sets, percent))
         labels = components(links)
 
     placed = nodes.select("node", "sample").join(labels, "node", "left").select("node", "sample", F.coalesce("label", "node").alias("label"))
     least = placed.groupBy("label").agg(F.min("sample").alias("component_id"))
-    of = placed.join(least, "label").select("node", "component_id")
+    of = placed.join(least, "label").select("node", "component_id", F.col("label").alias("component"))
     out = narrow.join(of, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "row_key", "n_shingles", own.alias("component_id"), "component")
 
 
 def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component, that of its smallest doc_id; documents without words or without doc_id all stay.
 
-    Of rows with the same doc_id and text one stays.
+    Rows are told apart by doc_id and text: of rows that repeat both one stays, whatever they link to, and
+    rows of one doc_id with other texts go or stay by their own components.
     """
-    found = link_components(docs, words, percent)
-    gone = materialize(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    again = docs.groupBy(F.col("doc_id").cast("long").alias("_gone")).count().where("count > 1").select("_gone")
-    rows = screened(docs, "doc_id", gone.union(again))
-    maybe = rows.where("_maybe").drop("_maybe").join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return rows.where("not _maybe").drop("_maybe").union(maybe.dropDuplicates(["doc_id", "text"]))
+    found = materialize(linked(docs, words, percent).select("doc_id", "row_key", "component_id", "component"), "linked")
+    again = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    repeated = found.join(again.withColumnRenamed("doc_id", "_of"), F.col("doc_id") == F.col("_of")).where("doc_id = component_id and component is not null")
+    first = repeated.groupBy("doc_id", "component").agg(F.min("row_key").alias("first"))
+    others = repeated.join(first, ["doc_id", "component"]).where("row_key != first").select("doc_id", "row_key")
+    gone = materialize(found.where("doc_id != component_id").select("doc_id", "row_key").union(others).toDF("_gone", "_gone_key"), "gone")
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_of"), row_key(F.col("text")).alias("_key"))
+    rows = screened(packed, "_of", gone.select("_gone").union(again))
+    maybe = rows.where("_maybe").join(gone, (F.col("_of") == F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
+    kept = rows.where("not _maybe").select("_doc").union(maybe.dropDuplicates(["_of", "_key"]).select("_doc"))
+    return kept.select("_doc.*")

@@ -122,3 +122,37 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id for r in kept.select("doc_id").collect()), key=repr) == sorted([None, -9, 0, 3, 4, 5, 6, 7, 8, 10], key=repr)
     assert jaccard.link_components(none(spark)).count() == 0 and jaccard.representatives(none(spark)).count() == 0
     assert docs.where(F.col("doc_id") == 0).count() == 1
+
+
+def test_long_texts_that_share_passages(spark, monkeypatch):
+    """Families with shared passages between the threshold and far below it, whose keys stay unfinished."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    said = lambda n: [rng.choice(words) for _ in range(n)]
+    passages = [said(n) for n in (60, 60, 300, 900)]
+    rows = []
+    for n in range(90):
+        body = [said(rng.choice([20, 150, 400])), *rng.sample(passages, rng.choice([1, 2, 3]))]
+        rng.shuffle(body)
+        text = [w for part in body for w in part]
+        rows.append((n, " ".join(text)))
+        if n % 9 == 0:
+            for k in (4, 40, 160):
+                own = list(text)
+                for _ in range(len(own) // k):
+                    own[rng.randrange(len(own))] = rng.choice(words)
+                rows.append((1000 + 10 * n + k % 7, " ".join(own)))
+    monkeypatch.setattr(jaccard, "BEFORE", 2)
+    for k, percent in ((5, 80), (2, 60)):
+        found = jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), k, percent).collect()
+        assert sorted(map(tuple, found), key=repr) == brute(rows, k, percent)
+
+
+def test_rows_of_one_id_go_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c.upper()), (9, "Z " + b), (None, a), (11, None), (11, ""), (11, "")]
+    docs = spark.createDataFrame([(i, t, n, str(n), n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, _maybe int, _gone string, _key long")
+    kept = jaccard.representatives(docs).collect()
+    assert all((r.doc_id, r.text) == rows[r._key] and r._maybe == r._key and r._gone == str(r._key) for r in kept)
+    texts = sorted(((r.doc_id, r.text.lower() if r.text else r.text) for r in kept), key=repr)
+    assert texts == sorted([(1, a), (5, b), (7, c), (None, a), (11, None), (11, "")], key=repr)
