@@ -5,9 +5,10 @@ is parsed against it into phrases, each the longest match with the labelled text
 times the log of the labelled length over the text's length estimates the cross entropy.
 The language with the least is predicted.
 
-Letters are lower-cased and everything else is one space, whatever stands there. Restarts
-make the parse a deterministic automaton that counts breaks, so segments of many texts are
-parsed side by side; a text longer than SEGMENT is parsed in segments, all of it.
+Letters are lower-cased and everything else is one space, whatever stands there. Going back to
+the root at each phrase makes the parse a deterministic automaton that counts phrases, so segments of
+many texts are parsed side by side. Where a segment has one before it, it is parsed anew from that
+one's last state until both parses meet, so the phrases are those of one parse of the whole text.
 
 Null texts and texts without a letter get ``und`` with score 0. Ties go to the language
 that sorts first. Without labelled rows every text gets ``und``. Repeated rows are
@@ -17,18 +18,19 @@ predicted each.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Bounds of what is learned from: for each language so many texts, of each at most so many characters from its first letter on.
 SAMPLE_TEXTS, SAMPLE_CHARS = 60, 1500
-SEGMENT, AT_ONCE = 512, 1 << 20
+SEGMENT, AT_ONCE = 512, 1 << 19
 UNKNOWN = "und"
 #: Bits of a letter that a language's sample lacks, at least, however small the sample.
 LETTER_BITS = 16.0
@@ -60,33 +62,33 @@ def plain(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def automaton(text: str) -> list[dict[str, int]]:
-    """Transitions of the suffix automaton, by state; 0 is the root."""
-    go: list[dict[str, int]] = [{}]
-    link, size, last = [-1], [0], 0
+def automaton(text: Sequence[int], symbols: int) -> np.ndarray:
+    """Transitions of the suffix automaton by state (rows, 0 is the root) and symbol, -1 where there is none."""
+    none = array("i", [-1]) * symbols
+    go, link, size, last = array("i", none), [-1], [0], 0
     for c in text:
-        go.append({})
+        new, at = len(link), last
+        go.extend(none)
         link.append(0)
         size.append(size[last] + 1)
-        new, at = len(go) - 1, last
-        while at >= 0 and c not in go[at]:
-            go[at][c] = new
+        while at >= 0 and go[at * symbols + c] < 0:
+            go[at * symbols + c] = new
             at = link[at]
         if at >= 0:
-            to = go[at][c]
+            to = go[at * symbols + c]
             if size[to] == size[at] + 1:
                 link[new] = to
             else:
-                go.append(dict(go[to]))
+                copy = len(link)
+                go.extend(go[to * symbols : (to + 1) * symbols])
                 size.append(size[at] + 1)
                 link.append(link[to])
-                copy = len(go) - 1
-                while at >= 0 and go[at].get(c) == to:
-                    go[at][c] = copy
+                while at >= 0 and go[at * symbols + c] == to:
+                    go[at * symbols + c] = copy
                     at = link[at]
                 link[to] = link[new] = copy
         last = new
-    return go
+    return np.frombuffer(go, np.int32).reshape(-1, symbols)
 
 
 class Parser:
@@ -103,23 +105,24 @@ class Parser:
         self.table[alpha] = self.symbols - 1
         for n, c in enumerate(letters):
             self.table[ord(c)] = n + 1
-        number = {c: n + 1 for n, c in enumerate(letters)} | {" ": 0}
-        steps, self.roots, base = [], [], 0
+        #: By language: its own number of each symbol, the last one for letters that it lacks; steps are
+        #: twice the place of the state that follows, plus one where a phrase starts, by state and own symbol.
+        self.own: list[np.ndarray] = []
+        self.steps: list[np.ndarray] = []
+        self.roots: list[int] = []
         for text in texts:
-            go = automaton(text)
+            number = {c: n for n, c in enumerate([" ", *sorted(set(text) - {" "})])}
+            width = len(number) + 1
+            self.own.append(np.array([number.get(c, width - 1) for c in [" ", *letters, ""]], np.int32))
+            go = automaton([number[c] for c in text], width)
             # One state more: nothing read yet, or a letter that no phrase goes on from. Each step from it starts a phrase.
-            state = np.full((len(go) + 1, self.symbols), -1, np.int64)
-            for s, edges in enumerate(go):
-                for c, to in edges.items():
-                    state[s, number[c]] = to
-            again = np.where(state[0] >= 0, state[0], len(go))
-            breaks = state < 0
-            step = (np.where(breaks, again, state) * self.symbols + base) << 1 | breaks
-            steps.append(step.ravel())
-            self.roots.append(base + len(go) * self.symbols)
-            base += step.size
-        kind = np.int32 if base < 1 << 30 else np.int64
-        self.steps = np.concatenate(steps).astype(kind) if steps else np.empty(0, kind)
+            again = np.where(go[0] >= 0, go[0], len(go)).astype(np.int32)
+            step = np.empty((len(go) + 1, width), np.int32)
+            np.multiply(np.where(go < 0, again, go), 2 * width, out=step[:-1])
+            step[:-1] |= go < 0
+            step[-1] = again * (2 * width) | 1
+            self.steps.append(step.ravel())
+            self.roots.append(len(go) * width)
         self.bits = np.array([math.log2(len(t) + 2) for t in texts])
         #: Letters that a language (rows) lacks, by symbol.
         self.lacks = np.array([[n > 0 and c not in own for n, c in enumerate([" ", *letters, ""])] for own in map(set, texts)], bool).reshape(len(texts), self.symbols)
@@ -134,6 +137,38 @@ class Parser:
         """Sums over the parts of each text."""
         return np.array([np.bincount(owner, row, count) for row in values], values.dtype).reshape(len(values), count)
 
+    @staticmethod
+    def walked(steps: np.ndarray, root: int, symbols: np.ndarray, at: np.ndarray, size: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        """The step at each place of each segment (columns), as one parse of each text from its first symbol on takes them.
+
+        All segments are first parsed from the root, side by side. Then those that an earlier segment of
+        their text (prior, or -1) goes on into are parsed anew from where it ends, up to the place where
+        both parses are in one state, and so on until each segment begins where its prior ends.
+        """
+        longest = int(size[0]) if len(size) else 0
+        path = np.zeros((longest, len(at)), np.int32)
+        state = np.full(len(at), root, np.int32)
+        lanes = np.searchsorted(-size, -np.arange(longest), side="left")
+        for t in range(longest):
+            n = lanes[t]
+            path[t, :n] = steps[state[:n] + symbols[at[:n] + t]]
+            state[:n] = path[t, :n] >> 1
+        begun, follows = np.full(len(at), root, np.int32), np.flatnonzero(prior >= 0)
+        while True:
+            ends = path[size[prior[follows]] - 1, prior[follows]] >> 1
+            changed = ends != begun[follows]
+            lane, state = follows[changed], ends[changed]
+            if not len(lane):
+                return path
+            begun[lane] = state
+            for t in range(longest):
+                step = steps[state + symbols[at[lane] + t]]
+                on = (step >> 1 != path[t, lane] >> 1) & (t + 1 < size[lane])
+                path[t, lane] = step
+                lane, state = lane[on], step[on] >> 1
+                if not len(lane):
+                    break
+
     def parsed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Phrases that start in and letters that lack, of each language (rows) and part of PART symbols; the parts' texts and sizes, the texts' sizes."""
         lengths = np.array([len(t) for t in texts])
@@ -151,27 +186,21 @@ class Parser:
         at = begins[owner] + part * SEGMENT
         size = np.minimum(SEGMENT, sizes[owner] - part * SEGMENT)
         order = np.argsort(-size, kind="stable")
+        lane = np.empty_like(order)
+        lane[order] = np.arange(len(order))
+        prior = np.where(part > 0, lane[np.arange(len(order)) - 1], -1)[order] if len(order) else order
         at, owner, size = at[order], owner[order], size[order]
-        state = np.repeat(np.array(self.roots, self.steps.dtype)[:, None], len(at), 1)
-        count = np.zeros((len(self.roots), len(at)), np.int64)
-        lanes = np.searchsorted(-size, -np.arange(SEGMENT), side="left")
         longest = int(size[0]) if len(size) else 0
-        counts, before = [], np.zeros_like(count)
-        for t in range(longest):
-            n = lanes[t]
-            step = self.steps[state[:, :n] + symbols[at[:n] + t]]
-            state[:, :n] = step >> 1
-            count[:, :n] += step & 1
-            if t % PART == PART - 1 or t == longest - 1:
-                n = lanes[t - t % PART]
-                counts.append(count[:, :n] - before[:, :n])
-                before = count.copy()
-        held = [int(lanes[k]) for k in range(0, longest, PART)]
+        rows = range(0, longest, PART)
+        held = [int(np.searchsorted(-size, -k, side="left")) for k in rows]
         none = np.empty(0, np.int64)
-        starts = np.concatenate([none, *(at[:n] + k * PART for k, n in enumerate(held))])
+        starts = np.concatenate([none, *(at[:n] + k for k, n in zip(rows, held, strict=True))])
         of = np.concatenate([none, *(owner[:n] for n in held)])
-        long = np.concatenate([none, *(np.minimum(PART, size[:n] - k * PART) for k, n in enumerate(held))])
-        phrases = np.concatenate([np.empty((len(self.roots), 0), np.int64), *counts], axis=1)
+        long = np.concatenate([none, *(np.minimum(PART, size[:n] - k) for k, n in zip(rows, held, strict=True))])
+        phrases = np.zeros((len(self.roots), len(starts)), np.int64)
+        for row, own, steps, root in zip(phrases, self.own, self.steps, self.roots, strict=True):
+            path = self.walked(steps, root, own[symbols], at, size, prior)
+            row[:] = np.concatenate([none, *((path[k : k + PART, :n] & 1).sum(0) for k, n in zip(rows, held, strict=True))])
         place = np.argsort(starts)
         lacking = np.zeros_like(phrases)
         odd = np.flatnonzero(self.lacks.any(0)[symbols])
@@ -211,39 +240,39 @@ def parser(labelled: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(labelled)
 
 
-def predict(docs: DataFrame, labelled: list[tuple[str, str]]) -> DataFrame:
-    """Adds lang_pred, score, bits (a symbol, by the predicted language) and known to docs; columns of those names are replaced."""
-    made = ("lang_pred", "score", "bits", "known")
-    kept = [f for f in docs.schema if f.name not in made]
-    schema = type(docs.schema)([*kept]).add("lang_pred", "string").add("score", "double").add("bits", "double").add("known", "boolean")
+def predicted(text: Column, labelled: list[tuple[str, str]]) -> Column:
+    """A struct of lang_pred, score, bits (a symbol, by the predicted language) and known for each text; only texts go to Python."""
     learned = tuple(labelled)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("lang_pred string, score double, bits double, known boolean")
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = parser(learned)
-        for batch in batches:
+        for column in columns:
             out, texts, size = [], [], 0
-            for value in batch.column("text"):
-                texts.append(value.as_py())
-                size += len(texts[-1] or "")
+            for value in column:
+                texts.append(value)
+                size += len(value or "")
                 if size >= AT_ONCE:
                     out += own.predict(texts)
                     texts, size = [], 0
             out += own.predict(texts) if texts else []
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.bool_())], names=[*(f.name for f in kept), *made])
+            yield pd.DataFrame(out, columns=["lang_pred", "score", "bits", "known"])
 
-    return docs.mapInArrow(run, schema)
+    return run(text)
 
 
 def accept(docs: DataFrame) -> DataFrame:
-    """docs without those in no learned language: undetermined ones, and those of which no part is in any, nor all parts together within MOST_BITS a symbol."""
-    made = [c for c in ("lang_pred", "score", "bits", "known") if c in docs.columns]
-    kept = docs.select(F.struct(*docs.columns).alias("_doc"), "text", "lang", "doc_id") if made else docs
-    found = predict(kept, sample(docs)).where((F.col("lang_pred") != UNKNOWN) & F.col("known"))
-    return found.select("_doc.*") if made else found.select(*docs.columns)
+    """docs without those in no learned language: undetermined ones, and those of which no part is in any, nor all parts together within MOST_BITS a symbol.
+
+    Rows are kept as they are, whatever their columns are called; repeated rows go or stay alike.
+    """
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"))
+    found = packed.withColumn("_found", predicted(F.col("_doc.text").cast("string"), sample(docs)))
+    return found.where((F.col("_found.lang_pred") != UNKNOWN) & F.col("_found.known")).select("_doc.*")
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits: learned from the labelled rows that aren't held out."""
-    found = predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), sample(docs))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predicted(F.col("text"), sample(docs)).alias("_found"))
+    return found.select("doc_id", "held_out", "_found.lang_pred", "_found.score", "_found.bits")

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -40,6 +41,21 @@ def test_parse_equals_substring_search():
             assert sizes[0] == len(text) and counts[0, 0] == phrases(text, langid.plain(of))
 
 
+def test_phrases_over_segments_equal_substring_search(monkeypatch):
+    """Segments that come into step late or never, in texts of one letter and of many."""
+    rng = random.Random(9)
+    of = ["".join(rng.choice("abc ") for _ in range(300)) + " aaaaaaa", "".join(rng.choice("cdé ") for _ in range(200)), "ok"]
+    own = langid.Parser(tuple((str(n), t) for n, t in enumerate(of)))
+    texts = [langid.plain("".join(rng.choice(letters) for _ in range(rng.randint(0, 300)))) for letters in ["abc ", "a", "abcdé ", "zz a", "aab"] * 8]
+    for segment, part in ((8, 8), (64, 16), (512, 64)):
+        monkeypatch.setattr(langid, "SEGMENT", segment)
+        monkeypatch.setattr(langid, "PART", part)
+        counts, sizes = own.phrases(texts)
+        assert sizes.tolist() == [len(t) for t in texts]
+        for row, text in zip(counts, of, strict=True):
+            assert row.tolist() == [phrases(t, langid.plain(text)) for t in texts]
+
+
 def test_held_out_rows_are_recognised_and_not_learned_from(spark):
     docs = labelled(spark)
     found = {r.doc_id: r for r in langid.identify(docs).collect()}
@@ -89,3 +105,27 @@ def test_texts_in_two_scripts_are_kept(spark):
     halves = [(1000, said("en", 300) + " " + said("ru", 300)), (1001, " ".join(said(g, 15) for g in ["en", "ru"] * 20)), (1002, "語" * 500 + " " + said("en", 60)), (1003, "語" * 500)]
     docs = spark.createDataFrame(rows + [(i, t, None) for i, t in halves], "doc_id long, text string, lang string")
     assert {r.doc_id for r in langid.accept(docs).collect()} == {i for i, _, _ in rows} | {1000, 1001, 1002}
+
+
+def test_the_query_equals_a_plain_parse(spark, monkeypatch):
+    """lang_pred and score of every row, from substring search; text that is written over the columns' names stays."""
+    docs = labelled(spark, 60).union(spark.createDataFrame([(900, None, None), (901, " 12 ", "aa"), (902, "kilo été 語 stref", None), (902, "kilo été 語 stref", None)], "doc_id long, text string, lang string"))
+    learned = [(g, langid.plain(t)) for g, t in langid.sample(docs)]
+    wanted = []
+    for r in docs.collect():
+        text = langid.plain(r.text or "")
+        if not text:
+            wanted.append((r.doc_id, zlib.crc32(str(r.doc_id).encode()) % 5 == 0, "und", 0.0))
+            continue
+        rates = []
+        for g, of in learned:
+            bits = math.log2(len(of) + 2)
+            strange = sum(c != " " and c not in of for c in text)
+            rates.append(((phrases(text, of) * bits + strange * max(0, langid.LETTER_BITS - bits)) / len(text), g))
+        low, second = sorted(rates)[:2]
+        wanted.append((r.doc_id, zlib.crc32(str(r.doc_id).encode()) % 5 == 0, low[1], round(1 - low[0] / second[0], 9)))
+    found = [(r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in langid.identify(docs).collect()]
+    assert sorted(found) == sorted(wanted)
+    clashing = docs.selectExpr("*", "'s' as score", "'b' as bits", "'l' as lang_pred", "'k' as known", "'d' as _doc", "'f' as _found")
+    kept = langid.accept(clashing).collect()
+    assert len(kept) >= 60 and all((r.score, r.bits, r.lang_pred, r.known, r._doc, r._found) == tuple("sblkdf") for r in kept)
