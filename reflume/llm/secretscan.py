@@ -138,7 +138,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every finding's value replaced by MASK, copied examples excepted; n_chars, if there, follows."""
+    """docs with every finding's value replaced by MASK, copied examples excepted; n_chars, if there, follows.
+
+    Findings meet their rows by doc_id and the text's hash, so repeated rows are masked alike; the row's own columns
+    are kept aside, whatever they are called. Null and empty texts stay.
+    """
     marked = findings(docs).select("doc_id", "key", F.filter("findings", lambda f: f["status"] != "example").alias("_findings")).where(F.size("_findings") > 0)
     marked = marked.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.first("_findings").alias("_findings"))
 
@@ -156,11 +160,12 @@ def redact(docs: DataFrame) -> DataFrame:
             out.append(text)
         return texts.__class__(out, dtype=object)
 
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    both = docs.withColumn("_key_of", key).join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key_of") == F.col("_key")), "left")
-    text = F.when(F.col("_findings").isNotNull(), masked(F.col("text"), F.col("_findings"))).otherwise(F.col("text"))
-    out = both.withColumn("text", text)
+    text = F.col("text").cast("string")
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_of"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_key_of"))
+    both = packed.join(marked, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_key_of") == F.col("_key")), "left")
+    found = F.col("_findings").isNotNull()
+    both = both.withColumn("_text", F.when(found, masked(F.col("_doc.text").cast("string"), F.col("_findings"))).otherwise(F.col("_doc.text")))
+    changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_findings").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(found, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc.n_chars"))
+    return both.select(*(changed.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns))

@@ -1,3 +1,5 @@
+import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -44,3 +46,38 @@ def test_odd_rows(spark):
     again = ss.redact(docs)
     assert again.columns == docs.columns and again.count() == docs.count()
     assert ss.scan(none(spark)).count() == 0 and ss.redact(none(spark)).count() == 0
+
+
+def test_the_query_equals_a_loop(spark):
+    """Counts, digest, spans and ownership of every row, with values in several repositories of one owner and of many."""
+    rng = random.Random(4)
+    value = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    example, shared, one, loose = value(32), value(32), value(32), "Zx81Qw72Er63Ty54Ui45Op"
+    rows = [(n, f"see token = {example} or {loose}", f"o{n % 6}/r{n}") for n in range(9)]
+    rows += [(20 + n, f"secret: {shared}, AKIA{'Q' * 17}", f"o{n}/r") for n in range(3)]
+    rows += [(30 + n, f"api_key='{one}'", f"o1/r{n}") for n in range(7)] + [(40, None, "o1/r"), (41, "", None), (42, f"password {value(30)} secret=ab", None), (42, "token:abcdef", "")]
+    owners: dict[str, set[str]] = {}
+    places = {}
+    for n, (_, t, s) in enumerate(rows):
+        found = [(a, k, b, t[x:y]) for a, k, b, x, y in ss.candidates(t or "")]
+        places[n] = found
+        for *_, v in found:
+            owners.setdefault(v, set()).add((s or "").split("/")[0])
+    wanted = []
+    for n, (i, t, _) in enumerate(rows):
+        spans = base(t)
+        status = {v: "example" if len(owners[v]) >= 5 else "live" if len(owners[v]) == 1 and ss.bits(v) >= 3.0 else "shared" for *_, v in places[n]}
+        kept = [(a, k, b, v) for a, k, b, v in places[n] if ss.KINDS[k] != "random" or status[v] != "example"]
+        said = ",".join(f"{ss.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        wanted.append((i, *(sum(k == kind for _, k, _ in spans) for kind in range(3)), hashlib.sha256(said.encode()).hexdigest(), ",".join(f"{ss.KINDS[k]}:{a}:{b}" for a, k, b, _ in kept), sum(status[v] == "live" for *_, v in kept), sum(status[v] == "example" for *_, v in kept)))
+    found = ss.scan(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert sorted(map(tuple, found)) == sorted(wanted)
+    assert {r.n_example > 0 for r in found if r.doc_id < 9} == {True} and all(r.n_live == 2 for r in found if 30 <= r.doc_id < 40)
+
+
+def test_masking_keeps_columns_of_any_name(spark):
+    rows = [(1, "token = abcdef123456", "a/b", "i", "k", "f", "o", "t"), (1, "nothing", "a/b", "i2", "k2", "f2", "o2", "t2"), (None, None, None, "i3", None, "f3", None, "t3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id string, _key string, _findings string, _key_of string, _doc string")
+    again = ss.redact(docs)
+    assert again.columns == docs.columns
+    assert sorted(map(tuple, again.collect()), key=repr) == sorted([(1, "token = [SECRET]", *rows[0][2:]), *rows[1:]], key=repr)
