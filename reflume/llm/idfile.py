@@ -18,11 +18,14 @@ task that runs again replaces them with the same bytes.
 from __future__ import annotations
 
 import io
+import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +33,16 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import AT_ONCE, coder
+from tokenizers import Tokenizer
+
 from .common import id_cuts, order_id, range_number, shuffle_partitions
 
 MAGIC = b"RFIDS001"
 BLOCK = 512
+#: Characters that the library encodes at once, which bounds what it keeps beside the ids.
+AT_ONCE = 1 << 18
+#: A single blank between words: no tokenizer of the kinds here has a token that crosses the place before it.
+BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 HEADER = struct.Struct("<QQQB")
 
 
@@ -176,7 +184,9 @@ class Shard:
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, per_partition: int = 1) -> list[Shard]:
-    """Encodes every text and writes the shards; returns them in doc_id order with their first global offset.
+    """Encodes every text by the tokenizers library and writes the shards; returns them in doc_id order with their first global offset.
+
+    A folder without a scheme is taken as Hadoop takes it, in the default file system, by driver and executors alike.
 
     Texts are shuffled once, by ranges of doc_id; each range is a shard. The list is as
     long as there are ranges: ``per_partition`` for each shuffle partition.
@@ -185,11 +195,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, per_par
     rows = docs.select(order_id().alias("_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cuts = id_cuts(rows, "_id", per_partition * shuffle_partitions(spark))
     made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(made)
+    store = made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(made)
+    folder = store.makeQualified(made).toString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, writer, at, out = coder(tokenizer), None, -1, []
-        width = 2 if max(len(own.spelled) - 1, end_id) < 1 << 16 else 4
+        own, writer, at, out = library(tokenizer), None, -1, []
+        width = 2 if max(own.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
         end = np.array([end_id], np.uint32)
         for batch in batches:
             ids, ranges = batch.column("doc_id").to_pylist(), batch.column("_range").to_pylist()
@@ -211,16 +223,56 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, per_par
     return shards
 
 
-def encoded(own, texts: pa.Array) -> Iterator[np.ndarray]:
-    """Ids of the texts, some characters' worth at a time."""
-    batch, size = [], 0
-    for text in texts:
-        batch.append(text.as_py())
-        size += len(batch[-1] or "")
-        if size >= AT_ONCE:
-            yield from own.encode(batch)
-            batch, size = [], 0
-    yield from own.encode(batch)
+@lru_cache(1)
+def library(path: str) -> Tokenizer:
+    """The tokenizers library over a file, without truncation and padding."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    own = Tokenizer.from_file(path)
+    own.no_truncation()
+    own.no_padding()
+    return own
+
+
+def parts(text: str) -> Iterator[str]:
+    """The text in parts of some AT_ONCE characters, cut before blanks between words, so that their ids are the text's."""
+    at = 0
+    while len(text) - at > AT_ONCE and (cut := BETWEEN.search(text, at + AT_ONCE)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+def encoded(own: Tokenizer, texts: pa.Array) -> Iterator[np.ndarray]:
+    """Ids of the texts; the library gets some characters' worth at a time."""
+    held: list[str] = []
+    owner: list[int] = []
+    lists: dict[int, list[np.ndarray]] = {}
+    size = 0
+
+    def flush() -> None:
+        for n, found in zip(owner, own.encode_batch_fast(held, add_special_tokens=False), strict=True):
+            lists.setdefault(n, []).append(np.array(found.ids, np.uint32))
+        held.clear()
+        owner.clear()
+
+    begun = 0
+    for n, text in enumerate(texts):
+        for part in parts(text.as_py() or ""):
+            held.append(part)
+            owner.append(n)
+            size += len(part)
+            if size >= AT_ONCE:
+                flush()
+                size = 0
+        while begun < n:
+            if owner and begun >= owner[0]:
+                break
+            yield np.concatenate(lists.pop(begun))
+            begun += 1
+    flush()
+    while begun < len(texts):
+        yield np.concatenate(lists.pop(begun))
+        begun += 1
 
 
 def read(spark: SparkSession, shards: list[Shard], at_once: int = 1 << 20) -> DataFrame:

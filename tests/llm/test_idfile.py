@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from reflume.llm import idfile
@@ -39,3 +40,19 @@ def test_files_round_trip(spark):
     assert sorted(found, key=lambda r: r[1]) == wanted
     assert sum(s.documents for s in shards) == docs.count() and shards[-1].start + shards[-1].ids == start
     assert idfile.read(spark, idfile.write(none(spark), stage_path(spark, "ids"), path)).count() == 0
+
+
+def test_parts_of_long_texts_have_the_ids_of_the_whole(monkeypatch):
+    monkeypatch.setattr(idfile, "AT_ONCE", 40)
+    texts = [("It's  a <|endoftext|>test,\n\n with Ünïcödé\u00a0and 12 34  words; we'll see e\u0301 \u0301x. " * 30), "x" * 500, "", None, "a b", " " * 200 + "z", "one " * 100]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        own = Tokenizer.from_file(tokenizer(name))
+        wanted = [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+        found = list(idfile.encoded(idfile.library(tokenizer(name)), pa.array(texts)))
+        assert [x.tolist() for x in found] == wanted
+        assert list(idfile.encoded(idfile.library(tokenizer(name)), pa.array([], pa.string()))) == []
+
+
+def test_folders_without_a_scheme(spark, tmp_path):
+    shards = idfile.write(documents(spark), str(tmp_path / "ids"), tokenizer("word_bpe_49k.json"))
+    assert all(s.path.startswith("file:") for s in shards) and idfile.read(spark, shards).count() == documents(spark).count()
