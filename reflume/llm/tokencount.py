@@ -1,18 +1,22 @@
 """Token counts under a unigram model by dynamic programming that a trie shares.
 
-Distinct pre-tokens (words between white space, each with the word-start mark before it)
+Distinct pre-tokens (what stands between Unicode's white space, each with the word-start mark before it)
 are inserted in a trie. The forward score of a node, the best log probability of any
 segmentation of its prefix into pieces, is computed once, from the nodes at most a piece's length above,
-however many words go on from there; a word's end stores its token count. The trie and
-the words' counts are kept from batch to batch and start anew at a fixed number of nodes,
-which bounds a task's memory and changes no result.
+however many words go on from there; a word's terminal stores its token count and score. Tries are
+arrays, worked out level by level. A task remembers the words that it has scored and starts anew at a fixed
+number of them, which bounds its memory and changes no result.
 
-Pieces are those of a public vocabulary file; the log probability of the r-th (from 0) is
-Zipf's, -ln(r + SHIFT). A character that no piece covers costs its UTF-8 bytes' number of
-tokens, as byte pieces would, each UNKNOWN below the least likely piece. Of equally likely
-segmentations the one with fewer tokens counts.
+Pieces are those of a public vocabulary file. Their probabilities are fitted to the whole
+corpus by hard EM: Spark counts the distinct pre-tokens of all texts, and in each round
+every one of them is segmented as the last round's model has it, its pieces are counted, and log((n + SMOOTH) /
+(total + SMOOTH * pieces)) is their new score. The first round has all pieces alike. A character
+that no piece covers costs its UTF-8 bytes' number of tokens, as byte pieces would, each
+UNKNOWN below the least likely piece. Of equally likely segmentations the one with fewer tokens counts, then the
+one whose last piece is longest.
 
-Null, empty and blank texts have no tokens and score 0. Repeated rows count each.
+Null, empty and blank texts have no tokens and score 0. Repeated rows count each, in the
+fit too. Without words all pieces stay alike.
 """
 
 from __future__ import annotations
@@ -21,109 +25,255 @@ import math
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_stage, materialize, mix64, powers, random_words
+
 START = "▁"
-SHIFT, UNKNOWN = 2.7, 10.0
-#: Nodes at which the trie starts anew, and characters of a word beyond which it isn't kept.
-MOST_NODES, LONGEST_KEPT = 1_000_000, 64
-
-
-def zipf(pieces: list[str]) -> dict[str, float]:
-    """Log probabilities of pieces in order of rank."""
-    return {piece: -math.log(rank + SHIFT) for rank, piece in enumerate(pieces)}
-
-
-class Model:
-    """Pieces with scores, and the trie of the words seen so far."""
-
-    def __init__(self, scores: dict[str, float]):
-        self.scores = scores
-        #: Ends of pieces: a piece's score, or None for what only longer pieces end with.
-        self.ends: dict[str, float | None] = {piece[i:]: None for piece in scores for i in range(1, len(piece))} | scores
-        self.byte = min(scores.values(), default=0.0) - UNKNOWN
-        self.clear()
-
-    def clear(self) -> None:
-        self.children: dict[int, int] = {}
-        self.best, self.tokens = [0.0], [0]
-        self.known: dict[str, tuple[int, float]] = {}
-
-    def forward(self, word: str, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
-        """Best score and token count of word[:end]; best and tokens give those of shorter prefixes by their length."""
-        size = 1 if word[end - 1] < "\x80" else len(word[end - 1].encode())
-        top, count = best[end - 1] + size * self.byte, tokens[end - 1] + size
-        ends = self.ends
-        for start in range(end - 1, -1, -1):
-            part = word[start:end]
-            if part not in ends:
-                break
-            score = ends[part]
-            if score is not None:
-                score += best[start]
-                n = tokens[start] + 1
-                if score > top or (score == top and n < count):
-                    top, count = score, n
-        return top, count
-
-    def word(self, word: str) -> tuple[int, float]:
-        """Token count and score of a word, its mark included."""
-        best, tokens = [0.0], [0]
-        if len(word) > LONGEST_KEPT:
-            for end in range(1, len(word) + 1):
-                top, count = self.forward(word, end, best, tokens)
-                best.append(top)
-                tokens.append(count)
-            return tokens[-1], best[-1]
-        if len(self.best) > MOST_NODES:
-            self.clear()
-        node = 0
-        for end, c in enumerate(word, 1):
-            edge = node << 21 | ord(c)
-            node = self.children.get(edge, -1)
-            if node < 0:
-                top, count = self.forward(word, end, best, tokens)
-                node = self.children[edge] = len(self.best)
-                self.best.append(top)
-                self.tokens.append(count)
-            best.append(self.best[node])
-            tokens.append(self.tokens[node])
-        found = self.known[word] = (tokens[-1], best[-1])
-        return found
-
-    def count(self, text: str | None) -> tuple[int, int, float]:
-        """Words, tokens and score of a text."""
-        words = (text or "").split()
-        n, total = 0, 0.0
-        for w in words:
-            w = START + w
-            tokens, score = self.known.get(w) or self.word(w)
-            n += tokens
-            total += score
-        return len(words), n, total
+#: Rounds of the fit, what each piece's count gets added, and what a byte costs below the least likely piece.
+ROUNDS, SMOOTH, UNKNOWN = 3, 0.1, 10.0
+#: Characters whose words go through one trie, characters of text handled at once, words remembered in a task.
+AT_ONCE, TEXT_AT_ONCE, REMEMBERED = 1 << 18, 1 << 22, 1 << 18
+_BASE = 0xD1342543DE82EF95
 
 
 @lru_cache(1)
-def model(path: str) -> Model:
+def letters() -> np.ndarray:
+    return random_words(41, 0x110000)
+
+
+class Pieces:
+    """A vocabulary's pieces, found by the hash of their characters."""
+
+    def __init__(self, pieces: list[str]):
+        self.names = pieces
+        self.longest = max(map(len, pieces), default=1)
+        self.lengths = sorted({len(p) for p in pieces})
+        size = 1 << max(10, (32 * len(pieces)).bit_length())
+        self.shift = np.uint64(64 - size.bit_length() + 1)
+        self.keys, self.ids, self.probes = np.zeros(size + 64, np.uint64), np.full(size + 64, -1, np.int64), 1
+        for i, piece in enumerate(pieces):
+            points = np.frombuffer(piece.encode("utf-32-le"), np.int32)
+            with np.errstate(over="ignore"):
+                key = mix64((letters()[points] * powers(_BASE, len(points) + 1)[: len(points)]).sum(keepdims=True))[0]
+            slot = int(key >> self.shift)
+            while self.ids[slot] >= 0 and self.keys[slot] != key:
+                slot += 1
+            self.keys[slot], self.ids[slot] = key, i
+            self.probes = max(self.probes, slot - int(key >> self.shift) + 1)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these hashes, -1 where there is none."""
+        keys = mix64(hashes)
+        slots, out = (keys >> self.shift).astype(np.int64), np.full(len(keys), -1, np.int64)
+        for probe in range(self.probes):
+            hit = (self.keys[slots + probe] == keys) & (self.ids[slots + probe] >= 0)
+            out[hit] = self.ids[slots[hit] + probe]
+        return out
+
+
+class Trie:
+    """The distinct prefixes of words as nodes, by level; 0 is the root. Each node has the pieces that its prefix may end with."""
+
+    def __init__(self, words: list[str], pieces: Pieces):
+        self.pieces = pieces
+        sizes = np.array([len(w) for w in words], np.int64)
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.int32)
+        ends = np.cumsum(sizes)
+        depth = np.arange(1, len(points) + 1) - np.repeat(ends - sizes, sizes)
+        power = powers(_BASE, int(sizes.max(initial=0)) + 2)
+        with np.errstate(over="ignore"):
+            upto = np.cumsum(letters()[points] * power[depth - 1])
+            before = np.concatenate([np.zeros(1, np.uint64), upto])[ends - sizes]
+            prefix = upto - np.repeat(before, sizes)
+            mark = mix64(prefix + mix64(depth.astype(np.uint64)))
+        _, sample, node = np.unique(mark, return_index=True, return_inverse=True)
+        order = np.argsort(depth[sample], kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(1, len(order) + 1)
+        node, sample = place[node], sample[order]
+        self.terminals = node[ends - 1] if len(words) else np.empty(0, np.int64)
+        level = depth[sample]
+        starts = np.flatnonzero(np.diff(level, prepend=0)) + 1
+        #: The first node of each level, and one after the last.
+        self.levels = np.append(starts, len(order) + 1)
+        bytes_of = 1 + (points[sample] > 0x7F) + (points[sample] > 0x7FF) + (points[sample] > 0xFFFF)
+        at, above, piece = [np.arange(1, len(order) + 1)], [np.where(level > 1, node[sample - 1], 0)], [-bytes_of]
+        with np.errstate(over="ignore"):
+            inverse = powers(pow(_BASE, -1, 1 << 64), int(sizes.max(initial=0)) + 2)
+            for length in reversed(pieces.lengths):
+                deep = np.flatnonzero(level >= length)
+                spot, whole = sample[deep], level[deep] == length
+                rest = np.where(whole, np.uint64(0), prefix[spot - length])
+                found = pieces.find((prefix[spot] - rest) * inverse[level[deep] - length])
+                hit = found >= 0
+                at.append(deep[hit] + 1)
+                above.append(np.where(whole[hit], 0, node[spot[hit] - length]))
+                piece.append(found[hit])
+        at, above, piece = map(np.concatenate, (at, above, piece))
+        order = np.argsort(at, kind="stable")
+        #: Ways to a node: the node above and the piece between, or less its number of bytes.
+        self.above, self.piece = above[order], piece[order]
+        self.ways = np.searchsorted(at[order], np.arange(1, len(sample) + 2))
+
+    def forward(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best score and token count of each node; the way that gives them is kept."""
+        byte = float(scores.min(initial=0.0)) - UNKNOWN
+        known = self.piece >= 0
+        cost = np.where(known, scores[np.where(known, self.piece, 0)] if len(scores) else 0.0, -self.piece * byte)
+        added = np.where(known, 1, -self.piece)
+        count = len(self.ways)
+        best, tokens, self.chosen = np.zeros(count), np.zeros(count, np.int64), np.zeros(count, np.int64)
+        for a, b in zip(self.levels[:-1], self.levels[1:], strict=True):
+            firsts = self.ways[a - 1 : b] - self.ways[a - 1]
+            ways = slice(self.ways[a - 1], self.ways[b - 1])
+            above = self.above[ways]
+            reached = best[above] + cost[ways]
+            used = tokens[above] + added[ways]
+            each = np.repeat(np.arange(b - a), np.diff(firsts))
+            best[a:b] = np.maximum.reduceat(reached, firsts[:-1])
+            used = np.where(reached == best[a:b][each], used, np.iinfo(np.int64).max)
+            tokens[a:b] = np.minimum.reduceat(used, firsts[:-1])
+            right = np.flatnonzero(used == tokens[a:b][each])
+            self.chosen[a:b][each[right[::-1]]] = ways.start + right[::-1]  # the first way of several
+        return best, tokens
+
+    def usage(self, weights: np.ndarray) -> np.ndarray:
+        """How often each piece is in the words' segmentations, each word as often as its weight says."""
+        flow = np.bincount(self.terminals, weights, len(self.chosen)).astype(np.int64)
+        for a, b in zip(self.levels[-2::-1], self.levels[:0:-1], strict=True):
+            np.add.at(flow, self.above[self.chosen[a:b]], flow[a:b])
+        piece = self.piece[self.chosen[1:]]
+        return np.bincount(piece[piece >= 0], flow[1:][piece >= 0], len(self.pieces.names)).astype(np.int64)
+
+
+def portions(words: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of words with at most AT_ONCE characters together; a longer word is one by itself."""
+    first = size = 0
+    for n, word in enumerate(words):
+        if size and size + len(word) > AT_ONCE:
+            yield first, n
+            first, size = n, 0
+        size += len(word)
+    if words:
+        yield first, len(words)
+
+
+def word_scores(words: list[str], pieces: Pieces, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token count and score of each distinct word, its mark included."""
+    counts, totals = np.empty(len(words), np.int64), np.empty(len(words))
+    for a, b in portions(words):
+        trie = Trie(words[a:b], pieces)
+        best, tokens = trie.forward(scores)
+        counts[a:b], totals[a:b] = tokens[trie.terminals], best[trie.terminals]
+    return counts, totals
+
+
+def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The text of each word, its number among the distinct words, and these."""
+    words = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    flat = words.flatten()
+    owner = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+    there = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    coded = flat.filter(pa.array(there)).dictionary_encode()
+    return owner[there], coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+
+
+def sliced(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts, in order, some TEXT_AT_ONCE bytes at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        least = (ends[first - 1] if first else 0) + TEXT_AT_ONCE
+        last = max(first + 1, int(np.searchsorted(ends, least, side="right")))
+        yield texts.slice(first, last - first)
+        first = last
+
+
+@lru_cache(1)
+def vocabulary(path: str) -> Pieces:
     """The ordinary pieces of a sentencepiece file, in their order."""
     import sentencepiece
 
     own = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(own.get_piece_size())
-    return Model(zipf([own.id_to_piece(i) for i in ids if not (own.is_byte(i) or own.is_control(i) or own.is_unknown(i))]))
+    return Pieces([own.id_to_piece(i) for i in ids if not (own.is_byte(i) or own.is_control(i) or own.is_unknown(i))])
+
+
+def fitted(counts: np.ndarray) -> np.ndarray:
+    """Log probabilities of pieces that occur so often."""
+    return np.log((counts + SMOOTH) / (counts.sum() + SMOOTH * max(1, len(counts))))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word and n, over all texts; each batch adds up its words before they meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in sliced(batch.column("text")):
+                _, codes, words = split(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.bincount(codes, minlength=len(words)))], names=["word", "n"])
+
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Scores of the pieces after ``rounds`` of hard EM over all words of docs; what reaches the driver is a count for each piece."""
+    size = len(vocabulary(path).names)
+    words = materialize(word_counts(docs), "words")
+    counts = np.zeros(size, np.int64)
+    for _ in range(rounds):
+        scores = fitted(counts)
+
+        def run(batches: Iterator[pa.RecordBatch], scores: np.ndarray = scores) -> Iterator[pa.RecordBatch]:
+            pieces = vocabulary(path)
+            total = np.zeros(len(scores), np.int64)
+            for batch in batches:
+                marked = [START + w for w in batch.column("word").to_pylist()]
+                weights = batch.column("n").to_numpy()
+                for a, b in portions(marked):
+                    trie = Trie(marked[a:b], pieces)
+                    trie.forward(scores)
+                    total += trie.usage(weights[a:b])
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "n"])
+
+        counts = np.zeros(size, np.int64)
+        for r in words.mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+            counts[r.piece] = r.n
+    drop_stage(words)
+    return fitted(counts)
 
 
-def counts(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_words, n_tokens and score (log probability) of each text."""
+def counts(docs: DataFrame, path: str, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n_words, n_tokens and score (log probability) of each text, under a model fitted to all of them."""
+    scores = fit(docs, path, rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model(path)
+        pieces = vocabulary(path)
+        known: dict[str, int] = {}
+        tokens, totals = np.empty(0, np.int64), np.empty(0)
         for batch in batches:
-            rows = [own.count(text.as_py()) for text in batch.column("text")]
-            columns = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["doc_id", "n_words", "n_tokens", "score"])
+            parts: list[tuple[np.ndarray, ...]] = []
+            for texts in sliced(batch.column("text")):
+                owner, codes, words = split(texts)
+                if len(known) > REMEMBERED:
+                    known, tokens, totals = {}, tokens[:0], totals[:0]
+                fresh = [w for w in words if w not in known]
+                if fresh:
+                    known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+                    more = word_scores([START + w for w in fresh], pieces, scores)
+                    tokens, totals = np.concatenate([tokens, more[0]]), np.concatenate([totals, more[1]])
+                place = np.array([known[w] for w in words], np.int64)[codes]
+                sums = (np.bincount(owner, w, len(texts)) for w in (None, tokens[place], totals[place]))
+                parts.append(tuple(sums))
+            n_words, n_tokens, score = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.empty(0),) * 3
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words.astype(np.int64)), pa.array(n_tokens.astype(np.int64)), pa.array(score)], names=["doc_id", "n_words", "n_tokens", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long, score double")
