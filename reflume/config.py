@@ -42,3 +42,48 @@ SENSITIVITIES = [0.03, 0.05, 0.10, 0.20]
 SPECIFICITIES = [0.992, 0.995, 0.998, 0.999]
 LEAST_REFS = 20
 HAC_LAGS, LEAST_MONTHS = 6, 24
+
+# Fixed values of the text checks: words and patterns that drafts should do without, and what counts as a hedge, an adverb or a passive.
+BANNED = [
+    "delve", "delving", "robust", "seamless", "crucial", "vital", "pivotal",
+    "holistic", "synergy", "tapestry", "testament", "unlock", "empower",
+    "elevate", "harness", "foster", "fostering", "realm", "game-changer",
+    "cutting-edge", "utilize", "facilitate", "showcase", "showcasing",
+    "underscore", "underscores", "interplay", "intricate", "vibrant",
+    "groundbreaking", "notably", "moreover", "furthermore", "additionally",
+]
+EXEMPT_WORD = "robust"
+EXEMPT_NEAR = r"(specification-robust|robust standard|robustness|(as|is|are|be|call it|describe it as) robust)"
+EXEMPT_BEFORE, EXEMPT_AFTER = 45, 25
+PATTERNS = [
+    ("serves_as", r"\bserves as\b"),
+    ("stands_as", r"\bstands as\b"),
+    ("boasts", r"\bboasts\b"),
+    ("marks_a_shift", r"\bmarks a (shift|moment|turning)\b"),
+    ("represents_a", r"\brepresents a\b"),
+    ("is_a_testament", r"\bis a testament\b"),
+    ("plays_a_key_role", r"\bplays a (key|critical|vital) role\b"),
+    ("setting_the_stage", r"\bsetting the stage\b"),
+    ("highlighting", r",\s+highlighting\b"),
+    ("ensuring", r",\s+ensuring\b"),
+    ("experts_argue", r"\bexperts (argue|say|believe)\b"),
+    ("studies_show", r"\bstudies (show|suggest|indicate)\b"),
+    ("not_only_but_also", r"\bnot only\b.{0,40}\bbut also\b"),
+    ("false_range", r"\bfrom \w+ to \w+, from \w+ to \w+"),
+    ("em_dash", "\u2014"),
+    ("curly_quote", "[\u201c\u201d]"),
+    ("in_order_to", r"\bin order to\b"),
+    ("due_to_the_fact", r"\bdue to the fact\b"),
+    ("important_to_note", r"\bit is important to note\b"),
+    ("in_conclusion", r"\bin conclusion\b"),
+    ("overall", r"\bOverall,"),
+]
+HEDGE_STACK = r"\b(may|might|could|possibly|potentially|perhaps|arguably|somewhat|relatively|generally|often|tend to|appears? to|seems? to)\b"
+PROFILE_HEDGES = ["may", "might", "could", "appear", "appears", "suggest", "suggests", "seem", "seems", "likely", "possibly"]
+CAUSAL = r"\b(causes?|caused|leads? to|drives?|results? in|produces?|because of|due to|attributable to)\b"
+CALM = r"(\bp\s*=|\bCI\b|interval|\d+\.\d+|cannot|does not|no\b|not\b|may|might|consistent with|suggests?|would)"
+ADVERB, PASSIVE = r"\b\w+ly\b", r"\b(is|are|was|were|been|being|be)\s+\w+(ed|en)\b"
+NO_ADVERBS = ["only", "early", "likely", "family", "apply", "supply", "reply", "italy", "july", "multiply", "imply", "rely", "anomaly", "assembly"]
+NO_ADVERBS_OF_SECTIONS = ["only", "early", "family", "apply", "monthly", "yearly", "roughly", "likely", "supply"]
+VAGUE = r"\b(the (implications|reasons|results) are|is significant|are significant)\b"
+FLOATS = ["figure", "table", "tabular", "thebibliography"]

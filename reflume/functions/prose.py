@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = r"[ \t\n\r]+"
-#: Words that hedge.
-HEDGES = ["may", "might", "could", "possibly", "potentially", "perhaps", "arguably", "somewhat", "relatively", "generally", "often"]
+#: Accented Latin letters; patterns see each as an "x", so that every engine takes it for part of a word.
+ACCENTED = "[\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 
 
 def tokens(c: Column) -> Column:
@@ -27,13 +27,51 @@ def sentences(c: Column, least: int = 3) -> Column:
     return F.filter(parts, lambda s: F.size(words(s)) >= least)
 
 
-def lengths(c: Column, least: int = 3) -> Column:
+def lengths(c: Column, least: int = 4) -> Column:
     return F.transform(sentences(c, least), lambda s: F.size(words(s)).cast("double"))
 
 
 def paragraphs(c: Column, least: int = 25) -> Column:
-    """Word counts of paragraphs (here lines) of at least so many words."""
-    return F.filter(F.transform(F.split(c, "\n"), lambda p: F.size(words(p)).cast("double")), lambda n: n >= least)
+    """Word counts of paragraphs, which blank lines part, of at least so many words."""
+    return F.filter(F.transform(F.split(c, r"\n[ \t\r\n]*\n"), lambda p: F.size(words(p)).cast("double")), lambda n: n >= least)
+
+
+def plain_letters(c: Column) -> Column:
+    return F.regexp_replace(c, ACCENTED, "x")
+
+
+def hits(c: Column, pattern: str) -> Column:
+    """How often a pattern occurs, whatever the case."""
+    return F.regexp_count(plain_letters(c), F.lit(f"(?i){pattern}"))
+
+
+def has(c: Column, pattern: str) -> Column:
+    return F.rlike(plain_letters(c), F.lit(f"(?i){pattern}"))
+
+
+def adverbs(c: Column, pattern: str, but: list[str]) -> Column:
+    """Matches of the pattern in lower case that aren't listed."""
+    found = F.regexp_extract_all(F.lower(plain_letters(c)), F.lit(pattern), 0)
+    return F.size(F.filter(found, lambda w: ~w.isin(but)))
+
+
+def strip_latex(c: Column, floats: list[str]) -> Column:
+    """LaTeX to running text: floats go, references are an X, headers end a sentence, other commands leave their argument."""
+    for name in floats:
+        c = F.regexp_replace(c, r"(?s)\\begin\{%s\}.*?\\end\{%s\}" % (name, name), "")
+    c = F.regexp_replace(c, r"\\(label|ref|citep|citet|cite)\{[^}]*\}", " X ")
+    c = F.regexp_replace(c, r"\\(sub)?section\{[^}]*\}", " . ")
+    c = F.regexp_replace(c, r"\\[a-zA-Z]+\{([^{}]*)\}", "$1")
+    c = F.regexp_replace(c, r"\\[a-zA-Z]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[{}$\\]", " "), BLANKS, " "))
+
+
+def section_map(c: Column, floats: list[str], least: int = 61) -> Column:
+    """(n, title, body) of each section of a LaTeX text whose body has at least so many words; sections of one title stay apart."""
+    titles = F.regexp_extract_all(c, F.lit(r"\\section\{([^}]+)\}"), 1)
+    bodies = F.slice(F.split(c, r"\\section\{[^}]+\}", -1), 2, F.size(titles))
+    each = F.zip_with(titles, F.transform(bodies, lambda b, n: F.struct(n.alias("n"), strip_latex(b, floats).alias("body"))), lambda t, b: F.struct(b["n"].alias("n"), t.alias("title"), b["body"].alias("body")))
+    return F.filter(each, lambda s: F.size(words(s["body"])) >= least)
 
 
 def strip_markup(c: Column) -> Column:
@@ -50,9 +88,15 @@ def mean(a: Column) -> Column:
 
 
 def deviation(a: Column) -> Column:
-    """Population standard deviation."""
-    m = mean(a)
-    return F.sqrt(mean(F.transform(a, lambda x: (x - m) * (x - m))))
+    """Population standard deviation, in one pass over the array."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(state: Column, x: Column) -> Column:
+        n, apart = state["n"] + 1, x - state["mean"]
+        centre = state["mean"] + apart / n
+        return F.struct(n.alias("n"), centre.alias("mean"), (state["squares"] + apart * (x - centre)).alias("squares"))
+
+    return F.aggregate(a, start, step, lambda state: F.sqrt(state["squares"] / F.nullif(state["n"], F.lit(0.0))))
 
 
 def median(a: Column) -> Column:

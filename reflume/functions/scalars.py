@@ -60,8 +60,8 @@ def inverted_text(c: Column) -> Column:
     placed = F.flatten(F.transform(F.map_entries(c), lambda e: F.transform(e["value"], lambda i: F.struct(i.alias("at"), e["key"].alias("word")))))
     numbered = F.transform(placed, lambda p, n: F.struct(p["at"].alias("at"), (-n).alias("n"), p["word"].alias("word")))
     ordered = F.array_sort(numbered)
-    kept = F.filter(ordered, lambda p, n: (n == 0) | (F.get(ordered, n - 1)["at"] != p["at"]))
-    return F.coalesce(F.array_join(F.transform(kept, lambda p: p["word"]), " "), F.lit(""))
+    beside = F.zip_with(ordered, F.concat(F.array(F.lit(None)), ordered), lambda p, q: F.when(q.isNull() | (q["at"] != p["at"]), p["word"]))
+    return F.coalesce(F.array_join(beside, " "), F.lit(""))  # nulls, of positions that have a word already, aren't joined
 
 
 def vocabulary(c: Column) -> Column:

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions import prose
 
 PROFILE = ["median_len", "sd_len", "max_len", "short_share", "long_share", "hedges", "we"]
+GENRE = ["n_words", "median_len", "sd_len", "max_len", "digits"]
 
 
 def profile(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with sentence lengths (median, deviation, largest, shares under 13 and over 34 words), and hedges and "we" per 100 words."""
-    d = docs.withColumn("_l", prose.lengths(F.col(text))).withColumn("_w", prose.tokens(F.col(text)))
-    l, w = F.col("_l"), F.col("_w")
-    per = F.nullif(F.size(w), F.lit(0)) / 100
+    """docs with sentence lengths (median, deviation, largest, shares under 13 and over 34 words), hedges and "We" per 100 words, words and digits per 100 words."""
+    d = docs.withColumn("_l", prose.lengths(F.col(text))).withColumn("_n", F.size(prose.words(F.col(text))))
+    d = d.withColumn("_t", F.array_remove(F.split(F.col(text), "[^A-Za-z]+"), ""))
+    l, w, per = F.col("_l"), F.col("_t"), F.nullif(F.col("_n"), F.lit(0)) / 100
     return d.select(
         *docs.columns,
         F.size(l).cast("long").alias("n_sentences"),
@@ -23,8 +25,10 @@ def profile(docs: DataFrame, text: str = "text") -> DataFrame:
         F.array_max(l).alias("max_len"),
         prose.share(l, lambda n: n < 13).alias("short_share"),
         prose.share(l, lambda n: n > 34).alias("long_share"),
-        (prose.count_in(w, prose.HEDGES) / per).alias("hedges"),
-        (prose.count_in(w, ["we"]) / per).alias("we"),
+        (F.size(F.filter(w, lambda x: F.lower(x).isin(config.PROFILE_HEDGES))) / per).alias("hedges"),
+        (F.size(F.filter(w, lambda x: x == "We")) / per).alias("we"),
+        F.col("_n").cast("double").alias("n_words"),
+        (F.regexp_count(F.col(text), F.lit("[0-9]")) / per).alias("digits"),
     )
 
 
@@ -40,29 +44,97 @@ def within(profiles: DataFrame, band: DataFrame, names: list[str], slack: tuple[
     return profiles.crossJoin(F.broadcast(band)).withColumn("n_inside", sum(inside[1:], inside[0]).cast("long")).select(*profiles.columns, "n_inside")
 
 
-def style_distances(profiles: DataFrame, corpus: DataFrame, names: list[str]) -> DataFrame:
-    """Distance of each profile to the nearest of the corpus and to its centroid, in the corpus's deviations. The corpus is a short reference list."""
-    stats = corpus.agg(*(F.avg(n).alias(f"{n}_m") for n in names), *(F.nullif(F.stddev_pop(n), F.lit(0.0)).alias(f"{n}_s") for n in names))
+#: Texts of a reference corpus: each profile meets all of them, in its own row.
+MOST_OF_CORPUS = 10_000
 
-    def distance(terms: list[Column]) -> Column:
-        squares = [F.coalesce(t * t, F.lit(0.0)) for t in terms]
-        return F.sqrt(sum(squares[1:], squares[0]))
 
-    points = corpus.select(F.col("id").alias("corpus_id"), *(F.col(n).alias(f"{n}_c") for n in names))
-    d = profiles.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(points))
-    d = d.withColumn("far", distance([(F.col(n) - F.col(f"{n}_c")) / F.col(f"{n}_s") for n in names])).withColumn("central", distance([(F.col(n) - F.col(f"{n}_m")) / F.col(f"{n}_s") for n in names]))
-    return d.groupBy("id").agg(F.min("far").alias("nearest"), F.first("central").alias("centroid"), F.min_by("corpus_id", F.struct(F.round("far", 9), "corpus_id")).alias("nearest_id"))
+def style_distances(profiles: DataFrame, corpus: DataFrame, names: list[str], most: int = MOST_OF_CORPUS) -> DataFrame:
+    """Distance of each profile to the nearest of the corpus and to its centroid, in the corpus's deviations, and whether it is inside its spread and no clone.
 
+    Inside: not farther from the centroid than the farthest of the corpus. No clone: its nearest isn't nearer than the closest two of the
+    corpus. The corpus is a list of references of at most ``most`` texts, which is checked; it travels as one row.
+    """
+    if corpus.limit(most + 1).count() > most:
+        raise ValueError(f"a reference corpus has at most {most} texts")
+    stats = F.broadcast(corpus.agg(*(F.avg(n).alias(f"{n}_m") for n in names), *(F.nullif(F.stddev_pop(n), F.lit(0.0)).alias(f"{n}_s") for n in names)))
 
-def word_counts(docs: DataFrame, listed: list[str], text: str = "text") -> DataFrame:
-    """A row for each document and listed word with its count, zeros included; the list is tried within the row."""
-    d = docs.withColumn("_w", prose.tokens(F.col(text))).withColumn("word", F.explode(F.array(*map(F.lit, listed))))
-    return d.select("doc_id", "word", F.size(F.expr("filter(_w, w -> w = word)")).cast("long").alias("n"))
+    def standard(rows: DataFrame) -> DataFrame:
+        terms = (F.coalesce((F.col(n) - F.col(f"{n}_m")) / F.col(f"{n}_s"), F.lit(0.0)) for n in names)
+        return rows.crossJoin(stats).select("id", F.array(*terms).alias("z"))  # one row of statistics
+
+    def apart(a: Column, b: Column) -> Column:
+        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+    centre = F.array(*(F.lit(0.0) for _ in names))
+    points = standard(corpus).select(F.col("id").alias("corpus_id"), "z")
+    x, y = points.alias("x"), points.alias("y")
+    closest = x.join(F.broadcast(y), F.col("x.corpus_id") < F.col("y.corpus_id")).agg(F.min(F.round(apart(F.col("x.z"), F.col("y.z")), 6)).alias("closest"))  # all pairs of the bounded corpus
+    whole = points.agg(F.collect_list(F.struct("corpus_id", "z")).alias("points"), F.max(F.round(apart(F.col("z"), centre), 6)).alias("widest")).crossJoin(closest)
+    each = F.transform("points", lambda p: F.struct(F.round(apart(F.col("z"), p["z"]), 6).alias("far"), p["corpus_id"].alias("corpus_id")))
+    d = standard(profiles).crossJoin(F.broadcast(whole)).withColumn("best", F.array_min(each)).withColumn("centroid", F.round(apart(F.col("z"), centre), 6))
+    return d.select("id", F.col("best.far").alias("nearest"), F.col("best.corpus_id").alias("nearest_id"), "centroid", (F.col("centroid") <= F.col("widest")).alias("inside"), (F.col("best.far") >= F.col("closest")).alias("no_clone"))
+
+
+def section_checks(sections: DataFrame, centre: DataFrame) -> DataFrame:
+    """Each section (title, body, ...) against the limits: its median sentence near the corpus's (centre, one row of c_med), deviation, longest, adverbs, passives, vague claims."""
+    d = sections.withColumn("_l", prose.lengths(F.col("body"))).crossJoin(F.broadcast(centre))
+    body, l = F.col("body"), F.col("_l")
+    adverbs = prose.adverbs(body, config.ADVERB, config.NO_ADVERBS_OF_SECTIONS)
+    limits = {
+        "median_ok": F.abs(prose.median(l) - F.col("c_med")) <= 8,
+        "sd_ok": prose.deviation(l) >= 6,
+        "max_ok": F.array_max(l) <= 55,
+        "adverbs_ok": adverbs <= F.size(prose.words(body)) / 60,
+        "passives_ok": prose.hits(body, config.PASSIVE) <= 5,
+        "vague_ok": ~prose.has(body, config.VAGUE),
+    }
+    return d.select(*(c for c in sections.columns if c != "body"), *(v.alias(k) for k, v in limits.items()))
+
+
+def word_counts(docs: DataFrame, listed: list[str], text: str = "text", exempt: str = config.EXEMPT_WORD, near: str = config.EXEMPT_NEAR) -> DataFrame:
+    """A row for each document and listed word with its count as a word of its own, zeros included.
+
+    Places of ``exempt`` with ``near`` around them don't count. The list is tried within the row.
+    """
+    d = docs.withColumn("_t", prose.plain_letters(F.col(text)))
+
+    def count(word: str) -> Column:
+        pattern = rf"(?i)\b{word}\b"
+        if word != exempt:
+            return F.regexp_count("_t", F.lit(pattern))
+        return F.size(F.filter(contexts(F.col("_t"), pattern, len(word)), lambda c: ~F.rlike(c, F.lit(f"(?i){near}"))))
+
+    each = F.array(*(F.struct(F.lit(w).alias("word"), count(w).cast("long").alias("n")) for w in listed))
+    return d.select("doc_id", F.explode(each).alias("c")).select("doc_id", "c.word", "c.n")
+
+
+def contexts(text: Column, pattern: str, size: int, before: int = config.EXEMPT_BEFORE, after: int = config.EXEMPT_AFTER) -> Column:
+    """What stands around each match of a pattern, all of whose matches have the same size."""
+    parts = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+    places = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, lambda s, n: F.struct((s["at"] + n + size).alias("at"), F.array_append(s["found"], s["at"] + n).alias("found")))["found"]
+    return F.transform(places, lambda p: F.substring(text, F.greatest(p - before, F.lit(0)) + 1, F.least(p, F.lit(before)) + after))
 
 
 def pattern_hits(docs: DataFrame, patterns: list[tuple[str, str]], text: str = "text") -> DataFrame:
-    """doc_id with a boolean column for each (name, regular expression)."""
-    return docs.select("doc_id", *(F.rlike(F.col(text), F.lit(p)).alias(name) for name, p in patterns))
+    """doc_id with a boolean column for each (name, regular expression), whatever the case."""
+    plain = docs.select("doc_id", prose.plain_letters(F.col(text)).alias("_t"))
+    return plain.select("doc_id", *(F.rlike("_t", F.lit(f"(?is){p}")).alias(name) for name, p in patterns))
+
+
+def provenance(docs: DataFrame, results: DataFrame, text: str = "text", most: int = 1000) -> DataFrame:
+    """doc_id, name and found: whether each formatted result value (name, said) occurs in each text. At most ``most`` results, which is checked."""
+    if results.limit(most + 1).count() > most:
+        raise ValueError(f"at most {most} results are looked for")
+    listed = results.agg(F.collect_list(F.struct("name", "said")).alias("_results"))
+    d = docs.crossJoin(F.broadcast(listed)).withColumn("_r", F.explode("_results"))  # one row of results
+    return d.select("doc_id", "_r.name", F.contains(F.col(text), F.col("_r.said")).alias("found"))
+
+
+def rubric(terms: list[tuple[Column, float, float]]) -> Column:
+    """Weighted sum of (score, cap, weight)."""
+    parts = [F.least(score.cast("double"), F.lit(float(cap))) * weight for score, cap, weight in terms]
+    return sum(parts[1:], parts[0])
 
 
 def has_run(lengths: Column, below: float, size: int = 3) -> Column:
