@@ -25,5 +25,5 @@ def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query
     return register
 
 
-for _module in ("citations", "identifiers", "cohorts", "estimates", "texts"):
+for _module in ("citations", "identifiers", "cohorts", "estimates", "texts", "files"):
     import_module(f"reflume.plans.{_module}")
