@@ -8,12 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import HAC_LAGS, LEAST_MONTHS, SENSITIVITIES, SPECIFICITIES
 from ..functions import scalars
+from ..session import staged
 
 FIT = "level_change double, level_change_se double, level_change_p double, slope_change double, slope_change_se double, slope_change_p double, pre_mean_rate double, n_months long"
 
@@ -60,38 +61,53 @@ def hac_terms(residuals: DataFrame, lags: int = HAC_LAGS) -> DataFrame:
     return residuals.withColumn("term", terms).agg(F.sum("term").alias("meat"), F.count("*").alias("n"))
 
 
-def bootstrap_ratio(rows: DataFrame, replicates: int = 10_000, seed: int = 11) -> DataFrame:
+#: Kinds of rows that one task of the bootstrap draws.
+KINDS_AT_ONCE = 50_000
+
+
+def bootstrap_ratio(rows: DataFrame, replicates: int = 10_000, seed: int = 11, at_once: int = KINDS_AT_ONCE) -> DataFrame:
     """Ratio of the two groups' rates (group, events, of) and its 2.5 and 97.5 percentiles when rows are resampled.
 
     Rows that are alike are counted first, and a replicate draws how often each kind occurs, which is the same as drawing
-    rows. What reaches every task is a row for each distinct (group, events, of), checked to be at most a million.
+    rows. Kinds are dealt to buckets: a replicate's rows are divided among them by one draw, whose seed every bucket has, and each
+    bucket draws its own kinds, so any number of them can be resampled. What reaches the driver is a count for each bucket.
     """
-    kinds = rows.where("events is not null and of is not null").groupBy("group", "events", "of").count().orderBy("group", "events", "of").limit(1_000_001).collect()
-    if len(kinds) > 1_000_000:
-        raise ValueError("too many distinct pairs to resample; round the denominators first")
-    groups = {g: np.array([(r["events"], r["of"], r["count"]) for r in kinds if r["group"] == g], float).reshape(-1, 3) for g in ("artifact", "control")}
-
-    def rate(k: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return counts @ k[:, 0] / (counts @ k[:, 1]) * 1000
-
-    def draw(batches):
-        for ids in batches:
-            out = []
-            for i in ids["id"]:
-                rng = np.random.Generator(np.random.PCG64([seed, int(i)]))
-                a, c = (rate(k, rng.multinomial(int(k[:, 2].sum()), k[:, 2] / k[:, 2].sum())) for k in (groups["artifact"], groups["control"]))
-                out.append(a / c if c else float("nan"))
-            yield pd.DataFrame({"ratio": out})
-
     spark = rows.sparkSession
-    if not all(len(k) for k in groups.values()):
+    given = rows.where("events is not null and of is not null and group in ('artifact', 'control')").select("group", F.col("events").cast("double").alias("events"), F.col("of").cast("double").alias("of"))
+    kinds = staged(given.groupBy("group", "events", "of").agg(F.count("*").alias("n")), "kinds")
+    buckets = max(1, -(-kinds.count() // at_once))
+    kinds = kinds.withColumn("bucket", F.pmod(F.xxhash64("events", "of"), F.lit(buckets)))
+    sums = kinds.groupBy("group", "bucket").agg(F.sum("n").alias("n"), F.sum(F.col("events") * F.col("n")).alias("events"), F.sum(F.col("of") * F.col("n")).alias("of")).orderBy("group", "bucket").collect()
+    whole = {g: [r for r in sums if r["group"] == g] for g in ("artifact", "control")}
+    if not all(whole.values()):
         return spark.createDataFrame([], "rate_artifact double, rate_control double, ratio double, ratio_lo double, ratio_hi double, n_artifact long, n_control long")
-    a, c = (float(rate(k, k[:, 2])) for k in (groups["artifact"], groups["control"]))
-    drawn = spark.range(replicates).mapInPandas(draw, "ratio double").where(~F.isnan("ratio"))
-    return drawn.agg(F.percentile("ratio", F.lit(0.025)).alias("ratio_lo"), F.percentile("ratio", F.lit(0.975)).alias("ratio_hi")).select(
+    sizes = {g: ([r["bucket"] for r in found], np.array([r["n"] for r in found], float)) for g, found in whole.items()}
+
+    def drawn(kind: pd.DataFrame) -> pd.DataFrame:
+        group, bucket = kind["group"].iloc[0], int(kind["bucket"].iloc[0])
+        numbers, counts = sizes[group]
+        kind = kind.sort_values(["events", "of"])
+        values, share = kind[["events", "of"]].to_numpy(float), kind["n"].to_numpy(float)
+        out = np.empty((replicates, 2))
+        for i in range(replicates):
+            own = np.random.Generator(np.random.PCG64([seed, i, ord(group[0])])).multinomial(int(counts.sum()), counts / counts.sum())[numbers.index(bucket)]
+            out[i] = np.random.Generator(np.random.PCG64([seed, i, ord(group[0]), bucket])).multinomial(own, share / share.sum()) @ values
+        return pd.DataFrame({"i": np.arange(replicates), "group": group, "events": out[:, 0], "of": out[:, 1]})
+
+    each = kinds.groupBy("group", "bucket").applyInPandas(drawn, "i long, group string, events double, of double").groupBy("i")
+
+    def rate(g: str) -> Column:
+        return F.sum(F.when(F.col("group") == g, F.col("events"))) / F.nullif(F.sum(F.when(F.col("group") == g, F.col("of"))), F.lit(0.0))
+
+    def known(g: str) -> float:
+        of = sum(r["of"] for r in whole[g])
+        return sum(r["events"] for r in whole[g]) / of * 1000 if of else float("nan")
+
+    a, c = known("artifact"), known("control")
+    ratios = each.agg((rate("artifact") / F.nullif(rate("control"), F.lit(0.0))).alias("ratio"))
+    return ratios.agg(F.percentile("ratio", F.lit(0.025)).alias("ratio_lo"), F.percentile("ratio", F.lit(0.975)).alias("ratio_hi")).select(
         F.lit(a).alias("rate_artifact"), F.lit(c).alias("rate_control"), F.lit(a / c if c else None).cast("double").alias("ratio"), "ratio_lo", "ratio_hi",
-        *(F.lit(int(groups[g][:, 2].sum())).cast("long").alias(f"n_{g}") for g in ("artifact", "control")),
+        *(F.lit(int(sizes[g][1].sum())).cast("long").alias(f"n_{g}") for g in ("artifact", "control")),
     )
 
 
@@ -133,16 +149,36 @@ def bounds(inputs: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     return inputs.crossJoin(ends)
 
 
+def interval_bars(rows: DataFrame, label: str, series: dict[str, tuple[str, str]]) -> DataFrame:
+    """label, series, lo and hi in percent: a bar for each row and series whose ends (columns) are known."""
+    bars = F.array(*(F.struct(F.lit(name).alias("series"), F.round(F.col(lo) * 100, 4).alias("lo"), F.round(F.col(hi) * 100, 4).alias("hi")) for name, (lo, hi) in series.items()))
+    return rows.select(F.col(label).alias("label"), F.explode(bars).alias("b")).select("label", "b.*").where("lo is not null")
+
+
+def error_bars(ratios: DataFrame) -> DataFrame:
+    """label, ratio and how far its interval reaches below and above it, of (label, ratio, ratio_lo, ratio_hi)."""
+    return ratios.where("ratio is not null").select("label", "ratio", (F.col("ratio") - F.col("ratio_lo")).alias("below"), (F.col("ratio_hi") - F.col("ratio")).alias("above"))
+
+
+def alike(scored: DataFrame) -> DataFrame:
+    """Rows counted by what adjusted() looks at, in w: as good as the rows, and few."""
+    return scored.groupBy("proxy", "events", "n_refs").agg(F.count("*").alias("w"))
+
+
 def adjusted(scored: DataFrame, least: int = 0) -> DataFrame:
-    """Odds ratio of any event by the proxy, adjusted for log references, with its 95 % interval and p; no row under 100 rows or with one proxy level."""
+    """Odds ratio of any event by the proxy, adjusted for log references, with its 95 % interval and p; no row under 100 rows or with one proxy level.
+
+    A column w, if there, says how many rows a row stands for.
+    """
     d = scored.where((F.col("n_refs") > 0) & (F.col("n_refs") >= least) & F.col("events").isNotNull())
-    d = d.select(F.when(F.col("events") > 0, 1.0).otherwise(0.0).alias("y"), F.when(F.col("proxy"), 1.0).otherwise(0.0).alias("s"), F.log("n_refs").alias("log_refs"))
-    size = d.agg(F.count("*").alias("n"), F.count_distinct("s").alias("levels"), F.count_distinct("y").alias("outcomes")).first()
+    w = F.col("w").cast("double") if "w" in scored.columns else F.lit(1.0)
+    d = d.select(F.when(F.col("events") > 0, 1.0).otherwise(0.0).alias("y"), F.when(F.col("proxy"), 1.0).otherwise(0.0).alias("s"), F.log("n_refs").alias("log_refs"), w.alias("w"))
+    size = d.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("n"), F.count_distinct("s").alias("levels"), F.count_distinct("y").alias("outcomes")).first()
     schema = "n long, odds_ratio double, or_lo double, or_hi double, p double, min_refs long"
     if size["n"] < 100 or size["levels"] < 2 or size["outcomes"] < 2:
         return scored.sparkSession.createDataFrame([], schema)
     x = VectorAssembler(inputCols=["s", "log_refs"], outputCol="features").transform(d)
-    fitted = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="y", maxIter=50).fit(x)
+    fitted = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="y", weightCol="w", maxIter=50).fit(x)
     b, e = float(fitted.coefficients[0]), float(fitted.summary.coefficientStandardErrors[0])
     row = (int(size["n"]), math.exp(b), math.exp(b - 1.96 * e), math.exp(b + 1.96 * e), math.erfc(abs(b / e) / math.sqrt(2)), least)
     return scored.sparkSession.createDataFrame([row], schema)

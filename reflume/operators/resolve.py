@@ -56,13 +56,34 @@ def title_scores(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def fuzzy_match(references: DataFrame, known: DataFrame, least: float = FUZZY_LEAST) -> DataFrame:
-    """ref_id, known_id and score of the best known title that shares a word with each reference; null where none scores enough."""
+    """ref_id, known_id and score of the best known title for each reference, of those with one of its rarer words; null where none scores enough.
+
+    Rarer are the half of a title's distinct words that fewest known titles have (two at least, ties by the word), so a word that
+    many titles share brings no pairs together unless a reference has none but such.
+    """
     word = F.explode(F.array_distinct(F.split(F.lower("title"), r"\s+")))
-    pairs = references.select("ref_id", word.alias("word")).join(known.select("known_id", word.alias("word")), "word").select("ref_id", "known_id").distinct()
+    of_known = known.select("known_id", word.alias("word"))
+    often = of_known.groupBy("word").agg(F.count("*").alias("often"))
+    mine = Window.partitionBy("ref_id")
+    ranked = references.select("ref_id", word.alias("word")).join(often, "word").withColumn("n", F.row_number().over(mine.orderBy("often", "word"))).withColumn("size", F.count("*").over(mine))
+    rare = ranked.where(F.col("n") <= F.greatest(F.lit(2), F.ceil(F.col("size") / 2))).select("ref_id", "word")
+    pairs = rare.join(of_known, "word").select("ref_id", "known_id").distinct()
     scored = pairs.join(references, "ref_id").withColumnRenamed("title", "a").join(known.withColumnRenamed("title", "b"), "known_id")
     scored = scored.withColumn("score", title_scores("a", "b"))
-    top = scored.withColumn("n", F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc("score"), "known_id"))).where((F.col("n") == 1) & (F.col("score") >= least))
-    return references.join(top.select("ref_id", "known_id", "score"), "ref_id", "left").select("ref_id", "known_id", "score")
+    best = scored.groupBy("ref_id").agg(F.min(F.struct((-F.col("score")).alias("less"), "known_id")).alias("m")).select("ref_id", "m.known_id", (-F.col("m.less")).alias("score")).where(F.col("score") >= least)
+    return references.join(best, "ref_id", "left").select("ref_id", "known_id", "score")
+
+
+def unresolvable(rows: DataFrame, known: DataFrame, shortest: int = 15) -> DataFrame:
+    """rows (id, doi, title) with unresolvable: a DOI that isn't known, or, without a DOI, a title of ``shortest`` characters or more that no known work has.
+
+    Titles are compared in lower case; shorter ones and missing ones are treated as resolvable, the cautious direction.
+    """
+    title = F.lower(F.trim("title"))
+    by_doi = looked_up(rows.where("doi is not null"), "doi", known.select("doi"))
+    rest = rows.where("doi is null").withColumn("_key", F.when(F.length(F.trim("title")) >= shortest, title))
+    by_title = looked_up(rest, "_key", known.select(title.alias("_key"))).withColumn("resolves", F.col("resolves") | F.col("_key").isNull())
+    return by_doi.unionByName(by_title.drop("_key")).withColumn("unresolvable", ~F.col("resolves")).drop("resolves")
 
 
 def looked_up(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:

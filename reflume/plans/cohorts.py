@@ -10,6 +10,7 @@ from ..functions import scalars
 from ..operators import classify as rules
 from ..operators import cohort as cohorts
 from ..operators import resolve
+from ..session import staged
 from ..sources import standins
 from ..sources.standins import SQL
 from . import citations as late
@@ -54,14 +55,18 @@ def phrase_validation(spark: SparkSession, d: str) -> DataFrame:
     return rules.phrase_validation(standins.candidates(spark, d))
 
 
-def members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    works = late.counted(spark, d)
+def counted(spark: SparkSession, d: str) -> DataFrame:
+    """Works with their late references, worked out once: cohort, pool and outcomes all start from them."""
+    return staged(late.counted(spark, d).select("id", "pub_date", "source_id", "year", "n_refs", "n_cites", "late"), "counted")
+
+
+def members(works: DataFrame) -> tuple[DataFrame, DataFrame]:
     cohort = works.where("id % 97 = 0")
     return cohort, cohorts.control_pool(works, cohort)
 
 
-def papers(spark: SparkSession, d: str) -> DataFrame:
-    cohort, pool = members(spark, d)
+def papers(works: DataFrame) -> DataFrame:
+    cohort, pool = members(works)
     controls = cohorts.match(cohort, pool).select(F.col("control_id").alias("id")).distinct()
     return cohort.select("id", F.lit("artifact").alias("group")).unionByName(controls.withColumn("group", F.lit("control")))
 
@@ -85,25 +90,26 @@ def cohort_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(MATCHED + "SELECT id, source_id, year, n_refs FROM pool")
 def control_pool(spark: SparkSession, d: str) -> DataFrame:
-    return members(spark, d)[1].select("id", "source_id", "year", "n_refs")
+    return members(counted(spark, d))[1].select("id", "source_id", "year", "n_refs")
 
 
 @query(MATCHED + "SELECT * FROM matches")
 def match_controls(spark: SparkSession, d: str) -> DataFrame:
-    return cohorts.match(*members(spark, d))
+    return cohorts.match(*members(counted(spark, d)))
 
 
 @query(MATCHED + "SELECT id, n_refs, late FROM pool WHERE id IN (SELECT control_id FROM matches)")
 def matched_controls(spark: SparkSession, d: str) -> DataFrame:
-    cohort, pool = members(spark, d)
+    cohort, pool = members(counted(spark, d))
     return pool.join(cohorts.match(cohort, pool).select(F.col("control_id").alias("id")).distinct(), "id", "left_semi").select("id", "n_refs", "late")
 
 
 @query(MATCHED + """SELECT (SELECT count(*) FROM matches) AS pairs, (SELECT round(avg(n_refs), 6) FROM cohort) AS cohort_refs,
 (SELECT round(avg(n_refs), 6) FROM pool WHERE id IN (SELECT control_id FROM matches)) AS control_refs""")
 def cohort_summary(spark: SparkSession, d: str) -> DataFrame:
-    cohort, pool = members(spark, d)
-    pairs = cohorts.match(cohort, pool)
+    cohort, pool = members(counted(spark, d))
+    pool = staged(pool, "pool")
+    pairs = staged(cohorts.match(cohort, pool), "pairs")
     used = pool.join(pairs.select(F.col("control_id").alias("id")).distinct(), "id", "left_semi")
     one = [pairs.agg(F.count("*").alias("pairs")), cohort.agg(F.round(F.avg("n_refs"), 6).alias("cohort_refs")), used.agg(F.round(F.avg("n_refs"), 6).alias("control_refs"))]
     return one[0].crossJoin(one[1]).crossJoin(one[2])  # single rows
@@ -111,12 +117,13 @@ def cohort_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(MATCHED + "SELECT * FROM papers")
 def papers_to_check(spark: SparkSession, d: str) -> DataFrame:
-    return papers(spark, d)
+    return papers(counted(spark, d))
 
 
 @query(MATCHED + """SELECT "group", round(sum(late) / sum(n_refs)::DOUBLE * 1000, 6) AS rate, count(*) AS papers FROM counted JOIN papers USING (id) GROUP BY 1""")
 def rate_ratio(spark: SparkSession, d: str) -> DataFrame:
-    rows = late.counted(spark, d).join(papers(spark, d), "id")
+    works = counted(spark, d)
+    rows = works.join(papers(works), "id")
     return rows.groupBy("group").agg(F.round(cohorts.rate_of(F.col("late"), F.col("n_refs")), 6).alias("rate"), F.count("*").alias("papers"))
 
 
@@ -127,20 +134,25 @@ def unresolvable_per_paper(spark: SparkSession, d: str) -> DataFrame:
 
 @query(MATCHED + """SELECT "group", count(*) AS papers, sum(n_refs)::BIGINT AS refs, sum(n_unresolvable)::BIGINT AS unresolvable, round(sum(n_unresolvable) / sum(n_refs)::DOUBLE * 1000, 6) AS rate FROM papers JOIN bad USING (id) GROUP BY 1""")
 def unresolvable_by_group(spark: SparkSession, d: str) -> DataFrame:
-    rows = unresolvable(spark, d).join(papers(spark, d), "id")
+    rows = unresolvable(spark, d).join(papers(counted(spark, d)), "id")
     return rows.groupBy("group").agg(F.count("*").alias("papers"), F.sum("n_refs").alias("refs"), F.sum("n_unresolvable").alias("unresolvable"), F.round(cohorts.rate_of(F.col("n_unresolvable"), F.col("n_refs")), 6).alias("rate"))
 
 
-@query(SQL + "SELECT id, doi, title, CASE WHEN doi IS NOT NULL THEN id % 3 = 0 WHEN length(title) < 15 THEN false ELSE id % 2 = 0 END AS unresolvable FROM (SELECT id, doi, CASE WHEN id % 4 = 0 THEN 'short' ELSE 'a title that is long enough' END AS title FROM norm WHERE src = 'w')")
+_TITLE_OF = "CASE WHEN {k} % 4 = 0 THEN 'short' ELSE concat('A title that is long enough of ', cast({k} AS string)) END"
+
+
+@query(SQL + f"""SELECT id, doi, title, CASE WHEN doi IS NOT NULL THEN doi NOT IN (SELECT doi FROM norm WHERE src = 'r' AND doi IS NOT NULL)
+WHEN length(title) < 15 THEN false ELSE lower(title) NOT IN (SELECT lower({_TITLE_OF.format(k='record_id')}) FROM retractions) END AS unresolvable FROM (SELECT id, doi, {_TITLE_OF.format(k='id')} AS title FROM norm WHERE src = 'w')""")
 def unresolvable_refs(spark: SparkSession, d: str) -> DataFrame:
-    rows = standins.works(spark, d).select("id", scalars.norm_doi(F.col("doi")).alias("doi"), F.when(F.col("id") % 4 == 0, "short").otherwise("a title that is long enough").alias("title"))
-    verdict = F.when(F.col("doi").isNotNull(), F.col("id") % 3 == 0).when(F.length("title") < 15, False).otherwise(F.col("id") % 2 == 0)
-    return rows.withColumn("unresolvable", verdict)
+    """References against the registry of known works, by DOI and else by title."""
+    rows = standins.works(spark, d).select("id", scalars.norm_doi(F.col("doi")).alias("doi"), F.expr(_TITLE_OF.format(k="id")).alias("title"))
+    known = standins.retractions(spark, d).select(scalars.norm_doi(F.col("doi")).alias("doi"), F.expr(_TITLE_OF.format(k="record_id")).alias("title"))
+    return resolve.unresolvable(rows, known)
 
 
-@query(MATCHED + "SELECT 'cited, not listed' AS issue, id FROM (SELECT DISTINCT ref AS id FROM refs WHERE ref % 3 = 0 EXCEPT SELECT p_partkey FROM part WHERE p_partkey % 2 = 0) UNION ALL SELECT 'listed, not cited', id FROM (SELECT p_partkey AS id FROM part WHERE p_partkey % 2 = 0 EXCEPT SELECT ref FROM refs WHERE ref % 3 = 0)")
+@query(MATCHED + "SELECT 'cited, not listed' AS issue, id FROM (SELECT DISTINCT ref AS id FROM refs EXCEPT SELECT p_partkey FROM part WHERE p_partkey % 2 = 0) UNION ALL SELECT 'listed, not cited', id FROM (SELECT p_partkey AS id FROM part WHERE p_partkey % 2 = 0 EXCEPT SELECT ref FROM refs)")
 def citation_integrity(spark: SparkSession, d: str) -> DataFrame:
-    cited = standins.references(spark, d).where("ref % 3 = 0").select(F.col("ref").alias("id")).distinct()
+    cited = standins.references(spark, d).select(F.col("ref").alias("id")).distinct()
     listed = standins.table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"))
     one = cited.join(listed, "id", "left_anti").select(F.lit("cited, not listed").alias("issue"), "id")
     return one.unionByName(listed.join(cited, "id", "left_anti").select(F.lit("listed, not cited").alias("issue"), "id"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import citations, estimates
+from ..session import staged
 from ..sources import standins
 from ..sources.standins import SQL
 from . import citations as late
@@ -88,7 +89,8 @@ def placebo_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    rows = late.counted(spark, d).where("n_refs > 0").join(cohorts.papers(spark, d), "id")
+    works = cohorts.counted(spark, d)
+    rows = works.where("n_refs > 0").join(cohorts.papers(works), "id")
     return estimates.bootstrap_ratio(rows.select("group", F.col("late").alias("events"), F.col("n_refs").alias("of")))
 
 
@@ -132,7 +134,7 @@ def bounds_by_stratum(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def logit_adjusted(spark: SparkSession, d: str) -> DataFrame:
-    return estimates.adjusted(standins.scored(spark, d), 0)
+    return estimates.adjusted(estimates.alike(standins.scored(spark, d)), 0)
 
 
 @query()
@@ -143,7 +145,8 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     from ..functions import scalars
 
     rows = docs.select(scalars.marker_score(F.col("text"), WORDS).alias("score"), F.col("quality").cast("long").alias("events"), F.floor(F.col("n_chars") / 50).cast("long").alias("n_refs"))
-    fits = [estimates.adjusted(rows.withColumn("proxy", F.col("score") >= markers), least).withColumn("markers", F.lit(markers)) for markers in (3, 4, 5) for least in (10, 20, 30, 40)]
+    counted = staged(rows.groupBy("score", "events", "n_refs").agg(F.count("*").alias("w")), "scores")  # each text is scored once, for all settings
+    fits = [estimates.adjusted(counted.withColumn("proxy", F.col("score") >= markers), least).withColumn("markers", F.lit(markers)) for markers in (3, 4, 5) for least in (10, 20, 30, 40)]
     return reduce(DataFrame.unionByName, fits)
 
 

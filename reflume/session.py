@@ -1,20 +1,13 @@
-"""Session defaults and the folder that driver and executors share."""
+"""The folder that driver and executors share, and tables that are written there once to be read several times."""
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-
-def session(name: str = "reflume", master: str | None = None, **conf: str) -> SparkSession:
-    builder = SparkSession.builder.appName(name)
-    if master:
-        builder = builder.master(master)
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"} | conf
-    for key, value in settings.items():
-        builder = builder.config(key, value)
-    return builder.getOrCreate()
+_STAGED: list[tuple[SparkSession, str]] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -25,3 +18,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """Writes rows to the shared folder and reads them back, so that what made them runs once; removed when the interpreter ends."""
+    spark = rows.sparkSession
+    if not _STAGED:
+        atexit.register(_sweep)
+    path = shared_path(spark, name)
+    _STAGED.append((spark, path))
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _sweep() -> None:
+    for spark, path in _STAGED:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session has ended already
+            return
