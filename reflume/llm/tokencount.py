@@ -35,10 +35,11 @@ from .common import drop_stage, materialize, mix64, powers, random_words
 
 START = "▁"
 #: Rounds of the fit, what each piece's count gets added, and what a byte costs below the least likely piece.
-ROUNDS, SMOOTH, UNKNOWN = 3, 0.1, 10.0
+ROUNDS, SMOOTH, UNKNOWN = 2, 0.1, 10.0
 #: Characters whose words go through one trie, characters of text handled at once, words remembered in a task.
-AT_ONCE, TEXT_AT_ONCE, REMEMBERED = 1 << 18, 1 << 22, 1 << 18
+AT_ONCE, TEXT_AT_ONCE, REMEMBERED = 1 << 18, 1 << 23, 1 << 18
 _BASE = 0xD1342543DE82EF95
+SUFFIX, NOTHING = -1, -2
 
 
 @lru_cache(1)
@@ -47,32 +48,50 @@ def letters() -> np.ndarray:
 
 
 class Pieces:
-    """A vocabulary's pieces, found by the hash of their characters."""
+    """A vocabulary's pieces and their suffixes, found by the hash of their characters."""
 
     def __init__(self, pieces: list[str]):
         self.names = pieces
         self.longest = max(map(len, pieces), default=1)
-        self.lengths = sorted({len(p) for p in pieces})
-        size = 1 << max(10, (32 * len(pieces)).bit_length())
-        self.shift = np.uint64(64 - size.bit_length() + 1)
-        self.keys, self.ids, self.probes = np.zeros(size + 64, np.uint64), np.full(size + 64, -1, np.int64), 1
-        for i, piece in enumerate(pieces):
-            points = np.frombuffer(piece.encode("utf-32-le"), np.int32)
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        points = np.frombuffer("".join(pieces).encode("utf-32-le"), np.int32)
+        ends = np.cumsum(sizes)
+        left = np.repeat(ends, sizes) - np.arange(len(points))  # characters from each place to its piece's end
+        keys, ids = [], []
+        for length in range(1, self.longest + 1):
+            at = np.flatnonzero(left == length)
+            spots = at[:, None] + np.arange(length)
             with np.errstate(over="ignore"):
-                key = mix64((letters()[points] * powers(_BASE, len(points) + 1)[: len(points)]).sum(keepdims=True))[0]
-            slot = int(key >> self.shift)
-            while self.ids[slot] >= 0 and self.keys[slot] != key:
-                slot += 1
-            self.keys[slot], self.ids[slot] = key, i
-            self.probes = max(self.probes, slot - int(key >> self.shift) + 1)
+                keys.append(mix64((letters()[points[spots]] * powers(_BASE, length + 1)[:length]).sum(1, dtype=np.uint64)))
+            piece = np.searchsorted(ends, at, side="right")
+            ids.append(np.where(sizes[piece] == length, piece, SUFFIX))
+        keys, ids = np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty(0, np.int64), *ids])
+        order = np.lexsort((-ids, keys))  # a suffix that is a piece too is a piece
+        keys, first = np.unique(keys[order], return_index=True)
+        ids = ids[order][first]
+        size = 1 << max(10, (16 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - size.bit_length() + 1)
+        self.keys, self.ids, self.used = np.zeros(size + 64, np.uint64), np.full(size + 64, NOTHING, np.int32), np.zeros(size + 64, bool)
+        slots, left = (keys >> self.shift).astype(np.int64), np.arange(len(keys))
+        while len(left):  # the first key of each free slot takes it, the others try the next one
+            free = left[~self.used[slots[left]]]
+            taken, which = np.unique(slots[free], return_index=True)
+            self.keys[taken], self.ids[taken], self.used[taken] = keys[free[which]], ids[free[which]], True
+            left = left[self.keys[slots[left]] != keys[left]]
+            slots[left] += 1
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of the pieces with these hashes, -1 where there is none."""
+        """Ids of the pieces with these hashes, SUFFIX for what is only the end of one, NOTHING else."""
         keys = mix64(hashes)
-        slots, out = (keys >> self.shift).astype(np.int64), np.full(len(keys), -1, np.int64)
-        for probe in range(self.probes):
-            hit = (self.keys[slots + probe] == keys) & (self.ids[slots + probe] >= 0)
-            out[hit] = self.ids[slots[hit] + probe]
+        slots, out = (keys >> self.shift).astype(np.int64), np.full(len(keys), NOTHING, np.int32)
+        left = np.flatnonzero(self.used[slots])
+        while len(left):
+            spots = slots[left]
+            hit = self.keys[spots] == keys[left]
+            out[left[hit]] = self.ids[spots[hit]]
+            left = left[~hit]
+            slots[left] += 1
+            left = left[self.used[slots[left]]]
         return out
 
 
@@ -102,23 +121,28 @@ class Trie:
         #: The first node of each level, and one after the last.
         self.levels = np.append(starts, len(order) + 1)
         bytes_of = 1 + (points[sample] > 0x7F) + (points[sample] > 0x7FF) + (points[sample] > 0xFFFF)
-        at, above, piece = [np.arange(1, len(order) + 1)], [np.where(level > 1, node[sample - 1], 0)], [-bytes_of]
+        # By length: nodes (from 0, without the root), the nodes above them and the pieces between.
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        alive, count = np.arange(len(sample)), np.ones(len(sample), np.int64)
         with np.errstate(over="ignore"):
             inverse = powers(pow(_BASE, -1, 1 << 64), int(sizes.max(initial=0)) + 2)
-            for length in reversed(pieces.lengths):
-                deep = np.flatnonzero(level >= length)
-                spot, whole = sample[deep], level[deep] == length
+            for length in range(1, pieces.longest + 1):
+                alive = alive[level[alive] >= length]
+                spot = sample[alive]
+                whole = level[alive] == length
                 rest = np.where(whole, np.uint64(0), prefix[spot - length])
-                found = pieces.find((prefix[spot] - rest) * inverse[level[deep] - length])
-                hit = found >= 0
-                at.append(deep[hit] + 1)
-                above.append(np.where(whole[hit], 0, node[spot[hit] - length]))
-                piece.append(found[hit])
-        at, above, piece = map(np.concatenate, (at, above, piece))
-        order = np.argsort(at, kind="stable")
-        #: Ways to a node: the node above and the piece between, or less its number of bytes.
-        self.above, self.piece = above[order], piece[order]
-        self.ways = np.searchsorted(at[order], np.arange(1, len(sample) + 2))
+                ids = pieces.find((prefix[spot] - rest) * inverse[level[alive] - length])
+                hit = ids >= 0
+                found.append((alive[hit], np.where(whole[hit], 0, node[spot[hit] - length]), ids[hit]))
+                count[alive[hit]] += 1
+                alive = alive[ids != NOTHING]  # what no piece ends with, no longer one does
+        self.ways = np.concatenate([[0], np.cumsum(count)])
+        #: Ways to a node: the node above and the piece between, or less its number of bytes; longer pieces come first.
+        self.above, self.piece = np.empty(self.ways[-1], np.int64), np.empty(self.ways[-1], np.int64)
+        free = self.ways[:-1].copy()
+        for at, above, ids in [*reversed(found), (np.arange(len(sample)), np.where(level > 1, node[sample - 1], 0), -bytes_of)]:
+            self.above[free[at]], self.piece[free[at]] = above, ids
+            free[at] += 1
 
     def forward(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best score and token count of each node; the way that gives them is kept."""
