@@ -2,8 +2,9 @@
 
 Equal vectors are one node. Each node starts with the nearest of those that lie beside it
 along a few random directions. Then neighbours of neighbours are joined: at every node, its
-neighbours and the nodes that have it for a neighbour meet, and each pair that is nearer
-than what either has is proposed to it; that is repeated until few lists change. A query starts at its own node and expands the nearest nodes
+neighbours and the nodes that have it for a neighbour meet, and each pair with a new edge that is nearer
+than what either has is proposed to it; that is repeated until few lists change. The lists, with
+their vectors, are dealt to buckets once, where the queries' hops meet them. A query starts at its own node and expands the nearest nodes
 of its beam, which is wider for more nodes, until all of them are expanded; what the beam holds at the end is measured
 exactly, in double precision on the original vectors.
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_stage, materialize, shuffle_partitions
+from .common import bucketed, drop_stage, materialize, shuffle_partitions
 
 #: Neighbours of a node, random directions, nodes that are compared along them at once.
 K, DIRECTIONS, BLOCK = 24, 3, 2048
@@ -149,47 +150,64 @@ def beside(vectors: DataFrame, count: int, size: int) -> DataFrame:
     return found
 
 
+def top_edges(v: np.ndarray, u: np.ndarray, s: np.ndarray, old: np.ndarray) -> list[np.ndarray]:
+    """v, u, s, fresh and new of the K nearest distinct u of each v; rows come by v, nearest first, and old tells those of the graph."""
+    again = np.lexsort((np.arange(len(v)), u, v))
+    first = np.ones(len(v), bool)
+    first[1:] = (v[again][1:] != v[again][:-1]) | (u[again][1:] != u[again][:-1])
+    group = np.cumsum(first) - 1
+    known = np.zeros(group[-1] + 1 if len(v) else 0, bool)
+    np.logical_or.at(known, group, old[again])
+    kept = np.sort(again[first])
+    was = np.empty(len(v), bool)
+    was[again] = known[group]
+    begins = np.flatnonzero(np.diff(v, prepend=v[:1] + 1)) if len(v) else np.empty(0, np.int64)
+    of = np.searchsorted(begins, np.arange(len(v)), side="right") - 1
+    counts, last = np.bincount(of[old], minlength=len(begins)), np.full(len(begins), 2.0)
+    np.minimum.at(last, of[old], s[old])
+    least = np.where(counts >= K, last + NEARER, -2.0)
+    place = np.arange(len(kept)) - np.searchsorted(of[kept], of[kept], side="left")
+    kept = kept[place < K]
+    return [v[kept], u[kept], s[kept], ~was[kept] & (s[kept] > least[of[kept]]), ~was[kept]]
+
+
 def best(edges: DataFrame, graph: DataFrame | None = None) -> DataFrame:
-    """The K nearest distinct u of each v in edges and graph; fresh tells those that the graph lacks and that are nearer than its last of v."""
+    """The K nearest distinct u of each v in edges and graph; new tells those that the graph lacks, fresh those of them that are nearer than its last of v."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, taken, before, last = None, {}, set(), -2.0
-        out: list[tuple[int, int, float, bool]] = []
-
-        def ended() -> None:
-            least = last + NEARER if len(before) >= K else -2.0
-            out.extend((at, u, s, u not in before and s > least) for u, s in taken.items())
+        held: list[list[np.ndarray]] = []
 
-        def batch_of() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float32(), pa.bool_()), strict=True)], names=["v", "u", "s", "fresh"])
-            out.clear()
-            return made
+        def made(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
+            whole = [np.concatenate([np.empty(0, t), *c]) for c, t in zip(zip(*columns, strict=True) if columns else [[]] * 4, (np.int64, np.int64, np.float32, bool), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in top_edges(*whole)], names=["v", "u", "s", "fresh", "new"])
 
         for batch in batches:
-            for a, b, c, old in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if a != at:
-                    ended()
-                    at, taken, before, last = a, {}, set(), -2.0
-                if len(taken) < K and b not in taken:
-                    taken[b] = c
-                if old:
-                    before.add(b)
-                    last = c
-            yield batch_of()
-        ended()
-        yield batch_of()
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cut = int(np.searchsorted(columns[0], columns[0][-1], side="left"))  # the last node's rows may go on
+            if cut or held and held[0][0][-1] != columns[0][0]:
+                yield made([*held, [c[:cut] for c in columns]])
+                held = []
+            held.append([c[cut:] for c in columns])
+        if held:
+            yield made(held)
 
     every = edges.select("v", "u", "s", F.lit(False).alias("old"))
     if graph is not None:
         every = every.union(graph.select("v", "u", "s", F.lit(True)))
-    return every.repartition(shuffle_partitions(edges.sparkSession), "v").sortWithinPartitions("v", F.desc("s"), "u").mapInArrow(run, "v long, u long, s float, fresh boolean")
+    return every.repartition(shuffle_partitions(edges.sparkSession), "v").sortWithinPartitions("v", F.desc("s"), "u").mapInArrow(run, "v long, u long, s float, fresh boolean, new boolean")
 
 
 def joined(graph: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Neighbours of neighbours: at each hub, the pairs of nodes that have it or that it has, where nearer than their lists' last."""
-    reverse = graph.select(F.col("u").alias("hub"), F.col("v").alias("node"), F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v")).alias("n")).where(F.col("n") <= K)
-    hubs = graph.select(F.col("v").alias("hub"), F.col("u").alias("node")).union(reverse.select("hub", "node")).union(vectors.select("node", "node")).distinct()
+    """Neighbours of neighbours: at each hub, the pairs of nodes that have it or that it has, one of them by a new edge, where nearer than their lists' last.
+
+    Hubs without a new edge have been joined already and get no vectors.
+    """
+    reverse = graph.select(F.col("u").alias("hub"), F.col("v").alias("node"), "new", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v")).alias("n")).where(F.col("n") <= K)
+    both = graph.select(F.col("v").alias("hub"), F.col("u").alias("node"), "new").union(reverse.select("hub", "node", "new"))
+    active = both.where("new").select("hub").distinct()
+    hubs = both.union(active.select("hub", "hub", F.lit(False))).groupBy("hub", "node").agg(F.max("new").alias("new")).join(active, "hub", "left_semi")
     last = graph.groupBy("v").agg(F.when(F.count("*") >= K, F.min("s")).otherwise(-2.0).cast("float").alias("last"))
     known = vectors.join(last, F.col("node") == F.col("v"), "left").select("node", "vec", F.coalesce("last", F.lit(-2.0).cast("float")).alias("last"))
     met = hubs.join(known, "node").repartition(shuffle_partitions(graph.sparkSession), "hub").sortWithinPartitions("hub")
@@ -197,10 +215,10 @@ def joined(graph: DataFrame, vectors: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, u, s, held = [], [], [], 0
         for group in runs(batches, "hub"):
-            ids, x, last_of = table_column(group, "node").to_numpy(), matrix(table_column(group, "vec")), table_column(group, "last").to_numpy()
+            ids, x, last_of, new = table_column(group, "node").to_numpy(), matrix(table_column(group, "vec")), table_column(group, "last").to_numpy(), table_column(group, "new").to_numpy(zero_copy_only=False)
             sims = x @ x.T
             np.fill_diagonal(sims, -3)
-            a, b = np.nonzero(sims > last_of[:, None])
+            a, b = np.nonzero((sims > last_of[:, None]) & (new[:, None] | new))
             v.append(ids[a])
             u.append(ids[b])
             s.append(sims[a, b])
@@ -210,7 +228,7 @@ def joined(graph: DataFrame, vectors: DataFrame) -> DataFrame:
                 v, u, s, held = [], [], [], 0
         yield edge_batch(v, u, s)
 
-    return met.select("hub", "node", "vec", "last").mapInArrow(run, "v long, u long, s float")
+    return met.select("hub", "node", "vec", "last", "new").mapInArrow(run, "v long, u long, s float")
 
 
 def graph_of(vectors: DataFrame, count: int, size: int) -> DataFrame:
@@ -278,7 +296,9 @@ def search(lists: DataFrame, queries: DataFrame, width: int = BEAM) -> DataFrame
         asked = open_.select("q", "x").join(last, "q").join(queries, "q")
         fresh = asked.join(lists, F.col("x") == F.col("node")).select("q", "vec", "last", "near", "vecs").mapInArrow(expand, "q long, x long, s float, done boolean")
         both = beam.select("q", "x", "s", F.lit(True).alias("done")).union(fresh)
-        beam = materialize(both.repartition(shuffle_partitions(beam.sparkSession), "q").sortWithinPartitions("q").mapInArrow(keep, "q long, x long, s float, done boolean"), "beam")
+        after = materialize(both.repartition(shuffle_partitions(beam.sparkSession), "q").sortWithinPartitions("q").mapInArrow(keep, "q long, x long, s float, done boolean"), "beam")
+        drop_stage(beam)
+        beam = after
 
 
 def measured(pairs: DataFrame) -> DataFrame:
@@ -307,10 +327,14 @@ def nearest(table: DataFrame, every: int = EVERY, k: int = NEAREST) -> DataFrame
     nodes = materialize(nodes_of(rows), "nodes")
     vectors = materialize(halved(nodes), "vectors")
     count = vectors.count()
-    lists = materialize(lists_of(graph_of(vectors, count, size), vectors), "lists")
+    graph = graph_of(vectors, count, size)
+    lists, forget = bucketed(lists_of(graph, vectors), "node", "lists")
+    drop_stage(graph)
     asked = materialize(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("x").alias("q")).distinct(), "queries")
     own = asked.select("q").distinct().join(vectors, F.col("q") == F.col("node")).select("q", "vec")
     beam = search(lists, materialize(own, "asked"), beam_of(count))
+    forget()
+    drop_stage(vectors)
     of = nodes.select("node", "x", "members")
     pairs = beam.select("q", F.col("x").alias("found")).join(of.select(F.col("node").alias("q"), F.col("x").alias("a")), "q").join(of.select(F.col("node").alias("found"), F.col("x").alias("b"), "members"), "found")
     each = measured(pairs).select("q", "score", F.explode("members").alias("vec_id"))

@@ -1,6 +1,7 @@
 import numpy as np
 
 from reflume.llm import ann
+from reflume.llm.common import materialize
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -55,7 +56,8 @@ def test_odd_rows(spark):
 def test_joins_go_on_until_few_lists_change(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 32)
     x = np.random.default_rng(8).standard_normal((3000, 16)).astype(np.float32)
-    vectors = ann.halved(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, x array<double>")).localCheckpoint()
+    vectors = ann.halved(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, x array<double>"))
+    vectors = materialize(vectors, "vectors")
     near = {}
     for r in ann.graph_of(vectors, 3000, 16).collect():
         near.setdefault(r.v, set()).add(r.u)
