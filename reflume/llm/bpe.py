@@ -8,8 +8,8 @@ words of over LONG bytes get a tree of their own.
 
 Vocabularies are the JSON files of the tokenizers library, byte-level, with or without an
 end-of-word suffix; ids and decoded texts equal that library's with add_special_tokens
-off. A text with code points that this Python's Unicode tables lack, and whose class that
-library may know, is given to it whole. Special tokens' strings within a text become their ids, as there. A null text counts
+off. That library is asked for the class of each code point that this Python's Unicode tables lack, once.
+Special tokens' strings within a text become their ids, as there. A null text counts
 as empty and gives no ids. Repeated rows are encoded like others.
 """
 
@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import powers, random_words
+from .common import bounded_batches, held, powers, random_words
 
 #: Bytes of a word up to which words share an array of trees, characters handled at once, and remembered words.
-LONG, AT_ONCE, REMEMBERED = 120, 1 << 20, 400_000
+LONG, AT_ONCE, REMEMBERED = 120, 1 << 19, 300_000
 OTHER, LETTER, NUMBER, SPACE, UNASSIGNED = range(5)
 #: What may follow an apostrophe as a token of its own, and Unicode's White_Space.
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -95,6 +95,8 @@ class Coder:
 
     def __init__(self, path: str):
         self.path, self._library = path, None
+        #: Classes of code points; those that are unassigned here are asked for when they first come.
+        self.kinds = classes().copy()
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         model = made["model"]
@@ -134,11 +136,20 @@ class Coder:
             self._library = Tokenizer.from_file(self.path)
         return self._library
 
+    def learn(self, points: np.ndarray) -> None:
+        """Finds out which class the library has these unassigned code points in: letters join letters, other signs join signs."""
+        cut = self.library().pre_tokenizer.pre_tokenize_str
+        for c in np.unique(points).tolist():
+            if len(cut(f"a{chr(c)}a")) == 1:
+                self.kinds[c] = LETTER
+            else:
+                self.kinds[c] = OTHER if len(cut(f"!{chr(c)}!")) == 1 else NUMBER
+
     # words
 
     def starts(self, text: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the words of code points, none of which crosses a segment's start."""
-        size, kind = len(text), classes()[text]
+        size, kind = len(text), self.kinds[text]
         fresh = np.ones(size + 1, bool)
         fresh[1:size] = kind[1:] != kind[:-1]
         fresh[segments] = True
@@ -326,17 +337,15 @@ class Coder:
         return [*pieces, text[at:]], tokens
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        unsure = {i for i, t in enumerate(texts) if not t.isascii() and (classes()[code_points(t)] == UNASSIGNED).any()}
-        if unsure:
-            done = iter(self._plain([t for i, t in enumerate(texts) if i not in unsure]))
-            return [np.array(self.library().encode(t, add_special_tokens=False).ids, np.uint32) if i in unsure else next(done) for i, t in enumerate(texts)]
         if self.suffix:
-            texts = [normal(t) for t in texts]
+            texts = [normal(t) if t.isascii() or (classes()[code_points(t)] != UNASSIGNED).all() else self.library().normalizer.normalize_str(t) for t in texts]
         lengths = np.array([len(t) for t in texts], np.int64)
         whole = "".join(texts)
         if not whole:
             return [np.empty(0, np.uint32) for _ in texts]
         text = code_points(whole)
+        if (unknown := text[self.kinds[text] == UNASSIGNED]).size:
+            self.learn(unknown)
         begins = np.cumsum(lengths) - lengths
         at, ends = self.starts(text, begins[lengths > 0])
         sizes = ends - at
@@ -406,15 +415,16 @@ def normal(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
-@lru_cache(2)
 def coder(path: str) -> Coder:
-    return Coder(path)
+    return held(("coder", path), lambda: Coder(path))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds the ids of every text as an array of ints; a column of that name is replaced."""
     schema = T.StructType([f for f in docs.schema if f.name != out]).add(out, T.ArrayType(T.IntegerType()))
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         for batch in batches:
@@ -431,6 +441,8 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
     """Adds the text of every array of ids; null arrays give the empty text, and a column of that name is replaced."""
     schema = T.StructType([f for f in docs.schema if f.name != out]).add(out, T.StringType())
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         for batch in batches:
@@ -448,6 +460,8 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def sha(data) -> str:
         return hashlib.sha256(data).hexdigest()
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         for batch in batches:
