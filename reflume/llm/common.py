@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+#: Bytes of a batch that goes to Python, beyond its first row.
+BATCH_BYTES = 4 << 20
 _MADE: list[tuple[SparkSession, str]] = []
 
 
@@ -62,6 +67,36 @@ def drop_stage(df: DataFrame) -> None:
             remove(spark, folder)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """Writes ``df`` to the shared folder by buckets of the key, so that joins on it shuffle the other side only; and what removes it."""
+    spark = df.sparkSession
+    path, table = stage_path(spark, name), f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(shuffle_partitions(spark), key).sortBy(key).option("path", path).saveAsTable(table)
+
+    def forget() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        remove(spark, path)
+
+    return spark.table(table), forget
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets batches of rows that go to Python end at BATCH_BYTES, unless the session says otherwise: texts may be long."""
+    if not spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], T]) -> T:
+    """What was made for the key, kept in this process from task to task until another key comes: one table at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_cuts, mix64, order_id, powers, random_words, range_number, shuffle_partitions
+from .common import bounded_batches, id_cuts, mix64, order_id, powers, random_words, range_number, shuffle_partitions
 
 LEAST, NORMAL, MOST = 8, 40, 128
 #: Zero bits asked for before and after the normal size.
@@ -135,6 +135,7 @@ def beside_next(docs: DataFrame, per_partition: int = 4) -> DataFrame:
     order goes to the last range. Texts are shuffled once. Only one id for each range
     reaches the driver. Partitions come sorted: within a range by rank, guests at its end.
     """
+    bounded_batches(docs.sparkSession)
     spark, n = docs.sparkSession, per_partition * shuffle_partitions(docs.sparkSession)
     rows = docs.select(order_id().alias("_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cuts = id_cuts(rows, "_id", n)

@@ -25,7 +25,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tokenizers import Tokenizer
 
-from .common import id_cuts, order_id, range_number, shuffle_partitions
+from .common import bounded_batches, held, id_cuts, order_id, range_number, shuffle_partitions
 
 MAGIC = b"RFIDS001"
 BLOCK = 512
@@ -192,6 +191,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, per_par
     long as there are ranges: ``per_partition`` for each shuffle partition.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(order_id().alias("_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cuts = id_cuts(rows, "_id", per_partition * shuffle_partitions(spark))
     made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -223,14 +223,17 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, per_par
     return shards
 
 
-@lru_cache(1)
 def library(path: str) -> Tokenizer:
     """The tokenizers library over a file, without truncation and padding."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    own = Tokenizer.from_file(path)
-    own.no_truncation()
-    own.no_padding()
-    return own
+
+    def made() -> Tokenizer:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        own = Tokenizer.from_file(path)
+        own.no_truncation()
+        own.no_padding()
+        return own
+
+    return held(("library", path), made)
 
 
 def parts(text: str) -> Iterator[str]:

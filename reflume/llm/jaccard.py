@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_stage, materialize, mix64, powers, random_words, screened
+from .common import bounded_batches, drop_stage, materialize, mix64, powers, random_words, screened
 
 #: Where no contract says otherwise: words of a shingle and percent of similarity.
 WORDS, PERCENT = 5, 80
@@ -320,6 +320,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """link_components() with row_key and component, a label that no other component has, of each row."""
+    bounded_batches(docs.sparkSession)
     made = materialize(sketched(docs, words, percent), "sketches")
     narrow = materialize(made.select("doc_id", "row_key", "n_shingles", "node"), "sets")
     nodes = materialize(made.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("sample"), F.first("parity", True).alias("parity"), F.first("spare", True).alias("spare")), "nodes")

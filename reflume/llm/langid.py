@@ -20,14 +20,15 @@ from __future__ import annotations
 import math
 from array import array
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import bounded_batches, held
+
 #: Bounds of what is learned from: for each language so many texts, of each at most so many characters from its first letter on.
 SAMPLE_TEXTS, SAMPLE_CHARS = 60, 1500
 SEGMENT, AT_ONCE = 512, 1 << 19
@@ -105,24 +106,28 @@ class Parser:
         self.table[alpha] = self.symbols - 1
         for n, c in enumerate(letters):
             self.table[ord(c)] = n + 1
-        #: By language: its own number of each symbol, the last one for letters that it lacks; steps are
-        #: twice the place of the state that follows, plus one where a phrase starts, by state and own symbol.
-        self.own: list[np.ndarray] = []
-        self.steps: list[np.ndarray] = []
-        self.roots: list[int] = []
-        for text in texts:
+        #: By language: its own number of each symbol, the last one for letters that it lacks. Steps are twice the
+        #: place of the state that follows, plus one where a phrase starts, by state and own symbol, language after language.
+        self.own = np.zeros((len(texts), self.symbols), np.uint8 if self.symbols < 256 else np.uint16)
+        steps, roots, base = [], [], 0
+        for row, text in zip(self.own, texts, strict=True):
             number = {c: n for n, c in enumerate([" ", *sorted(set(text) - {" "})])}
             width = len(number) + 1
-            self.own.append(np.array([number.get(c, width - 1) for c in [" ", *letters, ""]], np.int32))
+            row[:] = [number.get(c, width - 1) for c in [" ", *letters, ""]]
             go = automaton([number[c] for c in text], width)
             # One state more: nothing read yet, or a letter that no phrase goes on from. Each step from it starts a phrase.
             again = np.where(go[0] >= 0, go[0], len(go)).astype(np.int32)
-            step = np.empty((len(go) + 1, width), np.int32)
-            np.multiply(np.where(go < 0, again, go), 2 * width, out=step[:-1])
+            kind = np.int32 if base + (len(go) + 1) * width < 1 << 30 else np.int64
+            step = np.empty((len(go) + 1, width), kind)
+            np.multiply(np.where(go < 0, again, go), kind(2 * width), out=step[:-1], dtype=kind)
             step[:-1] |= go < 0
-            step[-1] = again * (2 * width) | 1
-            self.steps.append(step.ravel())
-            self.roots.append(len(go) * width)
+            step[-1] = again.astype(kind) * (2 * width) | 1
+            step += kind(2 * base)
+            steps.append(step.ravel())
+            roots.append(base + len(go) * width)
+            base += step.size
+        self.steps = np.concatenate(steps) if steps else np.empty(0, np.int32)
+        self.roots = np.array(roots, self.steps.dtype)
         self.bits = np.array([math.log2(len(t) + 2) for t in texts])
         #: Letters that a language (rows) lacks, by symbol.
         self.lacks = np.array([[n > 0 and c not in own for n, c in enumerate([" ", *letters, ""])] for own in map(set, texts)], bool).reshape(len(texts), self.symbols)
@@ -137,37 +142,44 @@ class Parser:
         """Sums over the parts of each text."""
         return np.array([np.bincount(owner, row, count) for row in values], values.dtype).reshape(len(values), count)
 
-    @staticmethod
-    def walked(steps: np.ndarray, root: int, symbols: np.ndarray, at: np.ndarray, size: np.ndarray, prior: np.ndarray) -> np.ndarray:
-        """The step at each place of each segment (columns), as one parse of each text from its first symbol on takes them.
+    def walked(self, symbols: np.ndarray, at: np.ndarray, size: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        """The step at each place (rows) of each segment (columns) in each language (between), as one parse of each text from its first symbol on takes them.
 
         All segments are first parsed from the root, side by side. Then those that an earlier segment of
         their text (prior, or -1) goes on into are parsed anew from where it ends, up to the place where
         both parses are in one state, and so on until each segment begins where its prior ends.
         """
-        longest = int(size[0]) if len(size) else 0
-        path = np.zeros((longest, len(at)), np.int32)
-        state = np.full(len(at), root, np.int32)
-        lanes = np.searchsorted(-size, -np.arange(longest), side="left")
-        for t in range(longest):
-            n = lanes[t]
-            path[t, :n] = steps[state[:n] + symbols[at[:n] + t]]
-            state[:n] = path[t, :n] >> 1
-        begun, follows = np.full(len(at), root, np.int32), np.flatnonzero(prior >= 0)
+        longest, many, count = int(size[0]) if len(size) else 0, len(self.roots), len(at)
+        own = self.own[:, symbols].ravel()
+        at = np.arange(many)[:, None] * len(symbols) + at
+        path = np.zeros((longest, many, count), self.steps.dtype)
+        state = np.repeat(self.roots[:, None], count, 1)
+        lanes = np.searchsorted(-size, -np.arange(longest), side="left").tolist()
+        for t, n in enumerate(lanes):
+            step = self.steps[state[:, :n] + own[at[:, :n] + t]]
+            path[t, :, :n] = step
+            state[:, :n] = step >> 1
+        begun, follows = np.repeat(self.roots[:, None], count, 1), np.flatnonzero(prior >= 0)
+        flat, at = path.reshape(longest, many * count), at.ravel()
+        ends = size[prior[follows]] - 1
         while True:
-            ends = path[size[prior[follows]] - 1, prior[follows]] >> 1
-            changed = ends != begun[follows]
-            lane, state = follows[changed], ends[changed]
-            if not len(lane):
+            wanted = path[ends, :, prior[follows]].T >> 1
+            of, which = np.nonzero(wanted != begun[:, follows])
+            if not len(of):
                 return path
-            begun[lane] = state
+            state = wanted[of, which]
+            begun[of, follows[which]] = state
+            lane = of * count + follows[which]
+            place, left = at[lane], size[follows[which]]
             for t in range(longest):
-                step = steps[state + symbols[at[lane] + t]]
-                on = (step >> 1 != path[t, lane] >> 1) & (t + 1 < size[lane])
-                path[t, lane] = step
-                lane, state = lane[on], step[on] >> 1
-                if not len(lane):
-                    break
+                step = self.steps[state + own[place + t]]
+                before, flat[t, lane] = flat[t, lane], step
+                state = step >> 1
+                on = (before >> 1 != state) & (t + 1 < left)
+                if not on.all():
+                    lane, place, left, state = lane[on], place[on], left[on], state[on]
+                    if not len(lane):
+                        break
 
     def parsed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Phrases that start in and letters that lack, of each language (rows) and part of PART symbols; the parts' texts and sizes, the texts' sizes."""
@@ -197,10 +209,8 @@ class Parser:
         starts = np.concatenate([none, *(at[:n] + k for k, n in zip(rows, held, strict=True))])
         of = np.concatenate([none, *(owner[:n] for n in held)])
         long = np.concatenate([none, *(np.minimum(PART, size[:n] - k) for k, n in zip(rows, held, strict=True))])
-        phrases = np.zeros((len(self.roots), len(starts)), np.int64)
-        for row, own, steps, root in zip(phrases, self.own, self.steps, self.roots, strict=True):
-            path = self.walked(steps, root, own[symbols], at, size, prior)
-            row[:] = np.concatenate([none, *((path[k : k + PART, :n] & 1).sum(0) for k, n in zip(rows, held, strict=True))])
+        path = self.walked(symbols, at, size, prior)
+        phrases = np.concatenate([np.empty((len(self.roots), 0), np.int64), *((path[k : k + PART, :, :n] & 1).sum(0) for k, n in zip(rows, held, strict=True))], axis=1)
         place = np.argsort(starts)
         lacking = np.zeros_like(phrases)
         odd = np.flatnonzero(self.lacks.any(0)[symbols])
@@ -235,28 +245,28 @@ class Parser:
         return [(self.languages[b], float(s), float(r), bool(k)) if n else (UNKNOWN, 0.0, None, False) for b, s, r, k, n in zip(best, scores, fresh, known, sizes, strict=True)]
 
 
-@lru_cache(1)
 def parser(labelled: tuple[tuple[str, str], ...]) -> Parser:
-    return Parser(labelled)
+    return held(("parser", labelled), lambda: Parser(labelled))
 
 
 def predicted(text: Column, labelled: list[tuple[str, str]]) -> Column:
     """A struct of lang_pred, score, bits (a symbol, by the predicted language) and known for each text; only texts go to Python."""
     learned = tuple(labelled)
 
-    @F.pandas_udf("lang_pred string, score double, bits double, known boolean")
-    def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang_pred:string,score:double,bits:double,known:boolean>")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = parser(learned)
         for column in columns:
             out, texts, size = [], [], 0
             for value in column:
-                texts.append(value)
-                size += len(value or "")
+                texts.append(value.as_py())
+                size += len(texts[-1] or "")
                 if size >= AT_ONCE:
                     out += own.predict(texts)
                     texts, size = [], 0
             out += own.predict(texts) if texts else []
-            yield pd.DataFrame(out, columns=["lang_pred", "score", "bits", "known"])
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)], names=["lang_pred", "score", "bits", "known"])
 
     return run(text)
 
@@ -266,6 +276,7 @@ def accept(docs: DataFrame) -> DataFrame:
 
     Rows are kept as they are, whatever their columns are called; repeated rows go or stay alike.
     """
+    bounded_batches(docs.sparkSession)
     packed = docs.select(F.struct(*docs.columns).alias("_doc"))
     found = packed.withColumn("_found", predicted(F.col("_doc.text").cast("string"), sample(docs)))
     return found.where((F.col("_found.lang_pred") != UNKNOWN) & F.col("_found.known")).select("_doc.*")
@@ -273,6 +284,7 @@ def accept(docs: DataFrame) -> DataFrame:
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits: learned from the labelled rows that aren't held out."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predicted(F.col("text"), sample(docs)).alias("_found"))
     return found.select("doc_id", "held_out", "_found.lang_pred", "_found.score", "_found.bits")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import bounded_batches, materialize
 
 #: The base kinds' patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -115,6 +115,7 @@ def findings(docs: DataFrame, repository: Column | None = None, owner: Column |
     first slash. The scan's narrow result is written once, counted by value, and joined
     back to the documents; the texts are read once.
     """
+    bounded_batches(docs.sparkSession)
     repository = F.col("source").cast("string") if repository is None else repository
     owner = F.substring_index(repository, "/", 1) if owner is None else owner
     rows = materialize(scanned(docs, repository, owner).withColumn("row", F.monotonically_increasing_id()), "secrets")

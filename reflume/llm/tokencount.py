@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, materialize, mix64, powers, random_words
+from .common import bounded_batches, drop_stage, held, materialize, mix64, powers, random_words
 
 START = "▁"
 #: Rounds of the fit, what each piece's count gets added, and what a byte costs below the least likely piece.
@@ -218,14 +218,17 @@ def sliced(texts: pa.Array) -> Iterator[pa.Array]:
         first = last
 
 
-@lru_cache(1)
 def vocabulary(path: str) -> Pieces:
     """The ordinary pieces of a sentencepiece file, in their order."""
-    import sentencepiece
 
-    own = sentencepiece.SentencePieceProcessor(model_file=path)
-    ids = range(own.get_piece_size())
-    return Pieces([own.id_to_piece(i) for i in ids if not (own.is_byte(i) or own.is_control(i) or own.is_unknown(i))])
+    def made() -> Pieces:
+        import sentencepiece
+
+        own = sentencepiece.SentencePieceProcessor(model_file=path)
+        ids = range(own.get_piece_size())
+        return Pieces([own.id_to_piece(i) for i in ids if not (own.is_byte(i) or own.is_control(i) or own.is_unknown(i))])
+
+    return held(("pieces", path), made)
 
 
 def fitted(counts: np.ndarray) -> np.ndarray:
@@ -276,6 +279,7 @@ def fit(docs: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
 
 def counts(docs: DataFrame, path: str, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, n_tokens and score (log probability) of each text, under a model fitted to all of them."""
+    bounded_batches(docs.sparkSession)
     scores = fit(docs, path, rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

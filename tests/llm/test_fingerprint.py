@@ -63,3 +63,35 @@ def test_query_against_a_loop(spark):
 def test_equal_texts_have_equal_fingerprints(spark):
     made = {r.doc_id: r.fingerprint for r in fp.fingerprints(documents(spark)).collect()}
     assert made[0] == made[1] != made[2] and made[3] == made[4] == "" and len(PROSE) > 8
+
+
+def chunks(data):
+    """Bytes of each chunk of a text by the rolling hash, with how many bytes all its copies cover."""
+    starts = naive_starts(data) if data else []
+    weights = {}
+    for a, b in zip(starts, [*starts[1:], len(data)], strict=True):
+        weights[data[a:b]] = weights.get(data[a:b], 0) + b - a
+    return weights
+
+
+def likeness(a, b):
+    if not a or not b:
+        return float(not a and not b)
+    return sum(min(w, b.get(c, 0)) for c, w in a.items()) / sum(a.values())
+
+
+def test_the_query_equals_chunks_of_bytes(spark):
+    """Both fingerprints' weights and both likenesses of every row, from the chunks' bytes."""
+    texts = [LONG[:4000], LONG[1000:6000], PROSE * 30, "", None, PROSE * 30 + LONG[:300], "ab" * 700, "é🙂" * 90, "x"]
+    rows = [(n * 3, t) for n, t in enumerate(texts)]
+    order = sorted(rows, key=lambda r: -r[0])
+    found = {r.doc_id: r for r in fp.neighbour_likeness(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(found) == len(rows)
+    for n, (i, t) in enumerate(order):
+        own, following = t or "", order[(n + 1) % len(order)][1] or ""
+        edited = own[: len(own) - len(own) // 3] + following[: len(own) // 3]
+        a, b, c = (chunks(x.encode()) for x in (own, edited, following))
+        r = found[i]
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == len(own)
+        assert sorted(fp.unpack(r.fingerprint)[1].tolist()) == sorted(a.values()) and sorted(fp.unpack(r.edited_fingerprint)[1].tolist()) == sorted(b.values())
+        assert abs(r.near_edited - likeness(a, b)) < 1e-12 and abs(r.near_next - likeness(a, c)) < 1e-12

@@ -1,11 +1,13 @@
 import hashlib
+import random
 
 import corpus_pipeline as pipeline
-from reflume.llm import bpe, queries
+from reflume.llm import bpe, queries, secretscan
 from reflume.llm.common import materialize
 from reflume.llm.queries import tokenizer
 
 from .cases import documents, none
+from .test_jaccard import brute, copies
 
 
 def test_stages_pass_on_the_columns(spark):
@@ -36,3 +38,61 @@ def test_run_over_a_folder(spark):
 
 def test_every_operator_has_one_query():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+
+
+def with_odd_columns(spark, rows):
+    """Documents whose own columns have the names that stages might use, and what each row holds of them."""
+    names = ["_id", "_key", "_gone", "_maybe", "score", "slot", "lang_pred", "place", "rank", "_doc"]
+    made = [(i, t, "en", s, len(t) if t is not None else None, *(f"{c} {n}" for c in names)) for n, (i, t, s) in enumerate(rows)]
+    return spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)).repartition(3), made
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rows = [(i, t, "a") for i, t in copies(9)] + [(2, None, "a"), (1, "", "b"), (1, "", "b")]
+    docs, made = with_odd_columns(spark, rows)
+    kept = [tuple(r) for r in pipeline.near_duplicates(spark, docs, "").collect()]
+    least = {(i, n) for i, n, c in brute([(i, t) for i, t, _ in rows], 5, 80) if i == c}
+    assert sorted({r[0] for r in kept}) == sorted({i for i, _ in least}) and all(r in made for r in kept)
+    assert len(kept) == len({(i, t) for i, t, _ in rows if any(i == j for j, _ in least)})
+
+
+def test_secrets_equal_a_loop(spark):
+    rng = random.Random(3)
+    value = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(32))
+    common, rows = value(), []
+    for n in range(60):
+        text = " ".join(rng.choice(["plain words", f"token = {common}", f"secret: {value()}", "password=abc123def", f"{value()} {common}"]) for _ in range(rng.randint(0, 4)))
+        rows.append((n, text, f"o{n % 7}/r{n % 11}"))
+    rows += [(5, rows[5][1], rows[5][2]), (70, None, None), (71, "", "o1/r")]
+    docs, made = with_odd_columns(spark, rows)
+    owners: dict[str, set[str]] = {}
+    for _, t, s in rows:
+        for _, _, _, a, b in secretscan.candidates(t or ""):
+            owners.setdefault(t[a:b], set()).add((s or "").split("/")[0])
+    wanted = []
+    for row in made:
+        text, at, parts = row[1], 0, []
+        for a, b in sorted((a, b) for _, _, _, a, b in secretscan.candidates(text or "") if len(owners[text[a:b]]) < secretscan.EXAMPLE_OWNERS):
+            if a >= at:
+                parts += [text[at:a], "[SECRET]"]
+            at = max(at, b)
+        text = "".join([*parts, text[at:]]) if parts else text
+        wanted.append((row[0], text, *row[2:4], len(text) if parts else row[4], *row[5:]))
+    assert sorted(map(tuple, pipeline.secrets(spark, docs, "").collect()), key=repr) == sorted(wanted, key=repr)
+    assert any(common in (r[1] or "") for r in wanted) and any("[SECRET]" in (r[1] or "") for r in wanted)
+
+
+def test_mixing_equals_a_loop(spark):
+    sizes = {"hot": 300, "mid": 60, "low": 31, None: 1, "": 2}
+    rows = [(n, f"text {n}", s) for n, s in enumerate(s for s, k in sizes.items() for _ in range(k))] + [(None, "x", "low"), (7, "text 7", "hot")]
+    docs, made = with_odd_columns(spark, rows)
+    kept = [tuple(r) for r in pipeline.mix(spark, docs, "").collect()]
+    order = sorted((r for r in made if r[3] == "hot"), key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[1]))
+    rest = [r for r in made if r[3] != "hot"]
+    most = len(rest) // 2  # a third of what is kept
+    assert len(order) > most and sorted(kept, key=repr) == sorted([*rest, *order[:most]], key=repr)
+
+
+def test_language_id_keeps_columns_of_any_name(spark):
+    docs, made = with_odd_columns(spark, [(n, "the quick brown fox jumps over the lazy dog " * 3, "a") for n in range(30)] + [(40, None, "a"), (41, "12 34", "a")])
+    assert sorted(map(tuple, pipeline.language_id(spark, docs, "").collect())) == sorted(made[:30])
