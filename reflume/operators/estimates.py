@@ -41,12 +41,13 @@ def hac_fit(y: np.ndarray, break_at: int, lags: int = HAC_LAGS) -> dict | None:
 
 
 def fits(series: DataFrame, keys: list[str]) -> DataFrame:
-    """A fit for each value of the keys. series: keys, t (0, 1, ...), rate and break_at, a row for each month."""
+    """A fit for each value of the keys. series: keys, t (0, 1, ...), rate and break_at, a row for each month; months that aren't there leave the fit, but keep their place."""
     kinds = dict(series.dtypes)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        found = hac_fit(rows["rate"].astype(float).to_numpy(), int(rows["break_at"].iloc[0]))
+        rates = np.full(int(rows["t"].max()) + 1, np.nan)
+        rates[rows["t"].astype(int)] = rows["rate"].astype(float)
+        found = hac_fit(rates, int(rows["break_at"].iloc[0]))
         return pd.DataFrame([] if found is None else [{**{k: rows[k].iloc[0] for k in keys}, **found}], columns=[*keys, *(x.split(" ")[0] for x in FIT.split(", "))])
 
     return series.groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + FIT)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +22,3 @@ def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query
         return f
 
     return register
-
-
-for _module in ("citations", "identifiers", "cohorts", "estimates", "texts", "files"):
-    import_module(f"reflume.plans.{_module}")
