@@ -67,8 +67,9 @@ def test_equal_texts_have_equal_fingerprints(spark):
 
 def chunks(data):
     """Bytes of each chunk of a text by the rolling hash, with how many bytes all its copies cover."""
-    starts = naive_starts(data) if data else []
-    weights = {}
+    if not data:
+        return {}
+    starts, weights = naive_starts(data), {}
     for a, b in zip(starts, [*starts[1:], len(data)], strict=True):
         weights[data[a:b]] = weights.get(data[a:b], 0) + b - a
     return weights
