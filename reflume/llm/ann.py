@@ -202,12 +202,11 @@ def best(edges: DataFrame, graph: DataFrame | None = None) -> DataFrame:
 def joined(graph: DataFrame, vectors: DataFrame) -> DataFrame:
     """Neighbours of neighbours: at each hub, the pairs of nodes that have it or that it has, one of them by a new edge, where nearer than their lists' last.
 
-    Hubs without a new edge have been joined already and get no vectors.
+    Hubs without a new edge have been joined already and are passed over.
     """
     reverse = graph.select(F.col("u").alias("hub"), F.col("v").alias("node"), "new", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v")).alias("n")).where(F.col("n") <= K)
     both = graph.select(F.col("v").alias("hub"), F.col("u").alias("node"), "new").union(reverse.select("hub", "node", "new"))
-    active = both.where("new").select("hub").distinct()
-    hubs = both.union(active.select("hub", "hub", F.lit(False))).groupBy("hub", "node").agg(F.max("new").alias("new")).join(active, "hub", "left_semi")
+    hubs = both.union(vectors.select("node", "node", F.lit(False))).groupBy("hub", "node").agg(F.max("new").alias("new"))
     last = graph.groupBy("v").agg(F.when(F.count("*") >= K, F.min("s")).otherwise(-2.0).cast("float").alias("last"))
     known = vectors.join(last, F.col("node") == F.col("v"), "left").select("node", "vec", F.coalesce("last", F.lit(-2.0).cast("float")).alias("last"))
     met = hubs.join(known, "node").repartition(shuffle_partitions(graph.sparkSession), "hub").sortWithinPartitions("hub")
@@ -215,7 +214,10 @@ def joined(graph: DataFrame, vectors: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, u, s, held = [], [], [], 0
         for group in runs(batches, "hub"):
-            ids, x, last_of, new = table_column(group, "node").to_numpy(), matrix(table_column(group, "vec")), table_column(group, "last").to_numpy(), table_column(group, "new").to_numpy(zero_copy_only=False)
+            new = table_column(group, "new").to_numpy(zero_copy_only=False)
+            if not new.any():
+                continue
+            ids, x, last_of = table_column(group, "node").to_numpy(), matrix(table_column(group, "vec")), table_column(group, "last").to_numpy()
             sims = x @ x.T
             np.fill_diagonal(sims, -3)
             a, b = np.nonzero((sims > last_of[:, None]) & (new[:, None] | new))
