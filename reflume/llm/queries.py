@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, conversations, fingerprint, idfile, jaccard, langid, licenses, mixing, piecebpe, secretscan, tokencount
+from . import ann, bpe, conversations, fingerprint, idfile, jaccard, langid, licenses, mixing, piecebpe, secretscan, tokencount, variants
 from .common import stage_path
 
 
@@ -70,8 +70,12 @@ def op12_sentencepiece_encoding_decoding(spark: SparkSession, sf_dir: str) -> Da
     return piecebpe.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_license_scans, op3_secret_scans, op4_token_counts, op5_mixing_to_target_weights, op6_language_id, op7_bpe_encoding_decoding, op8_ngram_jaccard_join, op9_token_id_output, op10_nearest_neighbours, op11_conversation_repair, op12_sentencepiece_encoding_decoding)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_license_scans, op3_secret_scans, op4_token_counts, op5_mixing_to_target_weights, op6_language_id, op7_bpe_encoding_decoding, op8_ngram_jaccard_join, op9_token_id_output, op10_nearest_neighbours, op11_conversation_repair, op12_sentencepiece_encoding_decoding, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
