@@ -3,15 +3,17 @@
 Equal vectors are one node. Each node starts with the nearest of those that lie beside it
 along a few random directions. Then neighbours of neighbours are joined: at every node, its
 neighbours and the nodes that have it for a neighbour meet, and each pair with a new edge that is nearer
-than what either has is proposed to it; that is repeated until few lists change. The lists, with
+than what either has is proposed to it; that is repeated until the lists of SAMPLE nodes, whose true ones are found by one pass over
+all vectors, are as good as ENOUGH, or few lists change. The lists, with
 their vectors, are dealt to buckets once, where the queries' hops meet them. A query starts at its own node and expands the nearest nodes
 of its beam, which is wider for more nodes, until all of them are expanded; what the beam holds at the end is measured
 exactly, in double precision on the original vectors.
 
 The index holds every row that takes part. Vectors that are null, zero, hold null or
 non-finite components, or aren't as long as most of the table's vectors take no part.
-Ties in the exact measure go to the smaller vec_id. Repeated vec_ids are rows of their own, a
-query excludes all rows of its own id, and null ids are no queries and no candidates.
+Ties in the exact measure go to the smaller vec_id. Null ids are no queries and no candidates. Repeated
+rows count once. An id with several vectors is as near as the nearest of them, as a query and as a candidate, and a
+query excludes all rows of its own id.
 
 Reverse neighbours of a node are limited to its K nearest, as the graph's own lists are;
 that bounds the work at a node that very many have for a neighbour.
@@ -32,8 +34,8 @@ from .common import bucketed, drop_stage, materialize, shuffle_partitions
 
 #: Neighbours of a node, random directions, nodes that are compared along them at once.
 K, DIRECTIONS, BLOCK = 24, 3, 2048
-#: Joins end when a lesser share of the edges is new and nearer by more than half precision tells apart.
-FEW, NEARER = 0.02, 1e-3
+#: Joins end when so many of the true neighbours of so many nodes are found, or a lesser share of the edges is new and nearer by more than half precision tells apart.
+SAMPLE, ENOUGH, FEW, NEARER = 64, 0.7, 0.02, 1e-3
 #: A query's beam for so many nodes; it grows with the square root of their count.
 BEAM, BEAM_NODES = 320, 50_000
 #: Queries: ids that this divides; neighbours returned.
@@ -233,16 +235,45 @@ def joined(graph: DataFrame, vectors: DataFrame) -> DataFrame:
     return met.select("hub", "node", "vec", "last", "new").mapInArrow(run, "v long, u long, s float")
 
 
+def farthest(vectors: DataFrame) -> DataFrame:
+    """v and last of SAMPLE nodes: how near the last of its true K neighbours is, by one pass over all vectors. Only the sample's vectors reach the driver."""
+    some = vectors.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
+    ids = np.array([r["node"] for r in some], np.int64)
+    asked = np.frombuffer(b"".join(bytes(r["vec"]) for r in some), np.float16).reshape(len(some), -1).astype(np.float32) if some else np.empty((0, 1), np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(ids), K), -2, np.float32)
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                sims = asked @ matrix(batch.column("vec")).T
+                sims[ids[:, None] == batch.column("node").to_numpy()] = -2
+                best = -np.sort(-np.concatenate([best, sims], axis=1), axis=1)[:, :K]
+        row, _ = np.nonzero(best > -2)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best[best > -2], pa.float32())], names=["v", "s"])
+
+    near = Window.partitionBy("v").orderBy(F.desc("s"))
+    top = vectors.mapInArrow(run, "v long, s float").withColumn("n", F.row_number().over(near)).where(F.col("n") <= K)
+    return top.groupBy("v").agg(F.min("s").alias("last"), F.count("*").alias("k"))
+
+
 def graph_of(vectors: DataFrame, count: int, size: int) -> DataFrame:
-    """Edges (v, u, s) of the neighbour graph, joined until less than FEW of them are fresh."""
+    """Edges (v, u, s) of the neighbour graph, joined until ENOUGH of the sample's true edges are found or less than FEW are fresh."""
     graph = materialize(best(beside(vectors, count, size)), "graph")
-    while True:
+    true = vectors.sparkSession.createDataFrame(farthest(vectors).collect(), "v long, last float, k long")  # SAMPLE rows
+    wanted = true.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()["k"]
+
+    def enough() -> bool:
+        found = graph.join(F.broadcast(true), "v").agg(F.count_if(F.col("s") >= F.col("last") - NEARER / 10).alias("n")).first()["n"]
+        return found >= ENOUGH * wanted
+
+    while not enough():
         after = materialize(best(joined(graph, vectors), graph), "graph")
         drop_stage(graph)
         graph = after
         changed = graph.agg(F.count_if("fresh").alias("fresh"), F.count("*").alias("n")).first()
         if changed["fresh"] <= FEW * changed["n"]:
-            return graph.select("v", "u", "s")
+            break
+    return graph.select("v", "u", "s")
 
 
 def beam_of(count: int) -> int:
@@ -311,7 +342,8 @@ def measured(pairs: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             a, b = (np.array(batch.column(c).flatten()).reshape(batch.num_rows, -1) for c in ("a", "b"))
-            a, b = (m / np.abs(m).max(1, keepdims=True) if not 1e-100 < np.abs(m).max() < 1e100 else m for m in (a, b))
+            # powers of two change no digit, and no square overflows or vanishes
+            a, b = (np.ldexp(m, -np.frexp(np.abs(m).max(1, keepdims=True))[1]) for m in (a, b))
             scores = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
             yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("members"), pa.array(scores, pa.float64())], names=["q", "members", "score"])
 
@@ -339,8 +371,10 @@ def nearest(table: DataFrame, every: int = EVERY, k: int = NEAREST) -> DataFrame
     drop_stage(vectors)
     of = nodes.select("node", "x", "members")
     pairs = beam.select("q", F.col("x").alias("found")).join(of.select(F.col("node").alias("q"), F.col("x").alias("a")), "q").join(of.select(F.col("node").alias("found"), F.col("x").alias("b"), "members"), "found")
-    each = measured(pairs).select("q", "score", F.explode("members").alias("vec_id"))
-    top = each.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= NEAREST + 1)
-    found = asked.join(top, "q").where("query_id != vec_id")
+    each = measured(pairs).select("q", "score", F.explode("members").alias("vec_id")).repartition(shuffle_partitions(table.sparkSession), "q")
+    of_id = F.row_number().over(Window.partitionBy("q", "vec_id").orderBy(F.desc("score")))
+    once = each.withColumn("n", of_id).where("n = 1")
+    top = once.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= NEAREST + 1)
+    found = asked.join(top, "q").where("query_id != vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
