@@ -453,8 +453,8 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
     return docs.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """doc_id with the digests of a text's ids and of the text decoded from them, in one pass."""
+def digests(docs: DataFrame, path: str, text: str = "text", kept: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id with the digests of a text's ids and of the text decoded from them, in one pass, and columns of docs that are kept."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def sha(data) -> str:
@@ -480,6 +480,8 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                     size = 0
             flush()
             columns = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
+            made = [batch.column("doc_id").cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))]
+            yield pa.RecordBatch.from_arrays([*made, *(batch.column(c) for c in kept)], names=[*schema.names, *kept])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    others = "".join(f", {c} {t}" for c, t in docs.select(*kept).dtypes)
+    return docs.select("doc_id", text, *kept).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + others)

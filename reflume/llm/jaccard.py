@@ -319,7 +319,11 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """link_components() with row_key and component, a label that no other component has, of each row."""
+    """link_components() with row_key and component, a label that no other component has, of each row.
+
+    A row without doc_id has its component's smallest id, or null where no row of it has one, or where it has no words. Rows without words have
+    their own id and no component.
+    """
     bounded_batches(docs.sparkSession)
     made = materialize(sketched(docs, words, percent), "sketches")
     narrow = materialize(made.select("doc_id", "row_key", "n_shingles", "node"), "sets")
@@ -366,17 +370,19 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component, that of its smallest doc_id; documents without words or without doc_id all stay.
 
-    Rows are told apart by doc_id and text: of rows that repeat both one stays, whatever they link to, and
-    rows of one doc_id with other texts go or stay by their own components.
+    Of several rows with that id, the one whose text has the smallest hash stays, and of those with its text the one that is first
+    as JSON. Rows of one doc_id with texts in other components go or stay by those.
     """
-    found = materialize(linked(docs, words, percent).select("doc_id", "row_key", "component_id", "component"), "linked")
+    found = materialize(linked(docs, words, percent).select("doc_id", "row_key", "component_id", "component").where("doc_id is not null and component is not null"), "linked")
     again = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    repeated = found.join(again.withColumnRenamed("doc_id", "_of"), F.col("doc_id") == F.col("_of")).where("doc_id = component_id and component is not null")
+    repeated = found.join(again.withColumnRenamed("doc_id", "_of"), F.col("doc_id") == F.col("_of")).where("doc_id = component_id")
     first = repeated.groupBy("doc_id", "component").agg(F.min("row_key").alias("first"))
     others = repeated.join(first, ["doc_id", "component"]).where("row_key != first").select("doc_id", "row_key")
-    gone = materialize(found.where("doc_id != component_id").select("doc_id", "row_key").union(others).toDF("_gone", "_gone_key"), "gone")
+    gone = materialize(found.where("doc_id != component_id").select("doc_id", "row_key").union(others).distinct().toDF("_gone", "_gone_key"), "gone")
     packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_of"), row_key(F.col("text")).alias("_key"))
     rows = screened(packed, "_of", gone.select("_gone").union(again))
-    maybe = rows.where("_maybe").join(gone, (F.col("_of") == F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
-    kept = rows.where("not _maybe").select("_doc").union(maybe.dropDuplicates(["_of", "_key"]).select("_doc"))
-    return kept.select("_doc.*")
+    wordless = F.coalesce(F.btrim(F.col("_doc.text").cast("string"), F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
+    sure = ~F.col("_maybe") | F.col("_of").isNull() | wordless
+    maybe = rows.where(~sure).join(gone, (F.col("_of") == F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
+    one = maybe.groupBy("_of", "_key").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc"))
+    return rows.where(sure).select("_doc").union(one.select("_doc")).select("_doc.*")

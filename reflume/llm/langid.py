@@ -274,11 +274,15 @@ def predicted(text: Column, labelled: list[tuple[str, str]]) -> Column:
 def accept(docs: DataFrame) -> DataFrame:
     """docs without those in no learned language: undetermined ones, and those of which no part is in any, nor all parts together within MOST_BITS a symbol.
 
-    Rows are kept as they are, whatever their columns are called; repeated rows go or stay alike.
+    Rows are kept as they are, whatever their columns are called; repeated rows go or stay alike. Where no row
+    has a label, nothing is learned and all documents stay.
     """
+    labelled = sample(docs)
+    if not labelled:
+        return docs
     bounded_batches(docs.sparkSession)
     packed = docs.select(F.struct(*docs.columns).alias("_doc"))
-    found = packed.withColumn("_found", predicted(F.col("_doc.text").cast("string"), sample(docs)))
+    found = packed.withColumn("_found", predicted(F.col("_doc.text").cast("string"), labelled))
     return found.where((F.col("_found.lang_pred") != UNKNOWN) & F.col("_found.known")).select("_doc.*")
 
 

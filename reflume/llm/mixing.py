@@ -6,8 +6,12 @@ due by slot ceil((j + 1) * PERIOD / a). At each slot the released block with the
 deadline is taken, ties to the source that sorts first, so at every slot each source is
 less than one block from its share. As weights are whole parts of PERIOD and sum up to it, the schedule
 repeats: it is worked out for one period, in one row, and every block finds its slot by a
-join with that table of PERIOD rows. The period grows with more sources than it has slots, and
-where a row can't hold the work, blocks go by their deadlines alone, which no block misses.
+join with that table of PERIOD rows. The period grows with more sources than it has slots.
+
+Where a row can't hold the work, sources are scheduled as a tree: the largest ones and groups of the others share out the
+period, then the sources of a group share out the group's slots, each by the same rule in a row of its own, in as many levels as it
+takes. A source that stands alone at the first level is still less than one block from its share; one with a parts in a
+group of A is less than 1 + a / A, so less than two, and with more levels as much again for each further group around it.
 
 All documents get a slot. A source that runs out leaves its slots empty; up to the first
 empty slot, the horizon, the mixture has its target weights. Beyond it only the surplus of sources
@@ -21,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shuffle_partitions
+from .common import materialize, shuffle_partitions
 
 BLOCK_ROWS, PERIOD = 8, 1000
 #: No source's target is over this share, unless there are too few of them.
 MOST_SHARE = 1 / 3
-#: Sources times slots that are worked out in one row; beyond, blocks go by their deadlines alone.
-MOST_STEPS = 5_000_000
+#: Sources times slots that are worked out in one row; beyond, sources are scheduled as a tree, with FEWEST children of a node at least.
+MOST_STEPS, FEWEST = 5_000_000, 8
 _HEX, _SLOTS = 8, 128
 MADE = ("block", "release", "deadline", "slot", "place")
 
@@ -66,37 +70,56 @@ def in_one_row(period: int, sources: int) -> bool:
     return sources * period <= MOST_STEPS
 
 
-def schedule(weights: DataFrame, period: int = PERIOD, sources: int | None = None) -> DataFrame:
-    """_source, parts, turn (a block of its period, from 0), turn_slot: earliest deadline first over one period.
+def folded(rows: DataFrame) -> DataFrame:
+    """node, k (a slot of the node, from 0), name and turn: earliest deadline first among the names of each node, whose parts are its slots.
 
-    The sources' next turns are an array that is folded over the period's slots within one row. Where that is too
-    much for a row, slots are the blocks' places by deadline: none is late, but a block may come before its release.
+    The names' next turns are an array that is folded over the slots within one row.
     """
-    if not in_one_row(period, weights.count() if sources is None else sources):
-        return by_deadline(weights, period)
-    names = weights.agg(F.array_sort(F.collect_list(F.struct("_source", "parts"))).alias("s"))
+    names = rows.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("name", "parts"))).alias("s"), F.sum("parts").alias("period"))
     nothing = "cast(array() as array<struct<i:int,turn:long>>)"
-    pick = f"""array_min(filter(transform(s, (x, i) -> if(
-                state.done[i] < x.parts and state.done[i] * {period} <= t * x.parts + x.parts - 1,
-                named_struct('due', ((state.done[i] + 1) * {period} + x.parts - 1) div x.parts, 'i', i), null)), y -> y is not null))"""
+    pick = """array_min(filter(transform(s, (x, i) -> if(
+                state.done[i] < x.parts and state.done[i] * period <= t * x.parts + x.parts - 1,
+                named_struct('due', ((state.done[i] + 1) * period + x.parts - 1) div x.parts, 'i', i), null)), y -> y is not null))"""
     taken = "concat(st.taken, array(named_struct('i', coalesce(pick.i, -1), 'turn', coalesce(st.done[pick.i], -1L))))"
     slot = f"(state, t) -> aggregate(array({pick}), state, (st, pick) -> named_struct('done', transform(st.done, (d, i) -> if(i = pick.i, d + 1L, d)), 'all', st.all, 'taken', {taken}))"
     # Slots are gathered some at a time, so that none is copied more than a few times.
-    several = f"(o, b) -> aggregate(sequence(b, least(b + {_SLOTS - 1}L, {period - 1}L)), o, {slot}, st -> named_struct('done', st.done, 'all', concat(st.all, array(st.taken)), 'taken', {nothing}))"
-    step = f"flatten(aggregate(sequence(0L, {period - 1}L, {_SLOTS}L), named_struct('done', transform(s, x -> 0L), 'all', array({nothing}), 'taken', {nothing}), {several}).all)"
-    slots = names.select("s", F.posexplode(F.expr(step)).alias("turn_slot", "x"))
-    return slots.where("x.i >= 0").select(F.expr("s[x.i]._source").alias("_source"), F.expr("s[x.i].parts").alias("parts"), F.col("x.turn").alias("turn"), F.col("turn_slot").cast("long").alias("turn_slot"))
-
-
-def by_deadline(weights: DataFrame, period: int) -> DataFrame:
-    """The schedule in the order of deadlines, numbered in ranges of them that are dealt out."""
-    ranges = 4 * shuffle_partitions(weights.sparkSession)
-    turns = weights.select("_source", F.col("parts").cast("long").alias("parts"), F.explode(F.expr("sequence(0L, cast(parts as long) - 1L)")).alias("turn"))
-    due = turns.withColumn("due", F.expr(f"((turn + 1) * {period} + parts - 1) div parts")).withColumn("range", F.expr(f"(due - 1) * {ranges} div {period}"))
-    before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    offsets = due.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("range").orderBy("due", "_source", "turn"))
-    return due.withColumn("n", place).join(offsets, "range").select("_source", "parts", "turn", (F.col("before") + F.col("n") - 1).cast("long").alias("turn_slot"))
+    several = f"(o, b) -> aggregate(sequence(b, least(b + {_SLOTS - 1}L, period - 1L)), o, {slot}, st -> named_struct('done', st.done, 'all', concat(st.all, array(st.taken)), 'taken', {nothing}))"
+    step = f"flatten(aggregate(sequence(0L, period - 1L, {_SLOTS}L), named_struct('done', transform(s, x -> 0L), 'all', array({nothing}), 'taken', {nothing}), {several}).all)"
+    slots = names.select("node", "s", F.posexplode(F.expr(step)).alias("k", "x")).where("x.i >= 0")
+    return slots.select("node", F.col("k").cast("long").alias("k"), F.expr("s[x.i].name").alias("name"), F.col("x.turn").alias("turn"))
+
+
+def schedule(weights: DataFrame, period: int = PERIOD, sources: int | None = None) -> DataFrame:
+    """_source, parts, turn (a block of its period, from 0), turn_slot: earliest deadline first over one period, in one row or as a tree."""
+    named = weights.select(F.lit("").alias("node"), F.col("_source").alias("name"), F.col("parts").cast("long").alias("parts"))
+    if in_one_row(period, weights.count() if sources is None else sources):
+        found = folded(named).select(F.col("name").alias("_source"), "turn", F.col("k").alias("turn_slot"))
+    else:
+        found = of_tree(named, period)
+    return found.join(weights, "_source").select("_source", "parts", "turn", "turn_slot")
+
+
+def of_tree(named: DataFrame, period: int) -> DataFrame:
+    """_source, turn and turn_slot of sources (node, name, parts) that one row can't hold."""
+    slots = named.sparkSession.range(period).select(F.lit("").alias("node"), F.col("id").alias("k"), F.col("id").alias("slot"))
+    found = None
+    while True:
+        node = Window.partitionBy("node")  # a row for each source
+        every, slots_of = F.count("*").over(node), F.sum("parts").over(node)
+        groups = F.greatest(F.lit(FEWEST), F.floor(F.lit(MOST_STEPS) / F.col("of")))
+        rows = named.withColumn("n", every).withColumn("of", slots_of).withColumn("groups", groups).withColumn("half", F.floor(F.col("groups") / 2))
+        rows = rows.withColumn("place", F.row_number().over(node.orderBy(F.desc("parts"), "name")))
+        rows = rows.withColumn("split", (F.col("n") * F.col("of") > MOST_STEPS) & (F.col("n") > F.col("groups")))
+        child = F.when(F.col("place") <= F.col("half"), F.col("place") - 1).otherwise(F.col("half") + F.col("place") % (F.col("groups") - F.col("half")))
+        rows = materialize(rows.select("node", "name", "parts", "split", F.lpad(child.cast("string"), 9, "0").alias("child")), "level")
+        ends = folded(rows.where("not split").select("node", "name", "parts")).join(slots, ["node", "k"]).select(F.col("name").alias("_source"), "turn", F.col("slot").alias("turn_slot"))
+        found = ends if found is None else found.union(ends)
+        if rows.where("split").isEmpty():
+            return found
+        inner = F.concat_ws("/", "node", "child").alias("node")
+        children = rows.where("split").groupBy("node", F.col("child").alias("name")).agg(F.sum("parts").alias("parts"))
+        slots = materialize(folded(children).join(slots, ["node", "k"]).select(F.concat_ws("/", "node", "name").alias("node"), F.col("turn").alias("k"), "slot"), "slots")
+        named = rows.where("split").select(inner, "name", "parts")
 
 
 def ranked(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:

@@ -1,10 +1,13 @@
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from reflume.llm import mixing
+from reflume.llm.common import materialize
 
 from .cases import documents, none
 
@@ -76,14 +79,31 @@ def many(spark, sources, rows):
 
 
 def test_sources_beyond_the_period_all_get_slots(spark):
-    for sources, period in ((700, 100), (2700, 1000)):
-        docs = many(spark, sources, 6000)
-        assert docs.select("source").distinct().count() > period
-        rows = mixing.mix(docs, 1, period).collect()
-        assert sorted(r.doc_id for r in rows) == list(range(6000)) and len({r.place for r in rows}) == 6000
-        assert all(0 <= r.slot < r.deadline for r in rows)
-        assert mixing.without_surplus(docs, 1, period).count() == 6000
-        assert mixing.mixture(docs, 1, period).count() > 0
+    docs = many(spark, 700, 6000)
+    assert docs.select("source").distinct().count() > 100
+    rows = mixing.mix(docs, 1, 100).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(6000)) and len({r.place for r in rows}) == 6000
+    assert all(r.release <= r.slot < r.deadline for r in rows)
+    assert mixing.without_surplus(docs, 1, 100).count() == 6000
+    assert mixing.mixture(docs, 1, 100).count() > 0
+
+
+@pytest.mark.parametrize(("sources", "steps", "levels"), [(600, None, 1.001), (2700, None, 2), (2700, 200_000, 2), (2700, 20_000, 3), (20_000, None, 2)])
+def test_the_deviation_is_bounded_however_many_sources(spark, monkeypatch, sources, steps, levels):
+    """Each source's share at every slot, one source with a third of all rows; trees of several levels too."""
+    if steps:
+        monkeypatch.setattr(mixing, "MOST_STEPS", steps)
+    period = mixing.fitted(1000 if sources == 2700 else 5000, sources)
+    docs = spark.range(sources * 5).selectExpr(f"if(id % 3 = 0, 'hot', concat('s', id % {sources - 1})) as source")
+    weights = materialize(mixing.targets(docs, period), "weights")
+    rows = mixing.schedule(weights, period).toPandas()
+    assert len(rows) == period == rows.turn_slot.nunique() and (rows.groupby("_source").turn.nunique() == rows.groupby("_source").parts.first()).all()
+    assert rows.sort_values("turn_slot").groupby("_source").turn.apply(lambda t: t.is_monotonic_increasing).all()
+    share = rows.parts / period
+    off = np.maximum((rows.turn - share * rows.turn_slot).abs(), (rows.turn + 1 - share * (rows.turn_slot + 1)).abs())
+    assert off.max() < levels and off[rows._source == "hot"].max() < 1
+    gaps = rows[rows._source == "hot"].turn_slot.sort_values().diff().max()
+    assert gaps <= 2 / share[rows._source == "hot"].iloc[0] + 1
 
 
 def test_many_sources_equal_sql(spark):

@@ -1,8 +1,10 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
-from reflume.llm import bpe, queries, secretscan
+from reflume.llm import bpe, mixing, queries, secretscan
 from reflume.llm.common import materialize
 from reflume.llm.queries import tokenizer
 
@@ -25,6 +27,31 @@ def test_stages_pass_on_the_columns(spark):
         assert out[i].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest() and len(r.text) == r.n_chars
 
 
+def test_nothing_learned_rejects_nothing(spark):
+    docs = documents(spark).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(map(repr, pipeline.language_id(spark, docs, "").collect())) == sorted(map(repr, docs.collect()))
+
+
+def test_rows_without_id_or_words_stay_and_the_survivor_is_defined(spark):
+    same = "one two three four five six seven eight nine ten"
+    rows = [(None, same, "b"), (None, same, "a"), (3, "", "b"), (3, "", "a"), (3, " \t", "c"), (4, None, "a"), (4, None, "a"), (7, same, "z"), (7, same, "k"), (7, same, "m"), (9, same, "a"), (9, "another text of its own with enough words", "a"), (9, "", "q")]
+    docs, made = with_odd_columns(spark, rows)
+    for parts in (1, 5):
+        kept = [tuple(r) for r in pipeline.near_duplicates(spark, docs.repartition(parts), "").collect()]
+        assert sorted(kept, key=repr) == sorted([made[n] for n in (0, 1, 2, 3, 4, 5, 6, 8, 11, 12)], key=repr)
+
+
+def test_places_are_those_of_the_schedule_of_what_is_kept(spark):
+    docs = spark.createDataFrame([(n, f"text {n}", "en", f"s{n % 3 if n % 2 else 0}", 6) for n in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = materialize(pipeline.mix(spark, docs, ""), "kept")
+    out = {r.doc_id: r.place for r in pipeline.encoding(spark, kept, "").collect()}
+    wanted = {r.doc_id: r.place for r in mixing.mix(kept, 1, 10_000).collect()}
+    assert out == wanted and len(set(out.values())) == kept.count()
+    slots = sorted(out, key=out.get)
+    first = [docs_source for docs_source in ("s%d" % (n % 3 if n % 2 else 0) for n in slots[:90])]
+    assert all(abs(first.count(s) - 30) <= 1 for s in ("s0", "s1", "s2"))
+
+
 def test_empty_documents(spark):
     docs = none(spark).select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in pipeline.STAGES:
@@ -37,7 +64,7 @@ def test_run_over_a_folder(spark):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
 
 
 def with_odd_columns(spark, rows):
@@ -53,7 +80,8 @@ def test_near_duplicates_equal_brute_force(spark):
     kept = [tuple(r) for r in pipeline.near_duplicates(spark, docs, "").collect()]
     least = {(i, n) for i, n, c in brute([(i, t) for i, t, _ in rows], 5, 80) if i == c}
     assert sorted({r[0] for r in kept}) == sorted({i for i, _ in least}) and all(r in made for r in kept)
-    assert len(kept) == len({(i, t) for i, t, _ in rows if any(i == j for j, _ in least)})
+    wordless = [r for r in rows if not (r[1] or "").strip()]
+    assert len(kept) == len(wordless) + len({(i, t) for i, t, _ in rows if (t or "").strip() and any(i == j for j, _ in least)})
 
 
 def test_secrets_equal_a_loop(spark):
