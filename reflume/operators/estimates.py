@@ -1,58 +1,17 @@
-"""Interrupted time series, bootstrap ratios, bounds under misclassification, adjusted association."""
+"""Bootstrap ratios and bounds under misclassification; breaks.py and logits.py hold the fits."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import HAC_LAGS, LEAST_MONTHS, SENSITIVITIES, SPECIFICITIES
+from ..config import HAC_LAGS, SENSITIVITIES, SPECIFICITIES
 from ..functions import scalars
 from ..session import staged
 
-FIT = "level_change double, level_change_se double, level_change_p double, slope_change double, slope_change_se double, slope_change_p double, pre_mean_rate double, n_months long"
-
-
-def hac_fit(y: np.ndarray, break_at: int, lags: int = HAC_LAGS) -> dict | None:
-    """OLS of the series on level, trend, level change and slope change, with Bartlett-weighted HAC errors; NaN months leave the fit."""
-    kept = ~np.isnan(y)
-    if kept.sum() < LEAST_MONTHS:
-        return None
-    t = np.arange(len(y), dtype=float)
-    post = (t >= break_at).astype(float)
-    x, y_kept = np.column_stack([np.ones(len(y)), t, post, (t - break_at) * post])[kept], y[kept]
-    inverse = np.linalg.pinv(x.T @ x)
-    beta = inverse @ x.T @ y_kept
-    moments = x * (y_kept - x @ beta)[:, None]
-    meat = moments.T @ moments
-    for lag in range(1, lags + 1):
-        crossed = moments[lag:].T @ moments[:-lag]
-        meat += (1 - lag / (lags + 1)) * (crossed + crossed.T)
-    errors = np.sqrt(np.diag(inverse @ meat @ inverse))
-    p = [math.erfc(abs(b / e) / math.sqrt(2)) if e else float("nan") for b, e in zip(beta, errors, strict=True)]
-    before = y[:break_at][kept[:break_at]]
-    return {"level_change": beta[2], "level_change_se": errors[2], "level_change_p": p[2], "slope_change": beta[3], "slope_change_se": errors[3], "slope_change_p": p[3], "pre_mean_rate": before.mean() if len(before) else None, "n_months": int(kept.sum())}
-
-
-def fits(series: DataFrame, keys: list[str]) -> DataFrame:
-    """A fit for each value of the keys. series: keys, t (0, 1, ...), rate and break_at, a row for each month; months that aren't there leave the fit, but keep their place."""
-    kinds = dict(series.dtypes)
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rates = np.full(int(rows["t"].max()) + 1, np.nan)
-        rates[rows["t"].astype(int)] = rows["rate"].astype(float)
-        found = hac_fit(rates, int(rows["break_at"].iloc[0]))
-        return pd.DataFrame([] if found is None else [{**{k: rows[k].iloc[0] for k in keys}, **found}], columns=[*keys, *(x.split(" ")[0] for x in FIT.split(", "))])
-
-    return series.groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + FIT)
-
-
 def hac_terms(residuals: DataFrame, lags: int = HAC_LAGS) -> DataFrame:
     """Weighted sums of a moment column u with its own lags, in the order of t, as the HAC meat of one regressor."""
     order = Window.orderBy("t")  # one row for each month
@@ -159,27 +118,3 @@ def interval_bars(rows: DataFrame, label: str, series: dict[str, tuple[str, str]
 def error_bars(ratios: DataFrame) -> DataFrame:
     """label, ratio and how far its interval reaches below and above it, of (label, ratio, ratio_lo, ratio_hi)."""
     return ratios.where("ratio is not null").select("label", "ratio", (F.col("ratio") - F.col("ratio_lo")).alias("below"), (F.col("ratio_hi") - F.col("ratio")).alias("above"))
-
-
-def alike(scored: DataFrame) -> DataFrame:
-    """Rows counted by what adjusted() looks at, in w: as good as the rows, and few."""
-    return scored.groupBy("proxy", "events", "n_refs").agg(F.count("*").alias("w"))
-
-
-def adjusted(scored: DataFrame, least: int = 0) -> DataFrame:
-    """Odds ratio of any event by the proxy, adjusted for log references, with its 95 % interval and p; no row under 100 rows or with one proxy level.
-
-    A column w, if there, says how many rows a row stands for.
-    """
-    d = scored.where((F.col("n_refs") > 0) & (F.col("n_refs") >= least) & F.col("events").isNotNull())
-    w = F.col("w").cast("double") if "w" in scored.columns else F.lit(1.0)
-    d = d.select(F.when(F.col("events") > 0, 1.0).otherwise(0.0).alias("y"), F.when(F.col("proxy"), 1.0).otherwise(0.0).alias("s"), F.log("n_refs").alias("log_refs"), w.alias("w"))
-    size = d.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("n"), F.count_distinct("s").alias("levels"), F.count_distinct("y").alias("outcomes")).first()
-    schema = "n long, odds_ratio double, or_lo double, or_hi double, p double, min_refs long"
-    if size["n"] < 100 or size["levels"] < 2 or size["outcomes"] < 2:
-        return scored.sparkSession.createDataFrame([], schema)
-    x = VectorAssembler(inputCols=["s", "log_refs"], outputCol="features").transform(d)
-    fitted = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="y", weightCol="w", maxIter=50).fit(x)
-    b, e = float(fitted.coefficients[0]), float(fitted.summary.coefficientStandardErrors[0])
-    row = (int(size["n"]), math.exp(b), math.exp(b - 1.96 * e), math.exp(b + 1.96 * e), math.erfc(abs(b / e) / math.sqrt(2)), least)
-    return scored.sparkSession.createDataFrame([row], schema)

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import citations, estimates
+from ..functions import scalars
+from ..operators import breaks, citations, estimates, logits
 from ..session import staged
 from ..sources import standins
 from ..sources.standins import SQL
 from . import citations as late
 from . import cohorts
-from .queries import query
+from .identifiers import WORDS
+from .queries import ORACLES, query
 
 FIRST, LAST, BREAK = "1995-01", "2001-07", 48
 SENS, SPEC = [0.3, 0.5, 0.7, 0.9], [0.8, 0.9, 0.95, 0.99]
@@ -26,36 +28,44 @@ def numbered(spark: SparkSession, d: str, keys: list[str]) -> DataFrame:
     return spine.join(citations.series(late.counted(spark, d), ["month", *keys]), "month", "left" if not keys else "inner")
 
 
-@query()
+_Y = SQL + f""", spine AS (SELECT row_number() OVER (ORDER BY m) - 1 AS t, strftime(m, '%Y-%m') AS month FROM range(DATE '1995-01-01', DATE '2001-08-01', INTERVAL 1 MONTH) r(m)),
+y AS (SELECT t, rate FROM spine LEFT JOIN (SELECT month, round(sum(late)::DOUBLE / sum(n_refs) * 10000, 6) AS rate FROM counted GROUP BY 1) USING (month)),
+u AS (SELECT t, rate - (SELECT avg(rate) FROM y) AS u FROM y WHERE rate IS NOT NULL)
+"""
+
+
+def _fitted(points: str, keys: list[str], columns: str = "*") -> str:
+    return f"{_Y.rstrip()}, {points},\n{breaks.fits_sql('points', keys)} SELECT {columns} FROM fitted"
+
+
+@query(_fitted(f"points AS (SELECT 'pooled' AS series, t, rate, {BREAK} AS break_at FROM y)", ["series"]))
 def its_fit(spark: SparkSession, d: str) -> DataFrame:
-    return estimates.fits(numbered(spark, d, []).withColumn("series", F.lit("pooled")).withColumn("break_at", F.lit(BREAK)), ["series"])
+    return breaks.fits(numbered(spark, d, []).withColumn("series", F.lit("pooled")).withColumn("break_at", F.lit(BREAK)), ["series"])
 
 
-@query()
+@query(_fitted(f"points AS (SELECT b.break_at::INT AS break_at, t, rate FROM y, range(6, {BREAK - 5}) b(break_at) WHERE t < {BREAK})", ["break_at"], "break_at, level_change"))
 def its_placebo(spark: SparkSession, d: str) -> DataFrame:
-    breaks = spark.range(6, BREAK - 5).select(F.col("id").cast("int").alias("break_at"))
-    rows = numbered(spark, d, []).where(F.col("t") < BREAK).crossJoin(F.broadcast(breaks))  # months by break months
-    return estimates.fits(rows, ["break_at"]).select("break_at", "level_change")
+    moved = spark.range(6, BREAK - 5).select(F.col("id").cast("int").alias("break_at"))
+    rows = numbered(spark, d, []).where(F.col("t") < BREAK).crossJoin(F.broadcast(moved))  # months by break months
+    return breaks.fits(rows, ["break_at"]).select("break_at", "level_change")
 
 
-@query()
+_BY_FIELD = f"""top AS (SELECT field FROM counted JOIN spine USING (month) GROUP BY 1 ORDER BY sum(late) DESC, field LIMIT 8),
+points AS (SELECT field, t, round(sum(late)::DOUBLE / nullif(sum(n_refs), 0) * 10000, 6) AS rate, {BREAK} AS break_at FROM counted JOIN spine USING (month) WHERE field IN (SELECT field FROM top) GROUP BY 1, 2)"""
+
+
+@query(_fitted(_BY_FIELD, ["field"]))
 def its_by_field(spark: SparkSession, d: str) -> DataFrame:
     series = numbered(spark, d, ["field"])
     top = series.groupBy("field").agg(F.sum("events").alias("n")).orderBy(F.desc("n"), "field").limit(8)
-    return estimates.fits(series.join(top.select("field"), "field", "left_semi").withColumn("break_at", F.lit(BREAK)), ["field"])
+    return breaks.fits(series.join(top.select("field"), "field", "left_semi").withColumn("break_at", F.lit(BREAK)), ["field"])
 
 
-@query()
+@query(_fitted(f'points AS (SELECT e."end"::INT AS "end", t, rate, {BREAK} AS break_at FROM y, (VALUES (72), (74), (76), (78)) e("end") WHERE t <= e."end")', ['"end"']))
 def its_truncation(spark: SparkSession, d: str) -> DataFrame:
     ends = spark.createDataFrame([(72,), (74,), (76,), (78,)], "end int")
     rows = numbered(spark, d, []).crossJoin(F.broadcast(ends)).where("t <= end").withColumn("break_at", F.lit(BREAK))
-    return estimates.fits(rows, ["end"])
-
-
-_Y = SQL + f""", y AS (SELECT row_number() OVER (ORDER BY month) - 1 AS t, rate FROM (SELECT strftime(m, '%Y-%m') AS month FROM range(DATE '1995-01-01', DATE '2001-08-01', INTERVAL 1 MONTH) r(m))
-LEFT JOIN (SELECT month, round(sum(late)::DOUBLE / sum(n_refs) * 10000, 6) AS rate FROM counted GROUP BY 1) USING (month)),
-u AS (SELECT t, rate - (SELECT avg(rate) FROM y) AS u FROM y WHERE rate IS NOT NULL)
-"""
+    return breaks.fits(rows, ["end"])
 
 
 @query(_Y + "SELECT round(sum(term), 4) AS meat, count(*) AS n FROM (SELECT u * u" + "".join(f" + 2 * (1 - {lag} / 7.0::DOUBLE) * coalesce(u * lag(u, {lag}) OVER (ORDER BY t), 0)" for lag in range(1, 7)) + " AS term FROM u)")
@@ -132,22 +142,27 @@ def bounds_by_stratum(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found.select("stratum", "n", "events_s1", "events_s0", "a_lo", "a_hi", "n_feasible"), ["a_lo", "a_hi"])
 
 
-@query()
+@query(SQL + f", rows_ AS (SELECT 0 AS min_refs, * FROM scored), {logits.fits_sql('rows_', ['min_refs'])} SELECT n, odds_ratio, or_lo, or_hi, p, min_refs::BIGINT AS min_refs FROM fitted")
 def logit_adjusted(spark: SparkSession, d: str) -> DataFrame:
-    return estimates.adjusted(estimates.alike(standins.scored(spark, d)), 0)
+    counted = staged(logits.kinds(standins.scored(spark, d).withColumn("min_refs", F.lit(0).cast("long")), ["min_refs"]), "kinds")
+    return logits.fits(counted, ["min_refs"], 6).select("n", "odds_ratio", "or_lo", "or_hi", "p", "min_refs")
 
 
-@query()
-def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    from .identifiers import WORDS
+_SETTINGS = [(markers, least) for markers in (3, 4, 5) for least in (10, 20, 30, 40)]
+_SWEEP = f"""WITH s AS (SELECT score, quality::BIGINT AS events, floor(n_chars / 50)::BIGINT AS n_refs FROM ({ORACLES['lexical_score']}) JOIN labels USING (doc_id) JOIN documents USING (doc_id)),
+settings AS (SELECT * FROM (VALUES {', '.join(map(str, _SETTINGS))}) v(markers, min_refs)), rows_ AS (SELECT markers, min_refs, score >= markers AS proxy, events, n_refs FROM s, settings WHERE n_refs >= min_refs)"""
 
-    docs = standins.table(spark, d, "documents").join(standins.table(spark, d, "labels"), "doc_id")
-    from ..functions import scalars
 
+@query(f"{_SWEEP}, {logits.fits_sql('rows_', ['markers', 'min_refs'])} SELECT n, odds_ratio, or_lo, or_hi, p, min_refs::BIGINT AS min_refs, markers::INT AS markers FROM fitted")
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The association under twelve settings of marker words and references, fitted together."""
+    docs = standins.table(spark, d, "documents").join(standins.table(spark, d, "labels"), "doc_id")
     rows = docs.select(scalars.marker_score(F.col("text"), WORDS).alias("score"), F.col("quality").cast("long").alias("events"), F.floor(F.col("n_chars") / 50).cast("long").alias("n_refs"))
-    counted = staged(rows.groupBy("score", "events", "n_refs").agg(F.count("*").alias("w")), "scores")  # each text is scored once, for all settings
-    fits = [estimates.adjusted(counted.withColumn("proxy", F.col("score") >= markers), least).withColumn("markers", F.lit(markers)) for markers in (3, 4, 5) for least in (10, 20, 30, 40)]
-    return reduce(DataFrame.unionByName, fits)
+    counted = rows.groupBy("score", "events", "n_refs").agg(F.count("*").alias("w"))  # each text is scored once, for all settings
+    settings = F.broadcast(spark.createDataFrame(_SETTINGS, "markers int, min_refs long"))
+    of_setting = counted.join(settings, F.col("n_refs") >= F.col("min_refs")).withColumn("proxy", F.col("score") >= F.col("markers"))
+    found = logits.fits(staged(logits.kinds(of_setting, ["markers", "min_refs"]), "kinds"), ["markers", "min_refs"], 6)
+    return found.select("n", "odds_ratio", "or_lo", "or_hi", "p", "min_refs", "markers")
 
 
 @query("""SELECT n, n_clear, hits, round(hits / n::DOUBLE, 6) AS strict, round(hits / n_clear::DOUBLE, 6) AS precision,

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from reflume.operators import estimates, resolve
+from reflume.operators import estimates, logits, resolve
 from reflume.plans import estimates as plans
 from reflume.plans.identifiers import WORDS
 from reflume.plans.queries import ORACLES, QUERIES
@@ -132,10 +132,11 @@ def test_logit_query(spark, duck):
 
 def test_logit_on_counts_equals_rows(spark):
     rng = np.random.default_rng(4)
-    rows = [(bool(s), int(rng.random() < 0.2 + 0.3 * s), int(n)) for s, n in zip(rng.integers(0, 2, 600), rng.integers(1, 30, 600), strict=True)]
-    table = spark.createDataFrame(rows, "proxy boolean, events int, n_refs int")
-    whole, few = estimates.adjusted(table).first(), estimates.adjusted(estimates.alike(table)).first()
-    assert close(whole, rows) and close(few, rows)
+    rows = [(1, bool(s), int(rng.random() < 0.2 + 0.3 * s), int(n)) for s, n in zip(rng.integers(0, 2, 600), rng.integers(1, 30, 600), strict=True)]
+    table = spark.createDataFrame(rows, "k int, proxy boolean, events int, n_refs int")
+    counted = table.groupBy("k", "proxy", "events", "n_refs").count().withColumnRenamed("count", "w")
+    whole, few = (logits.fits(logits.kinds(t, ["k"]), ["k"]).first() for t in (table, counted))
+    assert close(whole, [r[1:] for r in rows]) and close(few, [r[1:] for r in rows])
 
 
 def test_threshold_sweep(spark, duck):

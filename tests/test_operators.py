@@ -8,7 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from reflume.operators import citations, classify, cohort, estimates, resolve, sampling, textchecks
+from reflume.functions.normal import two_sided
+from reflume.operators import breaks, citations, classify, cohort, estimates, logits, resolve, sampling, textchecks
 
 DAY = datetime.date(1970, 1, 1)
 
@@ -93,24 +94,37 @@ def series(level, seed):
     return 2 + 0.01 * t + rng.normal(0, 0.02, 102) + level * (t >= 59)
 
 
-def test_hac_fit_finds_a_break_and_no_break():
-    found = estimates.hac_fit(series(1.5, 1), 59)
+def fitted(spark, y, break_at):
+    rows = spark.createDataFrame([(0, t, float(v), break_at) for t, v in enumerate(y)], "k int, t int, rate double, break_at int")
+    return breaks.fits(rows, ["k"]).first()
+
+
+def test_hac_fit_finds_a_break_and_no_break(spark):
+    found = fitted(spark, series(1.5, 1), 59)
     assert abs(found["level_change"] - 1.5) < 0.1 and found["level_change_p"] < 1e-6
-    flat = estimates.hac_fit(2 + np.random.default_rng(4).normal(0, 0.05, 102), 59)
+    flat = fitted(spark, 2 + np.random.default_rng(4).normal(0, 0.05, 102), 59)
     assert abs(flat["level_change"]) < 0.15 and flat["level_change_p"] > 0.05
-    assert estimates.hac_fit(np.full(20, 1.0), 10) is None
+    assert fitted(spark, np.full(20, 1.0), 10) is None and fitted(spark, series(1, 1), 101) is None
 
 
-def test_hac_errors_by_sums():
+def test_hac_errors_by_sums(spark):
     y, lags = series(0.5, 3), 6
-    found = estimates.hac_fit(y, 59)
+    found = fitted(spark, y, 59)
     t = np.arange(102.0)
     x = np.column_stack([np.ones(102), t, t >= 59, (t - 59) * (t >= 59)])
     beta = np.linalg.lstsq(x, y, rcond=None)[0]
     u = y - x @ beta
     meat = sum((1 - abs(i - j) / (lags + 1)) * u[i] * u[j] * np.outer(x[i], x[j]) for i in range(102) for j in range(102) if abs(i - j) <= lags)
     inverse = np.linalg.inv(x.T @ x)
-    assert math.isclose(found["level_change_se"], math.sqrt((inverse @ meat @ inverse)[2, 2]), rel_tol=1e-6)
+    for n, c in ((2, "level"), (3, "slope")):
+        assert math.isclose(found[f"{c}_change"], beta[n], rel_tol=1e-5)
+        assert math.isclose(found[f"{c}_change_se"], math.sqrt((inverse @ meat @ inverse)[n, n]), rel_tol=1e-5)
+
+
+def test_normal_tails(spark):
+    z = [0.0, 1e-9, 0.5, 1.0, 1.96, 3.0, 3.53, 3.54, 5.0, 8.0, 20.0, 40.0]
+    found = spark.createDataFrame([(v,) for v in z], "z double").select(F.expr(two_sided("z")).alias("p")).collect()
+    assert all(math.isclose(r.p, math.erfc(v / math.sqrt(2)), rel_tol=1e-9, abs_tol=1e-15) for r, v in zip(found, z, strict=True))
 
 
 def test_bootstrap_ratio(spark):
@@ -128,8 +142,21 @@ def test_adjusted_association_by_newton(spark):
     for _ in range(25):
         p = 1 / (1 + np.exp(-x @ beta))
         beta += np.linalg.solve(x.T * (p * (1 - p)) @ x, x.T @ (y - p))
-    assert math.isclose(estimates.adjusted(rows).first().odds_ratio, math.exp(beta[1]), rel_tol=1e-4)
-    assert estimates.adjusted(rows.limit(50)).count() == 0
+    found = logits.fits(logits.kinds(rows.withColumn("k", F.lit(1)), ["k"]), ["k"])
+    assert found.count() == 1 and math.isclose(found.first().odds_ratio, math.exp(beta[1]), rel_tol=1e-9)
+    assert logits.fits(logits.kinds(rows.limit(50).withColumn("k", F.lit(1)), ["k"]), ["k"]).count() == 0
+
+
+def test_settings_are_fitted_side_by_side(spark):
+    """Each setting as if alone; separated outcomes and one level have no row."""
+    rng = np.random.default_rng(8)
+    rows = [(k, bool(rng.random() < 0.4), int(rng.random() < 0.2 + 0.05 * k), int(n)) for k in range(4) for n in rng.integers(1, 40, 400)]
+    rows += [(8, n % 2 == 0, int(n % 2 == 0), 1 + n % 7) for n in range(300)] + [(9, True, n % 2, 1 + n % 7) for n in range(300)]
+    table = spark.createDataFrame(rows, "k int, proxy boolean, events int, n_refs int")
+    found = {r.k: r for r in logits.fits(logits.kinds(table, ["k"]), ["k"]).collect()}
+    assert sorted(found) == [0, 1, 2, 3]
+    for k, r in found.items():
+        assert r == logits.fits(logits.kinds(table.where(F.col("k") == k), ["k"]), ["k"]).first()
 
 
 def test_title_scores():
