@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import citations
+from ..session import shared_path
 from ..sources import standins
 from ..sources.standins import SQL
+from ..streaming.totals import Totals
 from .queries import query
 
 
@@ -87,3 +89,28 @@ def doi_semi_join(spark: SparkSession, d: str) -> DataFrame:
 @query(SQL + "SELECT DISTINCT c.*, n.id FROM clean c JOIN norm n ON n.src = 'w' AND n.doi = c.doi")
 def doi_map(spark: SparkSession, d: str) -> DataFrame:
     return citations.doi_map(standins.works(spark, d), citations.clean_retractions(standins.retractions(spark, d)))
+
+
+SUMS = "month string, field string, events long, refs long, works long"
+
+
+def listed_works(spark: SparkSession, d: str) -> DataFrame:
+    """Works with their references in an array, as a snapshot's files have them."""
+    lists = standins.references(spark, d).groupBy("id").agg(F.collect_list("ref").alias("refs"))
+    return standins.works(spark, d).join(lists, "id", "left").select("id", "pub_date", "month", "field", "n_refs", "refs")
+
+
+@query(SQL + "SELECT month, field, sum(late)::BIGINT AS events, sum(n_refs)::BIGINT AS refs, count(*) AS works FROM counted GROUP BY 1, 2")
+def resumed_series(spark: SparkSession, d: str) -> DataFrame:
+    """The series over works that arrive as files in three instalments: each run adds the new files' partial sums, the last finds none."""
+    folder, files = shared_path(spark, "totals"), shared_path(spark, "arriving")
+    rows, targets = listed_works(spark, d), standins.targets(spark, d)
+    totals = Totals(spark, folder, SUMS, ("month", "field"))
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(3)))
+    for part in range(3):
+        parts.where(F.col("part") == part).drop("part").write.mode("append").parquet(files)
+        totals.add(rows.schema, files, lambda batch: citations.series(citations.late_counts_of_lists(batch, targets), ["month", "field"]).drop("rate"))
+        if part == 1:
+            totals.compact()
+    totals.add(rows.schema, files, lambda batch: batch)
+    return totals.read()
