@@ -3,8 +3,8 @@
 Equal vectors are one node. Each node starts with the nearest of those that lie beside it
 along a few random directions. Then neighbours of neighbours are joined: at every node, its
 neighbours and the nodes that have it for a neighbour meet, and each pair with a new edge that is nearer
-than what either has is proposed to it; that is repeated until the lists of SAMPLE nodes, whose true ones are found by one pass over
-all vectors, are as good as ENOUGH, or few lists change. The lists, with
+than what either has is proposed to it; that is done once and repeated until the lists of SAMPLE nodes, whose true ones are found by one pass over
+all vectors, hold ENOUGH of them, or few lists change: a wide beam makes up for lists that lack some. The lists, with
 their vectors, are dealt to buckets once, where the queries' hops meet them. A query starts at its own node and expands the nearest nodes
 of its beam, which is wider for more nodes, until all of them are expanded; what the beam holds at the end is measured
 exactly, in double precision on the original vectors.
@@ -35,7 +35,7 @@ from .common import bucketed, drop_stage, materialize, shuffle_partitions
 #: Neighbours of a node, random directions, nodes that are compared along them at once.
 K, DIRECTIONS, BLOCK = 24, 3, 2048
 #: Joins end when so many of the true neighbours of so many nodes are found, or a lesser share of the edges is new and nearer by more than half precision tells apart.
-SAMPLE, ENOUGH, FEW, NEARER = 64, 0.7, 0.02, 1e-3
+SAMPLE, ENOUGH, FEW, NEARER = 64, 1 / 3, 0.02, 1e-3
 #: A query's beam for so many nodes; it grows with the square root of their count.
 BEAM, BEAM_NODES = 320, 50_000
 #: Queries: ids that this divides; neighbours returned.
@@ -257,7 +257,7 @@ def farthest(vectors: DataFrame) -> DataFrame:
 
 
 def graph_of(vectors: DataFrame, count: int, size: int) -> DataFrame:
-    """Edges (v, u, s) of the neighbour graph, joined until ENOUGH of the sample's true edges are found or less than FEW are fresh."""
+    """Edges (v, u, s) of the neighbour graph, joined once and until ENOUGH of the sample's true edges are found or less than FEW are fresh."""
     graph = materialize(best(beside(vectors, count, size)), "graph")
     true = vectors.sparkSession.createDataFrame(farthest(vectors).collect(), "v long, last float, k long")  # SAMPLE rows
     wanted = true.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()["k"]
@@ -266,14 +266,13 @@ def graph_of(vectors: DataFrame, count: int, size: int) -> DataFrame:
         found = graph.join(F.broadcast(true), "v").agg(F.count_if(F.col("s") >= F.col("last") - NEARER / 10).alias("n")).first()["n"]
         return found >= ENOUGH * wanted
 
-    while not enough():
+    while True:
         after = materialize(best(joined(graph, vectors), graph), "graph")
         drop_stage(graph)
         graph = after
         changed = graph.agg(F.count_if("fresh").alias("fresh"), F.count("*").alias("n")).first()
-        if changed["fresh"] <= FEW * changed["n"]:
-            break
-    return graph.select("v", "u", "s")
+        if changed["fresh"] <= FEW * changed["n"] or enough():
+            return graph.select("v", "u", "s")
 
 
 def beam_of(count: int) -> int:
