@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PHRASES
 from ..functions import scalars
 from ..operators import classify, estimates, sampling
-from ..sources import records, standins
+from ..session import shared_path
+from ..sources import paged, records, standins
 from ..sources.standins import SQL, table
 from . import citations as late
 from . import estimates as estimated
@@ -103,3 +106,32 @@ def ratio_bars(spark: SparkSession, d: str) -> DataFrame:
     label = F.concat(F.lit("markers "), F.col("markers").cast("string"), F.lit(", references "), F.col("min_refs").cast("string"))
     bars = estimates.error_bars(rows.select(label.alias("label"), F.col("odds_ratio").alias("ratio"), F.col("or_lo").alias("ratio_lo"), F.col("or_hi").alias("ratio_hi")))
     return bars.select("label", "ratio", F.round("below", 5).alias("below"), F.round("above", 5).alias("above"))
+
+
+_LANGUAGES = ["de", "en", "es", "fr", "none"]
+_PAGED = "SELECT 'lang=' || lang AS query, count(*) AS n, ceil(count(*) / 40.0)::BIGINT AS pages, count(DISTINCT doc_id) AS ids, sum(n_chars)::BIGINT AS chars FROM documents WHERE lang IN ('de', 'en', 'es', 'fr') GROUP BY 1"
+
+
+def _paging(d: str) -> dict[str, str]:
+    return {"service": "table", "path": f"{d}/documents.parquet", "key": "doc_id", "columns": "doc_id,n_chars", "perPage": "40", "queries": json.dumps([f"lang={x}" for x in _LANGUAGES])}
+
+
+def _by_query(rows: DataFrame) -> DataFrame:
+    r = rows.select("query", "page", F.from_json("record", "doc_id long, n_chars long").alias("r"))
+    return r.groupBy("query").agg(F.count("*").alias("n"), F.count_distinct("page").alias("pages"), F.count_distinct("r.doc_id").alias("ids"), F.sum("r.n_chars").alias("chars"))
+
+
+@query(_PAGED)
+def paged_source(spark: SparkSession, d: str) -> DataFrame:
+    """All pages of each query, a task for each."""
+    paged.register(spark)
+    return _by_query(spark.read.format("paged").options(**_paging(d)).load())
+
+
+@query(_PAGED)
+def paged_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same pages as a stream, which is ended and started again; the second run finds nothing new."""
+    folder = shared_path(spark, "paged")
+    for _ in range(2):
+        paged.follow(spark, f"{folder}/rows", f"{folder}/progress", pagesAtOnce="3", **_paging(d))
+    return _by_query(spark.read.schema(paged.SCHEMA).parquet(f"{folder}/rows"))

@@ -8,7 +8,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
-from reflume.sources import pages
+from reflume.sources import paged, pages
 
 TOTAL, PER_PAGE = {"a": 25, "b": 7, "none": 0, "refused": 9}, 5
 
@@ -72,3 +72,67 @@ def test_a_service_that_stays_down_is_an_error(server):
     handler.calls.clear()
     with pytest.raises(RuntimeError, match="gave up"):
         pages.Service(f"http://127.0.0.1:{port + 1}", interval=0, pause=0.01, tries=2).get("/works", filter="a", cursor="*")
+
+
+def options(server, queries):
+    port, _ = server
+    return {"service": "http", "base": f"http://127.0.0.1:{port}", "interval": "0", "pause": "0.01", "tries": "4", "perPage": str(PER_PAGE), "queries": json.dumps(queries)}
+
+
+def names(rows):
+    return sorted((r.query, json.loads(r.record)["id"], r.page) for r in rows)
+
+
+WANTED = sorted((q, f"{q}{i}", i // PER_PAGE) for q in ("a", "b") for i in range(TOTAL[q]))
+
+
+def test_batch_source_reads_each_query_in_a_task(spark, server):
+    server[1].calls.clear()
+    server[1].quota = 10**9
+    paged.register(spark)
+    rows = spark.read.format("paged").options(**options(server, [*TOTAL, "a"])).load()
+    assert rows.rdd.getNumPartitions() == len(TOTAL)
+    assert names(rows.collect()) == WANTED
+
+
+def test_stream_goes_on_after_its_cursors(spark, server, tmp_path):
+    """A spent quota ends the first run; the second asks for no page that the first has had."""
+    _, handler = server
+    handler.calls.clear()
+    handler.quota = 3
+    where = (str(tmp_path / "rows"), str(tmp_path / "progress"))
+    paged.follow(spark, *where, pagesAtOnce="2", **options(server, list(TOTAL)))
+    first = spark.read.schema(paged.SCHEMA).parquet(where[0]).count()
+    assert 0 < first < len(WANTED)
+    had = {k for k, n in handler.calls.items() if k[0] in "ab" and n and k[1] in ("*", "c5")}
+    handler.quota = 10**9
+    before = dict(handler.calls)
+    paged.follow(spark, *where, pagesAtOnce="2", **options(server, list(TOTAL)))
+    assert names(spark.read.schema(paged.SCHEMA).parquet(where[0]).collect()) == WANTED
+    assert handler.calls["a", "*"] == before["a", "*"] == 1 and had
+    asked = sum(handler.calls.values())
+    paged.follow(spark, *where, pagesAtOnce="2", **options(server, list(TOTAL)))
+    assert sum(handler.calls.values()) == asked
+
+
+def test_replayed_offsets_give_the_same_rows(spark, tmp_path):
+    spark.range(23).selectExpr("id * 3 as k", "if(id % 2 = 0, 'x', 'y') as g", "id as v").repartition(3).write.parquet(str(tmp_path / "t"))
+    given = {"service": "table", "path": str(tmp_path / "t"), "key": "k", "columns": "v", "perpage": "4", "pagesatonce": "2", "queries": '["g=x", "g=y", "g=z"]'}
+    one = paged.PagedStream(given)
+    offset, seen = one.initialOffset(), []
+    while True:
+        rows, end = one.read(offset)
+        rows = list(rows)
+        if end == offset:
+            break
+        assert list(paged.PagedStream(given).readBetweenOffsets(offset, end)) == rows
+        seen += rows
+        offset = json.loads(json.dumps(end))
+    assert sorted(json.loads(r[3])["v"] for r in seen) == list(range(23)) and max(r[1] for r in seen) == 2
+    with pytest.raises(ValueError, match="isn't unique"):
+        paged.TablePages({**given, "key": "v", "path": str(same(spark, tmp_path))}).page("g=x", "*")
+
+
+def same(spark, tmp_path):
+    spark.range(9).selectExpr("id div 5 as v", "'x' as g").coalesce(1).write.parquet(str(tmp_path / "same"))
+    return tmp_path / "same"
