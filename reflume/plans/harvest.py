@@ -11,7 +11,7 @@ from ..config import PHRASES
 from ..functions import scalars
 from ..operators import classify, estimates, sampling
 from ..session import shared_path
-from ..sources import paged, records, standins
+from ..sources import lookups, paged, records, standins
 from ..sources.standins import SQL, table
 from . import citations as late
 from . import estimates as estimated
@@ -135,3 +135,24 @@ def paged_stream(spark: SparkSession, d: str) -> DataFrame:
     for _ in range(2):
         paged.follow(spark, f"{folder}/rows", f"{folder}/progress", pagesAtOnce="3", **_paging(d))
     return _by_query(spark.read.schema(paged.SCHEMA).parquet(f"{folder}/rows"))
+
+
+class FirstOfLanguage:
+    """Looks up a language's first document, a page of one, in a table service."""
+
+    def __init__(self, path: str):
+        self.pages = paged.TablePages({"path": path, "key": "doc_id", "columns": "doc_id", "perpage": "1"})
+
+    def answer(self, key: str) -> str | None:
+        found, _ = self.pages.page(f"lang={key}", paged.FIRST)
+        return found[0] if found else None
+
+
+@query("SELECT d.doc_id, d.key, m.first_id, d.key IS NOT NULL AS asked FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'none' ELSE lang END AS key FROM documents) d LEFT JOIN (SELECT lang, min(doc_id) AS first_id FROM documents GROUP BY 1) m ON m.lang = d.key")
+def remembered_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with what its language's lookup says; each key is asked for once, in the first of two runs."""
+    folder, path = shared_path(spark, "memo"), f"{d}/documents.parquet"
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 10 == 0, "none").otherwise(F.col("lang")).alias("key"))
+    for _ in range(2):
+        lookups.remember(rows, "key", lambda _: FirstOfLanguage(path), folder, 0.0)
+    return lookups.looked_up(rows, "key", folder).select("doc_id", "key", F.from_json("answer", "doc_id long")["doc_id"].alias("first_id"), "asked")

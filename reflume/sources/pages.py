@@ -42,8 +42,7 @@ class Service:
                 with urllib.request.urlopen(url, timeout=60) as answer:
                     return json.load(answer)
             except urllib.error.HTTPError as e:
-                left = e.headers.get("x-ratelimit-remaining", "")
-                if e.code == 402 or e.code == 429 and left.lstrip("-").isdigit() and int(left) <= 0:
+                if e.code == 402 or e.code == 429 and (_spent(e.headers.get("x-ratelimit-remaining")) or _spent(e.headers.get("x-ratelimit-remaining-usd"))):
                     raise QuotaSpent(url) from e
                 if e.code < 500 and e.code not in (408, 429):
                     return None
@@ -55,6 +54,14 @@ class Service:
         raise RuntimeError(f"gave up after {self.tries} tries: {url}")
 
 
+def _spent(left: str | None) -> bool:
+    """Whether a header says that no calls, or no money, are left; an unreadable one doesn't."""
+    try:
+        return float(left or "") <= 0
+    except ValueError:
+        return False
+
+
 def open_queries(spark: SparkSession, queries: list[str], folder: str) -> DataFrame:
     """query, page and cursor to ask for next, of the queries that aren't done."""
     asked = spark.createDataFrame([(q, 0, FIRST) for q in dict.fromkeys(queries)], "query string, page long, cursor string")
