@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import prose
+from ..session import staged
+from . import nearest
 
 PROFILE = ["median_len", "sd_len", "max_len", "short_share", "long_share", "hedges", "we"]
 GENRE = ["n_words", "median_len", "sd_len", "max_len", "digits"]
@@ -46,35 +48,25 @@ def within(profiles: DataFrame, band: DataFrame, names: list[str], slack: tuple[
     return profiles.crossJoin(F.broadcast(band)).withColumn("n_inside", sum(inside[1:], inside[0]).cast("long")).select(*profiles.columns, "n_inside")
 
 
-#: Texts of a reference corpus: each profile meets all of them, in its own row.
-MOST_OF_CORPUS = 10_000
-
-
-def style_distances(profiles: DataFrame, corpus: DataFrame, names: list[str], most: int = MOST_OF_CORPUS) -> DataFrame:
+def style_distances(profiles: DataFrame, corpus: DataFrame, names: list[str]) -> DataFrame:
     """Distance of each profile to the nearest of the corpus and to its centroid, in the corpus's deviations, and whether it is inside its spread and no clone.
 
     Inside: not farther from the centroid than the farthest of the corpus. No clone: its nearest isn't nearer than the closest two of the
-    corpus. The corpus is a list of references of at most ``most`` texts, which is checked; it travels as one row.
+    corpus. Both may be of any size: the nearest are found by cells. Nulls stand at the mean; ids are unique and not null.
     """
-    if corpus.limit(most + 1).count() > most:
-        raise ValueError(f"a reference corpus has at most {most} texts")
     stats = F.broadcast(corpus.agg(*(F.avg(n).alias(f"{n}_m") for n in names), *(F.nullif(F.stddev_pop(n), F.lit(0.0)).alias(f"{n}_s") for n in names)))
 
-    def standard(rows: DataFrame) -> DataFrame:
+    def standard(rows: DataFrame, name: str) -> DataFrame:
         terms = (F.coalesce((F.col(n) - F.col(f"{n}_m")) / F.col(f"{n}_s"), F.lit(0.0)) for n in names)
-        return rows.crossJoin(stats).select("id", F.array(*terms).alias("z"))  # one row of statistics
-
-    def apart(a: Column, b: Column) -> Column:
-        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-
-    centre = F.array(*(F.lit(0.0) for _ in names))
-    points = standard(corpus).select(F.col("id").alias("corpus_id"), "z")
-    x, y = points.alias("x"), points.alias("y")
-    closest = x.join(F.broadcast(y), F.col("x.corpus_id") < F.col("y.corpus_id")).agg(F.min(F.round(apart(F.col("x.z"), F.col("y.z")), 6)).alias("closest"))  # all pairs of the bounded corpus
-    whole = points.agg(F.collect_list(F.struct("corpus_id", "z")).alias("points"), F.max(F.round(apart(F.col("z"), centre), 6)).alias("widest")).crossJoin(closest)
-    each = F.transform("points", lambda p: F.struct(F.round(apart(F.col("z"), p["z"]), 6).alias("far"), p["corpus_id"].alias("corpus_id")))
-    d = standard(profiles).crossJoin(F.broadcast(whole)).withColumn("best", F.array_min(each)).withColumn("centroid", F.round(apart(F.col("z"), centre), 6))
-    return d.select("id", F.col("best.far").alias("nearest"), F.col("best.corpus_id").alias("nearest_id"), "centroid", (F.col("centroid") <= F.col("widest")).alias("inside"), (F.col("best.far") >= F.col("closest")).alias("no_clone"))
+        return staged(rows.crossJoin(stats).select(F.col("id").alias(name), F.array(*terms).alias("z")), "style")  # one row of statistics
+
+    centroid = F.round(F.sqrt(F.aggregate("z", F.lit(0.0), lambda s, x: s + x * x)), 6)
+    points, asked = standard(corpus, "point_id"), standard(profiles, "id")
+    pairs = nearest.nearest(points.withColumnRenamed("point_id", "id"), points, itself=True)
+    whole = points.agg(F.max(centroid).alias("widest")).crossJoin(pairs.agg(F.min("far").alias("closest")))  # single rows
+    found = nearest.nearest(asked, points).withColumnRenamed("id", "_id")
+    d = asked.withColumn("centroid", centroid).join(found, F.col("id") == F.col("_id"), "left").crossJoin(F.broadcast(whole))
+    return d.select("id", F.col("far").alias("nearest"), F.col("point_id").alias("nearest_id"), "centroid", (F.col("centroid") <= F.col("widest")).alias("inside"), (F.col("far") >= F.col("closest")).alias("no_clone"))
 
 
 def section_checks(sections: DataFrame, centre: DataFrame) -> DataFrame:
