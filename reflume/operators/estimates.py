@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,8 +31,8 @@ def bootstrap_ratio(rows: DataFrame, replicates: int = 10_000, seed: int = 11, a
     """Ratio of the two groups' rates (group, events, of) and its 2.5 and 97.5 percentiles when rows are resampled.
 
     Rows that are alike are counted first, and a replicate draws how often each kind occurs, which is the same as drawing
-    rows. Kinds are dealt to buckets: a replicate's rows are divided among them by one draw, whose seed every bucket has, and each
-    bucket draws its own kinds, so any number of them can be resampled. What reaches the driver is a count for each bucket.
+    rows. Kinds are dealt to buckets: each replicate's rows are divided among the buckets once, in a table, and every bucket then
+    draws its own kinds from its part, so any number of them can be resampled. What reaches the driver is a count for each bucket.
     """
     spark = rows.sparkSession
     given = rows.where("events is not null and of is not null and group in ('artifact', 'control')").select("group", F.col("events").cast("double").alias("events"), F.col("of").cast("double").alias("of"))
@@ -43,18 +45,22 @@ def bootstrap_ratio(rows: DataFrame, replicates: int = 10_000, seed: int = 11, a
         return spark.createDataFrame([], "rate_artifact double, rate_control double, ratio double, ratio_lo double, ratio_hi double, n_artifact long, n_control long")
     sizes = {g: ([r["bucket"] for r in found], np.array([r["n"] for r in found], float)) for g, found in whole.items()}
 
-    def drawn(kind: pd.DataFrame) -> pd.DataFrame:
+    def divided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in batch["id"]:
+                for group, (numbers, counts) in sizes.items():
+                    own = np.random.Generator(np.random.PCG64([seed, i, ord(group[0])])).multinomial(int(counts.sum()), counts / counts.sum())
+                    yield pd.DataFrame({"group": group, "bucket": numbers, "i": i, "own": own})
+
+    def drawn(kind: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         group, bucket = kind["group"].iloc[0], int(kind["bucket"].iloc[0])
-        numbers, counts = sizes[group]
-        kind = kind.sort_values(["events", "of"])
+        kind, parts = kind.sort_values(["events", "of"]), parts.sort_values("i")
         values, share = kind[["events", "of"]].to_numpy(float), kind["n"].to_numpy(float)
-        out = np.empty((replicates, 2))
-        for i in range(replicates):
-            own = np.random.Generator(np.random.PCG64([seed, i, ord(group[0])])).multinomial(int(counts.sum()), counts / counts.sum())[numbers.index(bucket)]
-            out[i] = np.random.Generator(np.random.PCG64([seed, i, ord(group[0]), bucket])).multinomial(own, share / share.sum()) @ values
-        return pd.DataFrame({"i": np.arange(replicates), "group": group, "events": out[:, 0], "of": out[:, 1]})
+        out = np.array([np.random.Generator(np.random.PCG64([seed, i, ord(group[0]), bucket])).multinomial(own, share / share.sum()) @ values for i, own in zip(parts["i"], parts["own"], strict=True)])
+        return pd.DataFrame({"i": parts["i"].to_numpy(), "group": group, "events": out[:, 0], "of": out[:, 1]})
 
-    each = kinds.groupBy("group", "bucket").applyInPandas(drawn, "i long, group string, events double, of double").groupBy("i")
+    parts = spark.range(replicates).mapInPandas(divided, "group string, bucket long, i long, own long")
+    each = kinds.groupBy("group", "bucket").cogroup(parts.groupBy("group", "bucket")).applyInPandas(drawn, "i long, group string, events double, of double").groupBy("i")
 
     def rate(g: str) -> Column:
         return F.sum(F.when(F.col("group") == g, F.col("events"))) / F.nullif(F.sum(F.when(F.col("group") == g, F.col("of"))), F.lit(0.0))

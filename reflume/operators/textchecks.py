@@ -126,13 +126,14 @@ def pattern_hits(docs: DataFrame, patterns: list[tuple[str, str]], text: str = "
     return plain.select("doc_id", *(F.rlike("_t", F.lit(f"(?is){p}")).alias(name) for name, p in patterns))
 
 
-def provenance(docs: DataFrame, results: DataFrame, text: str = "text", most: int = 1000) -> DataFrame:
-    """doc_id, name and found: whether each formatted result value (name, said) occurs in each text. At most ``most`` results, which is checked."""
-    if results.limit(most + 1).count() > most:
-        raise ValueError(f"at most {most} results are looked for")
-    listed = results.agg(F.collect_list(F.struct("name", "said")).alias("_results"))
-    d = docs.crossJoin(F.broadcast(listed)).withColumn("_r", F.explode("_results"))  # one row of results
-    return d.select("doc_id", "_r.name", F.contains(F.col(text), F.col("_r.said")).alias("found"))
+def provenance(docs: DataFrame, results: DataFrame, text: str = "text", at_once: int = 1000) -> DataFrame:
+    """doc_id, name and found: whether each formatted result value (name, said) occurs in each text, some ``at_once`` results to a row, however many there are."""
+    lists = max(1, -(-results.count() // at_once))
+    each = results.withColumn("_list", F.pmod(F.xxhash64("name", "said"), F.lit(lists)).cast("int"))
+    listed = each.groupBy("_list").agg(F.collect_list(F.struct("name", "said")).alias("_results"))
+    d = docs.select("doc_id", F.col(text).alias("_text"), F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("_list"))
+    d = d.join(listed, "_list").withColumn("_r", F.explode("_results"))
+    return d.select("doc_id", "_r.name", F.contains(F.col("_text"), F.col("_r.said")).alias("found"))
 
 
 def rubric(terms: list[tuple[Column, float, float]]) -> Column:

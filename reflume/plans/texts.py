@@ -208,13 +208,13 @@ def battery_summary(spark: SparkSession, d: str) -> DataFrame:
 
 #: Results as they would be printed: a count, a share and a mean of each language's documents.
 @query("""WITH v AS (SELECT lang, count(*) AS n, count(*) / (SELECT count(*) FROM documents WHERE lang IS NOT NULL)::DOUBLE AS share, avg(n_chars) AS mean FROM documents WHERE lang IS NOT NULL GROUP BY 1),
-r AS (SELECT lang || ' n' AS name, (n % 100)::VARCHAR AS said FROM v UNION ALL SELECT lang || ' share', printf('%.1f', share * 10) FROM v UNION ALL SELECT lang || ' mean', format('{:,}', floor(mean)::BIGINT) FROM v)
+r AS (SELECT lang || ' n' AS name, n::VARCHAR AS said FROM v UNION ALL SELECT lang || ' share', printf('%.1f', share * 10) FROM v UNION ALL SELECT lang || ' mean', format('{:,}', floor(mean)::BIGINT) FROM v)
 SELECT doc_id, name, contains(text, said) AS found FROM documents, r""")
 def numeric_provenance(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents")
     known = rows.where("lang is not null")
     by = known.groupBy("lang").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean")).crossJoin(known.agg(F.count("*").alias("all")))  # one row
-    said = {"n": (F.col("n") % 100).cast("string"), "share": F.format_string("%.1f", F.col("n") / F.col("all") * 10), "mean": F.format_number(F.floor("mean"), 0)}
+    said = {"n": F.col("n").cast("string"), "share": F.format_string("%.1f", F.col("n") / F.col("all") * 10), "mean": F.format_number(F.floor("mean"), 0)}
     results = by.select(F.explode(F.array(*(F.struct(F.concat("lang", F.lit(f" {k}")).alias("name"), v.alias("said")) for k, v in said.items()))).alias("r")).select("r.*")
     return textchecks.provenance(rows.select("doc_id", "text"), results)
 

@@ -124,5 +124,8 @@ def test_provenance_and_rubric(spark):
     results = spark.createDataFrame([("ratio", "0.878"), ("n", "1,645"), ("other", "7.7")], "name string, said string")
     found = {(r.doc_id, r.name) for r in textchecks.provenance(docs, results).collect() if r.found}
     assert found == {(0, "ratio"), (0, "n")}
+    many = spark.createDataFrame([(str(n), f"{n}") for n in range(2500)], "name string, said string")
+    rows = textchecks.provenance(docs, many, at_once=100).collect()
+    assert len(rows) == 5000 and {int(r.name) for r in rows if r.found} == {n for n in range(2500) if str(n) in "The ratio was 0.878 of 1,645 papers."}
     row = spark.range(1).select(textchecks.rubric([(F.lit(12.0), 10, 0.5), (F.lit(4), 10, 0.25)]).alias("s")).first()
     assert row.s == 6.0
