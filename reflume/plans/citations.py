@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import citations
 from ..session import shared_path
-from ..sources import standins
+from ..sources import layout, standins
 from ..sources.standins import SQL
 from ..streaming.totals import Totals
 from .queries import query
@@ -114,3 +114,27 @@ def resumed_series(spark: SparkSession, d: str) -> DataFrame:
             totals.compact()
     totals.add(rows.schema, files, lambda batch: batch)
     return totals.read()
+
+
+BUCKETS = 16
+
+
+def stored_hits(spark: SparkSession, d: str) -> DataFrame:
+    """References to targets, both of which are stored in buckets: neither is shuffled."""
+    references = layout.bucketed(standins.references(spark, d), "ref", BUCKETS, "references")
+    targets = layout.bucketed(standins.targets(spark, d).withColumnRenamed("id", "ref"), "ref", BUCKETS, "targets")
+    return references.hint("merge").join(targets, "ref")
+
+
+@query(SQL + "SELECT id, pub_date, late FROM counted WHERE late > 0")
+def bucketed_late_refs(spark: SparkSession, d: str) -> DataFrame:
+    """Works with late references, by references that were bucketed once and serve any set of targets."""
+    hits = stored_hits(spark, d).join(standins.works(spark, d).select("id", "pub_date"), "id")
+    return hits.where(F.col("pub_date") >= F.col("eligible")).groupBy("id", "pub_date").agg(F.count("*").alias("late"))
+
+
+@query(SQL + "SELECT n.id, n.doi FROM norm n WHERE src = 'w' AND doi IN ('10.1000/w40', '10.1000/w41', '10.1000/w123')")
+def works_by_doi(spark: SparkSession, d: str) -> DataFrame:
+    """Some DOIs' works, from a table whose Bloom filters rule out most row groups."""
+    works = standins.works(spark, d).select("id", scalars.norm_doi(F.col("doi")).alias("doi"))
+    return layout.with_bloom_filters(works, ["doi"], "works").where(F.col("doi").isin("10.1000/w40", "10.1000/w41", "10.1000/w123"))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..config import MARKERS
 from ..functions import scalars
 from ..operators import classify, resolve, sampling
+from ..session import staged
 from ..sources import standins
 from ..sources.standins import SQL, table
 from .queries import query
@@ -63,8 +64,18 @@ def corpus_with_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey AS id, coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN '' ELSE c_mktsegment END, ''), 'Unknown') AS field FROM customer")
 def nested_project(spark: SparkSession, d: str) -> DataFrame:
+    """The field's name of works that are stored with their whole topics; the scan reads nothing else of them."""
+    return field_names(stored_topics(spark, d))
+
+
+def stored_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Works with nested topics, as a snapshot's files have them."""
     name = F.expr("CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN '' ELSE c_mktsegment END")
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.struct(F.struct(name.alias("display_name")).alias("field")).alias("topic"))
+    whole = F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("display_name"), F.struct(F.col("c_nationkey").alias("id"), name.alias("display_name")).alias("field"), F.col("c_acctbal").alias("score"))
+    return staged(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), whole.alias("topic"), F.col("c_nationkey").alias("n_cites")), "topics")
+
+
+def field_names(rows: DataFrame) -> DataFrame:
     return rows.select("id", scalars.named(F.col("topic.field.display_name")).alias("field"))
 
 
