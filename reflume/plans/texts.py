@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import config
-from ..functions import prose
+from ..functions import prose, tex
 from ..operators import textchecks
 from ..sources.standins import table
 from .queries import query
@@ -103,6 +103,44 @@ def strip_latex(spark: SparkSession, d: str) -> DataFrame:
     return papers(spark, d).select("conv_id", prose.strip_latex(F.col("tex"), config.FLOATS).alias("prose"))
 
 
+def _scanned(steps: list[tuple[str, str]], tail: bool = False) -> str:
+    """The scanner's result for texts without nesting, as a chain of patterns for DuckDB."""
+    text = r"regexp_replace(tex, '(?s)\\begin\{thebibliography\}.*', '')" if tail else "tex"
+    for name in config.FLOATS:
+        text = rf"regexp_replace({text}, '(?s)\\begin\{{{name}\}}.*?\\end\{{{name}\}}', '', 'g')"
+    for pattern, by in (*steps, (r"\\[a-zA-Z]+\{([^{}]*)\}", r"\1"), (r"\\[a-zA-Z]+", " "), (r"[{}$\\]", " "), (r"[ \t\n\r]+", " ")):
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return f"SELECT conv_id, trim({text}) AS prose FROM marked"
+
+
+#: Papers with figures, references and a bibliography.
+MARKED = PAPERS + r""", marked AS (SELECT conv_id, '\textbf{Start.} \begin{figure} seen \ref{f} \end{figure} ' || tex || ' \citep{x1} \begin{itemize} one \end{itemize} $y$ {z} \begin{thebibliography} all of it \end{thebibliography}' AS tex FROM papers)
+"""
+
+
+def marked(spark: SparkSession, d: str) -> DataFrame:
+    before, after = r"\textbf{Start.} \begin{figure} seen \ref{f} \end{figure} ", r" \citep{x1} \begin{itemize} one \end{itemize} $y$ {z} \begin{thebibliography} all of it \end{thebibliography}"
+    return papers(spark, d).select("conv_id", F.concat(F.lit(before), F.col("tex"), F.lit(after)).alias("tex"))
+
+
+@query(f"WITH {MARKED} " + _scanned([(r"\\(label|ref|citep|citet|cite)\{[^}]*\}", " X "), (r"\\(sub)?section\{[^}]*\}", " . ")]))
+def strip_paper(spark: SparkSession, d: str) -> DataFrame:
+    """Papers to prose by the scanner that counts depth."""
+    return marked(spark, d).select("conv_id", tex.strip(F.col("tex"), config.FLOATS).alias("prose"))
+
+
+@query(f"WITH {MARKED} " + _scanned([(r"\\(section|subsection)\{[^}]*\}", " . ")], tail=True))
+def strip_manuscript(spark: SparkSession, d: str) -> DataFrame:
+    """The same without what follows the bibliography's beginning, references left as words."""
+    return marked(spark, d).select("conv_id", tex.strip(F.col("tex"), config.FLOATS, (), tex.HEADERS, "thebibliography").alias("prose"))
+
+
+@query(f"WITH {MARKED} " + _scanned([(r"\\(label|ref|citep|citet|cite)\{[^}]*\}", " X "), (r"\\subsection\{[^}]*\}", " . "), (r"\\textbf\{[^}]*\}", " . ")]))
+def strip_section_text(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies of sections, whose bold run-in headers end a sentence."""
+    return marked(spark, d).select("conv_id", tex.strip(F.col("tex"), config.FLOATS, tex.REFERENCES, tex.SECTION_HEADERS).alias("prose"))
+
+
 @query(f"WITH {SECTIONS} SELECT * FROM sections")
 def section_split(spark: SparkSession, d: str) -> DataFrame:
     return sections(spark, d)
