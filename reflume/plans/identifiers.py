@@ -182,14 +182,16 @@ def validation_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.bounded_sample(table(spark, d, "documents").select("doc_id"), "doc_id", 100, 20260813)
 
 
-@query()
+@query("""WITH k AS (SELECT title, list_sort(string_split(lower(title), ' ')) AS words FROM (SELECT DISTINCT p_name || ' ' || p_type AS title FROM part))
+SELECT 'r ' || a.title AS ref_id, min(b.title) AS known_id, 100.0::DOUBLE AS score FROM k a JOIN k b USING (words) GROUP BY a.title""")
 def fuzzy_title(spark: SparkSession, d: str) -> DataFrame:
+    """Titles with their words in reverse, each against all: the same words score 100, ties to the first title."""
     names = table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("title")).distinct()
     references = names.select(F.concat(F.lit("r "), F.col("title")).alias("ref_id"), F.concat_ws(" ", F.reverse(F.split("title", " "))).alias("title"))
     return resolve.fuzzy_match(references, names.select(F.col("title").alias("known_id"), "title"))
 
 
-@query()
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def resumable_ingest(spark: SparkSession, d: str) -> DataFrame:
     from ..session import shared_path
     from ..streaming.ingest import ingest
