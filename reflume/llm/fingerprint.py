@@ -8,7 +8,8 @@ digests, each weighted by the bytes it covers, and the containment of one text i
 is the share of its weight whose digests the other has.
 
 Nulls and empty texts have the empty fingerprint. Two empty fingerprints are alike (1.0);
-an empty and a non-empty one are not (0.0). Repeated rows are fingerprinted like others.
+an empty and a non-empty one are not (0.0). Repeated rows are fingerprinted like others. Rows of
+one doc_id follow each other in the order of their texts, and null ids come after all others, as one id.
 """
 
 from __future__ import annotations
