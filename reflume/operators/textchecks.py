@@ -86,7 +86,7 @@ def section_checks(sections: DataFrame, centre: DataFrame) -> DataFrame:
 
 
 def word_counts(docs: DataFrame, listed: list[str], text: str = "text", exempt: str = config.EXEMPT_WORD, near: str = config.EXEMPT_NEAR) -> DataFrame:
-    """A row for each document and listed word with its count as a word of its own, zeros included.
+    """A row for each document and listed word with its count as a word of its own, zeros included, outside of quotations (``so'').
 
     A text is cut into words once, and those that are listed are picked out by a hash set, so more words cost no more passes. What
     isn't a single run of word characters, and ``exempt``, whose places with ``near`` around them don't count, are looked for as patterns, in
@@ -96,7 +96,8 @@ def word_counts(docs: DataFrame, listed: list[str], text: str = "text", exempt:
     plain = [w for w in listed if w.lower() == first[w] and w != exempt]
     wanted = sorted(set(first.values()))
     tokens = F.filter(F.transform(F.split(F.col("_t"), "[^A-Za-z0-9_]+"), F.lower), lambda x: x.isin(wanted))
-    d = docs.select("doc_id", prose.plain_letters(F.col(text)).alias("_t")).withColumn("_hits", tokens)
+    unquoted = F.regexp_replace(prose.plain_letters(F.col(text)), config.QUOTED, " ")
+    d = docs.select("doc_id", unquoted.alias("_t")).withColumn("_hits", tokens)
 
     def count(word: str) -> Column:
         if word in plain:

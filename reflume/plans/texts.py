@@ -223,12 +223,32 @@ def _word_count(word: str) -> str:
     return f"len(list_filter({starts}, lambda p: NOT regexp_matches(substring(t, greatest(p - {config.EXEMPT_BEFORE}, 0) + 1, least(p, {config.EXEMPT_BEFORE}) + {config.EXEMPT_AFTER}), '(?i){config.EXEMPT_NEAR}')))"
 
 
-@query("SELECT doc_id, u.word AS word, u.n::BIGINT AS n FROM (SELECT doc_id, unnest([" + ", ".join("{'word': '" + w + "', 'n': " + _word_count(w) + "}" for w in LISTED) + f"]) AS u FROM (SELECT doc_id, {_plain('text')} AS t FROM documents))")
+_UNQUOTED = f"regexp_replace({{}}, '{config.QUOTED.replace(chr(39), chr(39) * 2)}', ' ', 'g')"
+#: Documents whose beginning stands as a quotation, which isn't counted.
+_SAID = "concat('``', replace(substring(text, 1, 80), chr(39), ' '), chr(39), chr(39), ' ', text)"
+
+
+def _counted(words: list[str], text: str) -> str:
+    each = ", ".join("{'word': '" + w + "', 'n': " + _word_count(w) + "}" for w in words)
+    return f"SELECT doc_id, u.word AS word, u.n::BIGINT AS n FROM (SELECT doc_id, unnest([{each}]) AS u FROM (SELECT doc_id, {_UNQUOTED.format(_plain(text))} AS t FROM documents))"
+
+
+@query(_counted(LISTED, "text"))
 def banned_vocab(spark: SparkSession, d: str) -> DataFrame:
     return textchecks.word_counts(documents(spark, d), LISTED)
 
 
-_TESTS = ", ".join(f"regexp_matches(t, '(?is){p}') AS {n}" for n, p in PATTERNS)
+WIDE = ["the", "of", *config.BANNED_WIDE]
+
+
+@query(_counted(WIDE, _SAID))
+def banned_vocab_wide(spark: SparkSession, d: str) -> DataFrame:
+    """The wider list, outside of quotations, of which each document gets one."""
+    said = F.concat(F.lit("``"), F.replace(F.substring("text", 1, 80), F.lit("'"), F.lit(" ")), F.lit("'' "), "text")
+    return textchecks.word_counts(documents(spark, d).withColumn("text", said), WIDE)
+
+
+_TESTS = ", ".join("regexp_matches(t, '(?is){}') AS {}".format(p.replace("'", "''"), n) for n, p in PATTERNS)
 _TESTED = f"SELECT doc_id, {_TESTS} FROM (SELECT doc_id, {_plain('text')} AS t FROM documents)"
 
 

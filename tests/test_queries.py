@@ -39,11 +39,6 @@ def test_query_equals_sql(spark, duck, name):
     assert plain(found, columns) == plain(wanted, columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, DATA).columns
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
