@@ -51,7 +51,12 @@ def fits(series: DataFrame, keys: list[str], lags: int = HAC_LAGS, least: int =
 def with_errors(found: DataFrame, keys: list[str], digits: int) -> DataFrame:
     for c in ("level", "slope"):
         found = found.withColumn(f"{c}_change_se", F.expr(f"sqrt({c}_var)")).withColumn("z", F.expr(f"abs({c}_change) / nullif({c}_change_se, 0e0)")).withColumn(f"{c}_change_p", F.expr(two_sided("z")))
-    return found.select(*keys, *(F.round(n, digits).alias(n) for n in NAMES[:-1]), F.col("n_months").cast("long").alias("n_months"))
+    return found.select(*keys, *(F.expr(rounded(n, digits)).alias(n) for n in NAMES[:-1]), F.col("n_months").cast("long").alias("n_months"))
+
+
+def rounded(name: str, digits: int) -> str:
+    """Rounding that takes what lies a few last bits below a half for a half: means of rounded rates often are one, and engines add in other orders."""
+    return f"round({name} * 1.000000000001e0, {digits})"
 
 
 def fits_sql(points: str, keys: list[str], lags: int = HAC_LAGS, least: int = LEAST_MONTHS, digits: int = 9) -> str:
@@ -69,4 +74,4 @@ line0 AS (SELECT *, {', '.join(f'{e} OVER (PARTITION BY {key}, post) AS {c}' for
     tails = ", ".join(f"sqrt({c}_var) AS {c}_change_se, {ratio[c]} AS {c}_z" for c in ratio)
     text += f",\nerrors AS (SELECT *, {tails} FROM sums WHERE n_months >= {least} AND level_change IS NOT NULL)"
     ends = ", ".join(f"{two_sided(f'{c}_z')} AS {c}_change_p" for c in ratio)
-    return text + f",\ntailed AS (SELECT *, {ends} FROM errors),\nfitted AS (SELECT {key}, {', '.join(f'round({n}, {digits}) AS {n}' for n in NAMES[:-1])}, n_months::BIGINT AS n_months FROM tailed)"
+    return text + f",\ntailed AS (SELECT *, {ends} FROM errors),\nfitted AS (SELECT {key}, {', '.join(f'{rounded(n, digits)} AS {n}' for n in NAMES[:-1])}, n_months::BIGINT AS n_months FROM tailed)"
