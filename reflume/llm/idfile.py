@@ -34,14 +34,17 @@ from pyspark.sql import functions as F
 
 from tokenizers import Tokenizer
 
+from .bpe import ragged
 from .common import bounded_batches, held, id_cuts, order_id, range_number, shuffle_partitions
 
 MAGIC = b"RFIDS001"
 BLOCK = 512
 #: Characters that the library encodes at once, which bounds what it keeps beside the ids.
 AT_ONCE = 1 << 18
-#: A single blank between words: no tokenizer of the kinds here has a token that crosses the place before it.
-BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Before a single blank between words: no tokenizer of the kinds here has a token that crosses the place.
+BETWEEN = re.compile(r"(?<=\S)(?= \S)")
+#: Distinct pieces that a task remembers, and their characters.
+REMEMBERED, PIECE_CHARS = 1_000_000, 1 << 24
 HEADER = struct.Struct("<QQQB")
 
 
@@ -201,7 +204,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, per_par
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, writer, at, out = library(tokenizer), None, -1, []
-        width = 2 if max(own.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
+        width = 2 if max(own.own.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
         end = np.array([end_id], np.uint32)
         for batch in batches:
             ids, ranges = batch.column("doc_id").to_pylist(), batch.column("_range").to_pylist()
@@ -223,59 +226,87 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, per_par
     return shards
 
 
-def library(path: str) -> Tokenizer:
+def library(path: str) -> Encoder:
     """The tokenizers library over a file, without truncation and padding."""
 
-    def made() -> Tokenizer:
+    def made() -> Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         own = Tokenizer.from_file(path)
         own.no_truncation()
         own.no_padding()
-        return own
+        return Encoder(own)
 
     return held(("library", path), made)
 
 
-def parts(text: str) -> Iterator[str]:
-    """The text in parts of some AT_ONCE characters, cut before blanks between words, so that their ids are the text's."""
-    at = 0
-    while len(text) - at > AT_ONCE and (cut := BETWEEN.search(text, at + AT_ONCE)):
-        yield text[at : cut.start()]
-        at = cut.start()
-    yield text[at:]
-
-
-def encoded(own: Tokenizer, texts: pa.Array) -> Iterator[np.ndarray]:
-    """Ids of the texts; the library gets some characters' worth at a time."""
-    held: list[str] = []
-    owner: list[int] = []
-    lists: dict[int, list[np.ndarray]] = {}
-    size = 0
-
-    def flush() -> None:
-        for n, found in zip(owner, own.encode_batch_fast(held, add_special_tokens=False), strict=True):
-            lists.setdefault(n, []).append(np.array(found.ids, np.uint32))
-        held.clear()
-        owner.clear()
-
-    begun = 0
-    for n, text in enumerate(texts):
-        for part in parts(text.as_py() or ""):
-            held.append(part)
-            owner.append(n)
-            size += len(part)
-            if size >= AT_ONCE:
-                flush()
-                size = 0
-        while begun < n:
-            if owner and begun >= owner[0]:
-                break
-            yield np.concatenate(lists.pop(begun))
-            begun += 1
-    flush()
-    while begun < len(texts):
-        yield np.concatenate(lists.pop(begun))
-        begun += 1
+class Encoder:
+    """Texts to ids by the library, each distinct piece between words once: pieces go to it in one text, parted by a special token, which it never joins.
+
+    Remembered pieces are forgotten at REMEMBERED of them or PIECE_CHARS characters. A vocabulary without special tokens, and texts that have
+    the parting one, go to the library piece by piece.
+    """
+
+    def __init__(self, own: Tokenizer):
+        self.own = own
+        special = [(i, t.content) for i, t in sorted(own.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.normalized or t.single_word)]
+        self.part_id, self.part = special[0] if special else (None, None)
+        #: Whether white space gives no ids, so that every blank parts pieces.
+        self.dropped = self.ids(" a") == self.ids("a") and not self.ids("  ")
+        self.forget()
+
+    def ids(self, text: str) -> list[int]:
+        return self.own.encode(text, add_special_tokens=False).ids
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.at, self.sizes, self.chars = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), 0
+
+    def pieces(self, text: str) -> list[str]:
+        return text.split(" ") if self.dropped else BETWEEN.split(text)
+
+    def learn(self, new: list[str]) -> None:
+        """Adds the ids of pieces that aren't known."""
+        lists: list[np.ndarray] = []
+        plain = [p for p in new if self.part is not None and self.part not in p]
+        odd = [p for p in new if self.part is None or self.part in p]
+        if plain:
+            found = np.array(self.own.encode_batch_fast([self.part.join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+            lists += np.split(found, np.flatnonzero(found == self.part_id))
+            lists[1:] = [x[1:] for x in lists[1:]]
+        lists += [np.array(self.ids(p), np.uint32) for p in odd]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        self.known.update(zip([*plain, *odd], range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.pool, self.sizes = np.concatenate([self.pool, *lists]), np.concatenate([self.sizes, sizes])
+        self.chars += sum(map(len, new))
+
+    def some(self, texts: list[str]) -> list[np.ndarray]:
+        lists = [self.pieces(t) for t in texts]
+        new = [p for p in dict.fromkeys(p for x in lists for p in x) if p not in self.known]
+        if len(self.known) + len(new) > REMEMBERED or self.chars > PIECE_CHARS:
+            self.forget()
+            new = list(dict.fromkeys(p for x in lists for p in x))
+        if new:
+            self.learn(new)
+        counts = [len(x) for x in lists]
+        which = np.fromiter((self.known[p] for x in lists for p in x), np.int64, sum(counts))
+        sizes = self.sizes[which]
+        ids = self.pool[ragged(self.at[which], sizes)]
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *counts])].tolist()
+        return [ids[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
+
+
+def encoded(own: Encoder, texts: pa.Array) -> Iterator[np.ndarray]:
+    """Ids of the texts, some characters' worth at a time."""
+    some, size = [], 0
+    for value in texts:
+        some.append(value.as_py() or "")
+        size += len(some[-1])
+        if size >= AT_ONCE:
+            yield from own.some(some)
+            some, size = [], 0
+    if some:
+        yield from own.some(some)
 
 
 def read(spark: SparkSession, shards: list[Shard], at_once: int = 1 << 20) -> DataFrame:
