@@ -14,6 +14,12 @@ def without_prefix(c: Column, size: int = 21) -> Column:
     return F.substring(c, size + 1, 2147483647)
 
 
+def ascii_bounds(pattern: str) -> str:
+    """A pattern whose word bounds part ASCII words from all else, as SQL's do; Java's own take other letters for parts of words too."""
+    within, before = "[0-9A-Za-z_]", "(?<![0-9A-Za-z_])"
+    return pattern.replace(r"\b", f"(?:{before}(?={within})|(?<={within})(?!{within}))")
+
+
 def short_id(c: Column) -> Column:
     return F.substring_index(F.nullif(c, F.lit("")), "/", -1)
 

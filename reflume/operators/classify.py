@@ -12,7 +12,7 @@ from ..functions import scalars
 
 def meta_hits(abstract: Column, terms: list[str] = META_TERMS) -> Column:
     """The listed terms that occur, in the list's order."""
-    text = F.lower(F.coalesce(abstract, F.lit("")))
+    text = F.lower(F.replace(F.coalesce(abstract, F.lit("")), F.lit("\u0130"), F.lit("i")))  # Spark makes two code points of this one, SQL an i
     return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
 
 
@@ -23,7 +23,7 @@ def reason(era: int = ERA_YEAR) -> Column:
         F.when(~F.coalesce(F.col("phrase").isin(PHRASES), F.lit(False)), "phrase_retired")
         .when(F.col("year").isNull() | (F.col("year") < era), "pre_chatgpt")
         .when(scalars.short_id(F.col("subfield")).isin(META_SUBFIELDS), "ai_subfield")
-        .when(F.coalesce(F.rlike(F.col("title"), F.lit(f"(?i){META_TITLE}")), F.lit(False)), "meta_title")
+        .when(F.coalesce(F.rlike(F.col("title"), F.lit(f"(?i){scalars.ascii_bounds(META_TITLE)}")), F.lit(False)), "meta_title")
         .when(F.size(hits) >= 2, F.concat(F.lit("meta_abstract:"), F.array_join(F.slice(hits, 1, 3), "|")))
         .when(~F.coalesce(F.col("type").isin(KEPT_TYPES), F.lit(False)), F.concat(F.lit("type:"), F.coalesce("type", F.lit("None"))))
         .when(F.coalesce("n_refs", F.lit(0)) == 0, "no_references")

@@ -39,6 +39,28 @@ def test_query_equals_sql(spark, duck, name):
     assert plain(found, columns) == plain(wanted, columns)
 
 
+@pytest.mark.parametrize("name", ["classify"])
+def test_titles_beside_other_letters_equal_sql(spark, duck, tmp_path, name):
+    """Words beside letters that aren't ASCII, and a letter whose lower case isn't one code point."""
+    texts = ["se \u00f1 ja.\n\u00d1llm", "llm\u00e9", "llm\u0301 x", "\u00e9 llm", "xllm", "llm_", "ART\u0130FACT and PLAG\u0130AR", "plain", None]
+    rows = [(k, t, "en", "s", 1400) for k, t in zip([27 * 31 * i + 2 for i in range(400)], texts * 45)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    own = duck.cursor()
+    own.execute("CREATE SCHEMA odd")
+    for t in os.listdir(DATA):
+        own.execute(f"CREATE VIEW odd.{t.removesuffix('.parquet')} AS SELECT * FROM main.{t.removesuffix('.parquet')}")
+    own.execute(f"CREATE OR REPLACE VIEW odd.documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    try:
+        own.execute("SET schema = 'odd'")
+        found, wanted = QUERIES[name](spark, str(tmp_path)).toPandas(), own.execute(ORACLES[name]).fetchdf()
+    finally:
+        own.execute("SET schema = 'main'")
+        own.execute("DROP SCHEMA odd CASCADE")
+    columns = sorted(found.columns)
+    assert plain(found, columns) == plain(wanted, columns)
+    assert {"meta_title", "kept"} <= set(found["reason"]) and found["reason"].str.startswith("meta_abstract:").any()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
