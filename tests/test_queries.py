@@ -39,7 +39,7 @@ def test_query_equals_sql(spark, duck, name):
     assert plain(found, columns) == plain(wanted, columns)
 
 
-@pytest.mark.parametrize("name", ["classify"])
+@pytest.mark.parametrize("name", ["classify", "registry_first"])
 def test_titles_beside_other_letters_equal_sql(spark, duck, tmp_path, name):
     """Words beside letters that aren't ASCII, and a letter whose lower case isn't one code point."""
     texts = ["se \u00f1 ja.\n\u00d1llm", "llm\u00e9", "llm\u0301 x", "\u00e9 llm", "xllm", "llm_", "ART\u0130FACT and PLAG\u0130AR", "plain", None]
