@@ -6,23 +6,30 @@ stream that is started again goes on with the next page, and only a batch that w
 ends a batch with what has been read; the next one goes on.
 
 Services are a REST service that gives cursors (``service=http``) or a Parquet table, whose rows that match a query come in pages by a
-key (``service=table``). A page of a table is found in one pass over the rows beyond the cursor, of which no more than a page is held.
+key (``service=table``). One pass over a table finds as many pages beyond the cursor as AHEAD_BYTES hold.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count
+from typing import TYPE_CHECKING
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 from .pages import FIRST, QuotaSpent, Service
 
+if TYPE_CHECKING:
+    import numpy as np
+    import pyarrow as pa
+
+#: Bytes of a query's rows that a table service keeps between pages, and queries whose rows are kept.
+AHEAD_BYTES, QUERIES_AHEAD = 16 << 20, 8
 SCHEMA = "query string, page long, cursor string, record string"
 Page = tuple[list[str], str | None]
 
@@ -44,28 +51,82 @@ class TablePages:
     """Pages of a Parquet table, in the order of an integer key: options path, key, columns (comma-joined) and perPage. A query is ``column=value``."""
 
     def __init__(self, options: dict[str, str]):
-        self.path, self.key, self.size = options["path"], options["key"], int(options.get("perpage", "200"))
+        self.path, self.key, self.size = re.sub("^file:/(?!/)", "file:///", options["path"]), options["key"], int(options.get("perpage", "200"))
         self.columns = options.get("columns", self.key).split(",")
+        self.ahead: dict[str, Ahead] = {}
 
     def page(self, query: str, cursor: str) -> Page:
+        low = None if cursor == FIRST else int(cursor)
+        held = self.ahead.pop(query, None)
+        if held is None or not held.has(low, self.size):
+            held = self.read(query, low)
+        self.ahead[query] = held
+        if len(self.ahead) > QUERIES_AHEAD:
+            self.ahead.pop(next(iter(self.ahead)))
+        rows = held.rows.slice(held.place(low), self.size + 1).to_pylist()
+        after = rows[self.size][self.key] if len(rows) > self.size else None
+        rows = rows[: self.size]
+        if after is not None and rows[-1][self.key] == after:
+            raise ValueError(f"{self.key} isn't unique: pages by it would lose rows")
+        return [json.dumps({c: r[c] for c in self.columns}) for r in rows], None if after is None else str(rows[-1][self.key])
+
+    def read(self, query: str, low: int | None) -> Ahead:
+        """The query's rows of the least keys beyond the cursor, in one pass: as many as AHEAD_BYTES hold, and more than a page."""
+        import pyarrow as pa
         import pyarrow.compute as pc
         import pyarrow.dataset as ds
 
         column, _, value = query.partition("=")
         wanted = (pc.field(column) == value) & ~pc.field(self.key).is_null()
-        if cursor != FIRST:
-            wanted &= pc.field(self.key) > int(cursor)
-        place, best = count(), []  # of the largest key first; rows of one key as they come
-        for batch in ds.dataset(self.path, format="parquet").to_batches(columns=[*dict.fromkeys([self.key, *self.columns])], filter=wanted):
-            for row in batch.to_pylist():
-                item = (-row[self.key], -next(place), row)
-                (heapq.heappush if len(best) <= self.size else heapq.heappushpop)(best, item)
-        rows = [row for _, _, row in sorted(best, key=lambda x: (-x[0], -x[1]))]
-        more = len(rows) > self.size
-        rows = rows[: self.size]
-        if more and rows[-1][self.key] == best[0][2][self.key]:
-            raise ValueError(f"{self.key} isn't unique: pages by it would lose rows")
-        return [json.dumps({c: r[c] for c in self.columns}) for r in rows], str(rows[-1][self.key]) if more else None
+        if low is not None:
+            wanted &= pc.field(self.key) > low
+        table, names = ds.dataset(self.path, format="parquet"), [*dict.fromkeys([self.key, *self.columns])]
+        schema = pa.schema([table.schema.field(c) for c in names])
+        held, size, last = [], 0, None  # no row beyond the key ``last`` is held any more
+
+        def in_order(batches: list[pa.RecordBatch]) -> pa.Table:
+            rows = pa.Table.from_batches(batches, schema)
+            return rows.take(pc.sort_indices(rows, [(self.key, "ascending")]))
+
+        for batch in table.to_batches(columns=names, filter=wanted):
+            if last is not None:
+                batch = batch.filter(pc.less_equal(batch.column(self.key), last))
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size > 2 * AHEAD_BYTES:
+                rows = in_order(held)
+                n = max(self.size + 1, rows.num_rows * AHEAD_BYTES // rows.nbytes)
+                if n < rows.num_rows:
+                    last = rows.column(self.key)[n - 1]
+                    rows = rows.filter(pc.less_equal(rows.column(self.key), last))
+                held, size = rows.to_batches(), rows.nbytes
+        rows = in_order(held)
+        return Ahead(rows, rows.column(self.key).to_numpy(), low, last is None)
+
+
+@dataclass
+class Ahead:
+    """Rows beyond a cursor, none for the table's start, in the order of their keys; whether they are all."""
+
+    rows: pa.Table
+    keys: np.ndarray
+    low: int | None
+    whole: bool
+
+    def place(self, low: int | None) -> int:
+        return 0 if low is None else int(self.keys.searchsorted(low, "right"))
+
+    def has(self, low: int | None, size: int) -> bool:
+        """Whether the page beyond a cursor, and whether another follows, can be told from these rows."""
+        if self.low is not None and (low is None or low < self.low):
+            return False
+        return self.whole or self.place(low) + size < len(self.keys)
+
+
+def serve(rows: DataFrame, path: str, column: str, key: str) -> None:
+    """Writes rows for a table service: in the order of what queries ask for and of the key, so that files' statistics leave out what isn't asked for."""
+    rows.repartitionByRange(column, key).sortWithinPartitions(column, key).write.parquet(path)
 
 
 def service_of(options: dict[str, str]):

@@ -136,3 +136,37 @@ def test_replayed_offsets_give_the_same_rows(spark, tmp_path):
 def same(spark, tmp_path):
     spark.range(9).selectExpr("id div 5 as v", "'x' as g").coalesce(1).write.parquet(str(tmp_path / "same"))
     return tmp_path / "same"
+
+
+def walked(service, query):
+    """All rows, page by page, each page asked for a second time by a service that has read nothing yet."""
+    cursor, seen = "*", []
+    while cursor:
+        rows, after = service.page(query, cursor)
+        assert paged.TablePages(GIVEN | {"path": service.path}).page(query, cursor) == (rows, after)
+        seen, cursor = seen + [rows], after
+    return seen
+
+
+GIVEN = {"key": "k", "columns": "v", "perpage": "4"}
+
+
+@pytest.mark.parametrize("ahead", [1, 300, 1 << 20])
+def test_pages_of_a_table_take_few_passes(spark, tmp_path, monkeypatch, ahead):
+    """Whatever the order of the rows and however few of them may be held; a cursor that goes back is answered too."""
+    import pyarrow.dataset as ds
+
+    path = str(tmp_path / "t")
+    spark.range(203).selectExpr("(id * 89) % 203 - 50 as k", "if(id % 2 = 0, 'x', 'y') as g", "(id * 89) % 203 as v").repartition(5).write.parquet(path)
+    monkeypatch.setattr(paged, "AHEAD_BYTES", ahead, raising=False)
+    kept = sorted(r.v for r in spark.read.parquet(path).where("g = 'x'").collect())
+    service = paged.TablePages(GIVEN | {"path": path})
+    pages = walked(service, "g=x")
+    assert [json.loads(r)["v"] for rows in pages for r in rows] == kept and {len(rows) for rows in pages[:-1]} == {4}
+    assert service.page("g=x", "*")[0] == pages[0] and service.page("g=none", "*") == ([], None)
+    passes, real = [], ds.dataset
+    monkeypatch.setattr(ds, "dataset", lambda *a, **k: passes.append(1) or real(*a, **k))
+    service, cursor, asked = paged.TablePages(GIVEN | {"path": path}), "*", 0
+    while cursor:
+        cursor, asked = service.page("g=x", cursor)[1], asked + 1
+    assert asked == 26 and len(passes) <= {1: 26, 300: 13, 1 << 20: 1}[ahead]
