@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count
@@ -30,6 +31,8 @@ if TYPE_CHECKING:
 
 #: Bytes of a query's rows that a table service keeps between pages, and queries whose rows are kept.
 AHEAD_BYTES, QUERIES_AHEAD = 16 << 20, 8
+#: Seconds and records of a stream's batch beyond which batches don't grow.
+SLOW, MANY = 10.0, 100_000
 SCHEMA = "query string, page long, cursor string, record string"
 Page = tuple[list[str], str | None]
 
@@ -166,7 +169,11 @@ class PagedReader(DataSourceReader):
 
 
 class PagedStream(SimpleDataSourceStreamReader):
-    """Offsets: for each query its next page's number and cursor, no cursor when it is done."""
+    """Offsets: for each query its next page's number and cursor, no cursor when it is done.
+
+    The first batch after a start has pagesAtOnce pages of each query. Every batch costs a commit, so the next one has twice as many,
+    until reading it takes SLOW seconds or gives MANY records.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.options, self.queries, self.at_once = options, queries_of(options), int(options.get("pagesatonce", "5"))
@@ -182,7 +189,7 @@ class PagedStream(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         rows: list[tuple] = []
-        end = dict(start)
+        end, began = dict(start), time.monotonic()
         for query in self.queries:
             page, cursor = end.get(query, [0, FIRST])
             for _ in range(self.at_once):
@@ -195,6 +202,8 @@ class PagedStream(SimpleDataSourceStreamReader):
                 rows += [(query, page, cursor, r) for r in records]
                 page, cursor = page + 1, after
                 end[query] = [page, cursor]
+        if end != start and time.monotonic() - began < SLOW / 2 and len(rows) <= MANY // 2:
+            self.at_once *= 2
         return iter(rows), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:

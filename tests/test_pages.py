@@ -170,3 +170,23 @@ def test_pages_of_a_table_take_few_passes(spark, tmp_path, monkeypatch, ahead):
     while cursor:
         cursor, asked = service.page("g=x", cursor)[1], asked + 1
     assert asked == 26 and len(passes) <= {1: 26, 300: 13, 1 << 20: 1}[ahead]
+
+
+@pytest.mark.parametrize(("slow", "many", "least", "most"), [(60.0, 10**6, 5, 8), (0.0, 10**6, 51, 51), (60.0, 16, 13, 16)])
+def test_batches_of_a_stream_grow(spark, tmp_path, monkeypatch, slow, many, least, most):
+    """Until they are slow or large; the pages are the same, and those of each batch can be read again."""
+    spark.range(203).selectExpr("id as k", "'x' as g").coalesce(1).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(paged, "SLOW", slow, raising=False)
+    monkeypatch.setattr(paged, "MANY", many, raising=False)
+    given = {"service": "table", "path": str(tmp_path / "t"), "key": "k", "perpage": "4", "pagesatonce": "1", "queries": '["g=x", "g=none"]'}
+    one, offset, batches = paged.PagedStream(given), {}, []
+    while True:
+        rows, end = one.read(offset)
+        rows = list(rows)
+        if end == offset:
+            break
+        assert list(paged.PagedStream(given).readBetweenOffsets(offset, end)) == rows and len(rows) <= many
+        offset = json.loads(json.dumps(end))
+        batches.append(rows)
+    assert [(json.loads(r[3])["k"], r[1]) for rows in batches for r in rows] == [(k, k // 4) for k in range(203)]
+    assert least <= len(batches) <= most
