@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,11 +67,26 @@ def inverted_text(c: Column) -> Column:
     """The text of a map from words to their positions; of two words at one position the later entry wins. Null and empty give ''."""
     placed = F.flatten(F.transform(F.map_entries(c), lambda e: F.transform(e["value"], lambda i: F.struct(i.alias("at"), e["key"].alias("word")))))
     numbered = F.transform(placed, lambda p, n: F.struct(p["at"].alias("at"), (-n).alias("n"), p["word"].alias("word")))
-    ordered = F.array_sort(numbered)
+    ordered = F.sort_array(numbered)
     beside = F.zip_with(ordered, F.concat(F.array(F.lit(None)), ordered), lambda p, q: F.when(q.isNull() | (q["at"] != p["at"]), p["word"]))
     return F.coalesce(F.array_join(beside, " "), F.lit(""))  # nulls, of positions that have a word already, aren't joined
 
 
+def inverted_index(words: Column) -> Column:
+    """A map from each of an array's words to its positions, worked out within the row; null gives null."""
+
+    def grouped(placed: Column) -> Column:  # by word, then position
+        begins = F.array_compact(F.transform(placed, lambda p, i: F.when((i == 0) | (F.get(placed, i - 1)["word"] != p["word"]), i)))
+        return _with(begins, lambda b: F.transform(b, lambda i, n: F.struct(F.get(placed, i)["word"], F.transform(F.slice(placed, i + 1, F.coalesce(F.get(b, n + 1), F.size(placed)) - i), lambda p: p["at"]))))
+
+    return F.map_from_entries(_with(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at")))), grouped))
+
+
+def _with(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is worked out once, also where f has it within functions of elements."""
+    return F.transform(F.array(c), f)[0]
+
+
 def vocabulary(c: Column) -> Column:
     """Distinct lower-case words of a text, or keys if it is a JSON object. Null gives an empty array."""
     keys = F.when(F.ltrim(c).startswith("{"), F.map_keys(F.from_json(c, "map<string,string>")))

@@ -70,6 +70,10 @@ def test_scan_is_pruned(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in plan and "GreaterThanOrEqual(o_orderdate" in plan
 
 
+def test_harvested_records_shuffle_nothing(spark):
+    assert "Exchange" not in QUERIES["harvested_records"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ingest_resumes(spark, tmp_path):
     from reflume.streaming.ingest import ingest
 

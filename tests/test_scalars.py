@@ -28,6 +28,12 @@ def test_inverted_text(spark):
     assert column(spark, given, scalars.inverted_text, "map<string,array<int>>") == ["hello world", "", "", "a b b"]
 
 
+def test_inverted_index(spark):
+    given = [["b", "a", "b"], [], None, ["\u00e9"], [str(i % 97) for i in range(20_000)]]
+    whole = {str(i): list(range(i, 20_000, 97)) for i in range(97)}
+    assert column(spark, given, scalars.inverted_index, "array<string>") == [{"a": [1], "b": [0, 2]}, {}, None, {"\u00e9": [0]}, whole]
+
+
 def test_stable_fraction(spark):
     found = column(spark, ["openalex/data/parquet/works/part_0000.parquet", None], scalars.stable_fraction)
     assert abs(found[0] - 0.16529035) < 1e-6 and found[1] is None
