@@ -25,6 +25,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -259,43 +260,55 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.pool, self.at, self.sizes, self.chars = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), 0
+        self.pool, self.at, self.sizes, self.used, self.chars = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), 0, 0
 
     def pieces(self, text: str) -> list[str]:
         return text.split(" ") if self.dropped else BETWEEN.split(text)
 
     def learn(self, new: list[str]) -> None:
-        """Adds the ids of pieces that aren't known."""
-        lists: list[np.ndarray] = []
+        """Adds the ids of pieces that aren't known; in the pool the parting ones stay between them."""
         plain = [p for p in new if self.part is not None and self.part not in p]
         odd = [p for p in new if self.part is None or self.part in p]
+        lists = [self.own.encode_batch_fast([self.part.join(plain)], add_special_tokens=False)[0].ids] if plain else []
+        found = [np.array(x, np.uint32) for x in [*lists, *map(self.ids, odd)]]
+        parts = np.flatnonzero(found[0] == self.part_id) if plain else np.empty(0, np.int64)
+        ends = np.cumsum([len(x) for x in found])
+        begins = np.concatenate([[0], ends[:-1]])
         if plain:
-            found = np.array(self.own.encode_batch_fast([self.part.join(plain)], add_special_tokens=False)[0].ids, np.uint32)
-            lists += np.split(found, np.flatnonzero(found == self.part_id))
-            lists[1:] = [x[1:] for x in lists[1:]]
-        lists += [np.array(self.ids(p), np.uint32) for p in odd]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        self.known.update(zip([*plain, *odd], range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
-        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(sizes) - sizes])
-        self.pool, self.sizes = np.concatenate([self.pool, *lists]), np.concatenate([self.sizes, sizes])
+            begins, ends = np.concatenate([[0], parts + 1, begins[1:]]), np.concatenate([parts, ends])
+        known = len(self.known)
+        self.known.update(zip([*plain, *odd], range(known, known + len(ends)), strict=True))
+        self.at = extended(self.at, known, self.used + begins)
+        self.sizes = extended(self.sizes, known, ends - begins)
+        self.pool = extended(self.pool, self.used, np.concatenate(found))
+        self.used += int(sum(map(len, found)))
         self.chars += sum(map(len, new))
 
     def some(self, texts: list[str]) -> list[np.ndarray]:
         lists = [self.pieces(t) for t in texts]
-        new = [p for p in dict.fromkeys(p for x in lists for p in x) if p not in self.known]
+        each = set(chain.from_iterable(lists))
+        new = list(each.difference(self.known))
         if len(self.known) + len(new) > REMEMBERED or self.chars > PIECE_CHARS:
             self.forget()
-            new = list(dict.fromkeys(p for x in lists for p in x))
+            new = list(each)
         if new:
             self.learn(new)
         counts = [len(x) for x in lists]
-        which = np.fromiter((self.known[p] for x in lists for p in x), np.int64, sum(counts))
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, sum(counts))
         sizes = self.sizes[which]
         ids = self.pool[ragged(self.at[which], sizes)]
         upto = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *counts])].tolist()
         return [ids[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
 
 
+def extended(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """The array with more after its first elements, in twice the room where there is too little."""
+    if used + len(more) > len(array):
+        array = np.concatenate([array[:used], np.empty(max(used, len(more)), array.dtype)])
+    array[used : used + len(more)] = more
+    return array
+
+
 def encoded(own: Encoder, texts: pa.Array) -> Iterator[np.ndarray]:
     """Ids of the texts, some characters' worth at a time."""
     some, size = [], 0

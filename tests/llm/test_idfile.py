@@ -56,3 +56,22 @@ def test_parts_of_long_texts_have_the_ids_of_the_whole(monkeypatch):
 def test_folders_without_a_scheme(spark, tmp_path):
     shards = idfile.write(documents(spark), str(tmp_path / "ids"), tokenizer("word_bpe_49k.json"))
     assert all(s.path.startswith("file:") for s in shards) and idfile.read(spark, shards).count() == documents(spark).count()
+
+
+def test_remembered_pieces_keep_their_ids(monkeypatch):
+    """Over many calls whose pieces are new, known, odd or empty, and with little room; what was remembered isn't copied by every call."""
+    from public_tokenizers import path
+
+    own = idfile.library(path("word_bpe_49k.json"))
+    own.forget()
+    texts = [f"w{i} a{i % 7}  {own.part if i % 11 == 0 else ''}x{i * i} é{i % 5}\n{'' if i % 3 else own.part + 'q'}" for i in range(300)] + ["", " ", "\n"]
+    for remembered in (idfile.REMEMBERED, 20):
+        monkeypatch.setattr(idfile, "REMEMBERED", remembered)
+        for some in (texts[:5], texts[3:200], texts[150:], texts[:5]):
+            assert [x.tolist() for x in own.some(some)] == [own.ids(t) for t in some]
+    monkeypatch.setattr(idfile, "REMEMBERED", 10_000)
+    pools = set()
+    for i in range(500):
+        own.some([f"new{i}"])
+        pools.add(id(own.pool))
+    assert len(pools) < 20
