@@ -16,8 +16,8 @@ def meta_hits(abstract: Column, terms: list[str] = META_TERMS) -> Column:
     return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
 
 
-def reason(era: int = ERA_YEAR) -> Column:
-    """kept, or why not. A missing year is treated as one before the era."""
+def reason(era: int = ERA_YEAR, uncounted: bool = False) -> Column:
+    """kept, or why not. A missing year is treated as one before the era, a missing count of references as none unless uncounted ones may be kept."""
     hits = meta_hits(F.col("abstract"))
     return (
         F.when(~F.coalesce(F.col("phrase").isin(PHRASES), F.lit(False)), "phrase_retired")
@@ -26,13 +26,13 @@ def reason(era: int = ERA_YEAR) -> Column:
         .when(F.coalesce(F.rlike(F.col("title"), F.lit(f"(?i){scalars.ascii_bounds(META_TITLE)}")), F.lit(False)), "meta_title")
         .when(F.size(hits) >= 2, F.concat(F.lit("meta_abstract:"), F.array_join(F.slice(hits, 1, 3), "|")))
         .when(~F.coalesce(F.col("type").isin(KEPT_TYPES), F.lit(False)), F.concat(F.lit("type:"), F.coalesce("type", F.lit("None"))))
-        .when(F.coalesce("n_refs", F.lit(0)) == 0, "no_references")
+        .when(F.coalesce("n_refs", F.lit(1 if uncounted else 0)) == 0, "no_references")
         .otherwise("kept")
     )
 
 
-def classify(candidates: DataFrame) -> DataFrame:
-    return candidates.withColumn("reason", reason()).withColumn("keep", F.col("reason") == "kept")
+def classify(candidates: DataFrame, uncounted: bool = False) -> DataFrame:
+    return candidates.withColumn("reason", reason(uncounted=uncounted)).withColumn("keep", F.col("reason") == "kept")
 
 
 def first_hits(candidates: DataFrame, phrases: list[str] = PHRASES) -> DataFrame:

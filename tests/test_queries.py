@@ -61,6 +61,20 @@ def test_titles_beside_other_letters_equal_sql(spark, duck, tmp_path, name):
     assert {"meta_title", "kept"} <= set(found["reason"]) and found["reason"].str.startswith("meta_abstract:").any()
 
 
+def test_first_hits_of_odd_rows_equal_sql(spark, tmp_path):
+    """Counts that are missing, and ids below zero, on either side of it and of every rest."""
+    rows = [(k, "plain", "en", "s", None if k % 5 < 2 else 1400 * (k % 3)) for k in range(-400, 400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    own = duckdb.connect()
+    for t in ["orders", "lineitem", "part"]:
+        own.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
+    own.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found, wanted = QUERIES["registry_first"](spark, str(tmp_path)).toPandas(), own.execute(ORACLES["registry_first"]).fetchdf()
+    columns = sorted(found.columns)
+    assert plain(found, columns) == plain(wanted, columns)
+    assert {"kept", "no_references"} <= set(found["reason"]) and found["id"].min() < 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
